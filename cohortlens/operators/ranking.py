@@ -37,13 +37,15 @@ def bucket_of_unit(u: Column | str, buckets: int) -> Column:
 
 
 def ordered_position(df: DataFrame, by: Sequence[str], order: Sequence, bucket: Column,
-                     out: str = "pos", running: dict[str, Column] | None = None) -> DataFrame:
+                     out: str = "pos", running: dict[str, Column] | None = None,
+                     total: str | None = None) -> DataFrame:
     """Add ``out`` = 1-based position of each row inside ``by`` ordered by
     ``order`` (same as ``row_number``), and for each ``name -> expr`` in
     ``running`` an inclusive running sum of ``expr`` in the same order.
 
     ``bucket`` must be non-decreasing along ``order`` inside each group.
-    ``order`` must be a total order (end it with a unique id).
+    ``order`` must be a total order (end it with a unique id). With
+    ``total`` set, the group size is attached too (from the bucket table).
     """
     running = running or {}
     by = list(by)
@@ -61,7 +63,9 @@ def ordered_position(df: DataFrame, by: Sequence[str], order: Sequence, bucket:
     offs = totals.select(*by, b,
                          F.coalesce(F.sum("__n").over(w_prev), F.lit(0)).alias("__off"),
                          *[F.coalesce(F.sum(f"__t_{name}").over(w_prev), F.lit(0)).alias(f"__o_{name}")
-                           for name in running])
+                           for name in running],
+                         *([F.sum("__n").over(Window.partitionBy(*by) if by else Window.partitionBy())
+                            .alias(total)] if total else []))
     out_df = null_safe_join(d, offs, [*by, b]).withColumn(out, F.col("__off") + F.col("__local"))
     for name in running:
         out_df = out_df.withColumn(name, F.col(f"__o_{name}") + F.col(f"__r_{name}"))
