@@ -36,8 +36,9 @@ def tag_pattern(tag: str) -> str:
 
 
 def tagged(tag: str, value) -> Column:
-    """``<tag>value</tag>`` as a replacement string (value escaped)."""
-    return F.concat(F.lit(f"<{tag}>"), escape_replacement(_lit(value)), F.lit(f"</{tag}>"))
+    """``<tag>value</tag>`` as a replacement string (value escaped); a str
+    value names a column."""
+    return F.concat(F.lit(f"<{tag}>"), escape_replacement(_c(value)), F.lit(f"</{tag}>"))
 
 
 # ---------------------------------------------------------------- clean-up

@@ -21,6 +21,7 @@ from ..functions.tags import find_sex, race_of_abbrev, with_abbrev
 from ..operators.filters import balance_weights, exclude_values, keep_groups, unambiguous
 from ..operators.ranking import bucket_of_unit, null_safe_join, ordered_position
 from ..operators.sampling import weighted_sample
+from ..session import materialize
 from ..sources import adapters as ad
 from ..sources.tables import table
 from .q_events import readmission_labels
@@ -34,8 +35,11 @@ def cohort_pool(spark: SparkSession, d: str, min_rows: int = MIN_ROWS) -> DataFr
     """C1 without the sample: labelled stays with admissions and patients
     (J3, J2), patients whose race never changes (F6), known races (F3),
     subgroups of at least ``min_rows`` rows (F5), age at discharge (D2),
-    age-balancing weight (W5) and subgroup code (T13)."""
-    readm = readmission_labels(spark, d)
+    age-balancing weight (W5) and subgroup code (T13).
+
+    The labels and the pool are stage outputs read by several later steps,
+    so both are checkpointed (``materialize``)."""
+    readm = materialize(readmission_labels(spark, d))
     adm = ad.admissions(spark, d)
     pat = ad.patients(spark, d)
     m = (readm.join(adm, ["subject_id", "hadm_id"], "inner")
@@ -46,7 +50,7 @@ def cohort_pool(spark: SparkSession, d: str, min_rows: int = MIN_ROWS) -> DataFr
     m = keep_groups(m, ["gender", "race"], min_rows)
     m = m.withColumn("actual_age", D.actual_age("dischtime", "anchor_year", "anchor_age"))
     m = balance_weights(m, "actual_age", ["race", "gender"])
-    return m.withColumn("abbrev", with_abbrev("gender", "race"))
+    return materialize(m.withColumn("abbrev", with_abbrev("gender", "race")))
 
 
 def build_cohort(spark: SparkSession, d: str, n: int = PER_GROUP, min_rows: int = MIN_ROWS,

@@ -56,3 +56,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.sparkContext.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
     return path
+
+
+def materialize(df, eager: bool = True):
+    """Cut the lineage of a stage output that later stages read more than
+    once: a reliable checkpoint into ``spark.checkpoint.dir`` (a shared
+    folder on a cluster), so a lost executor does not replay the whole
+    upstream plan and the optimizer sees a plain scan instead of the same
+    subtree many times over."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)
