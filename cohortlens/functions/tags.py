@@ -240,3 +240,34 @@ def with_instruction(text, instruction: str | None, colon: bool = False) -> Colu
         ins = instruction if instruction.endswith(":") else instruction.strip(".") + ":"
         return F.concat(F.lit(ins), F.lit(" "), _c(text))
     return F.concat(F.lit(f"Instruct: {instruction}\nQuery:\n"), _c(text))
+
+
+# Tag order of the fill pass (values never contain '<', so the order only
+# has to be fixed, not meaningful).
+FILL_ORDER = ["name", "address", "age", "admission_date", "discharge_date", "dob",
+              *GENDER_TERMS.keys(), "race"]
+
+
+def fill_tags(text, values: dict) -> Column:
+    """Set each tag in ``values`` (tag -> Column or column name) in one
+    chain of rewrites (T7 per tag)."""
+    t = _c(text)
+    for tag in FILL_ORDER:
+        if tag in values:
+            t = set_tag(t, tag, values[tag])
+    return t
+
+
+def all_on_values(col, key_gender, race_on: bool = True) -> dict:
+    """Tag values of a note with every attribute written in (as T8 with all
+    switches on); ``col(name)`` returns the Column of an attribute."""
+    from .dates import ts_text
+    fem = _c(key_gender) == "F"
+    v = {"name": col("name"), "address": col("address"),
+         "age": F.concat(col("actual_age").cast("string"), F.lit(" year-old ")),
+         "admission_date": ts_text(col("admittime_today")), "discharge_date": ts_text(col("dischtime_today")),
+         "dob": col("dob").cast("string")}
+    for tag, (fw, mw, _off) in GENDER_TERMS.items():
+        v[tag] = F.when(fem, F.lit(fw)).otherwise(F.lit(mw))
+    v["race"] = col("race") if race_on else F.lit("___")
+    return v
