@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import tags as T
 from ..functions.codes import AGE_SHIFT_RANGE, AGE_SHIFTS, RACE_CODES
 from ..operators.pairing import groups_with_all, rank_match, rank_match_all, tail_pairs
-from .variants import split_head_tail
+from .variants import split_head_tail, spread
 
 LABEL = "thirty_day_readmission"
 ATTR_COLS = ["hadm_id", "gender", "race", "race_abbrev", "abbrev", "name", "address", "actual_age", "dob",
@@ -51,7 +51,7 @@ def gender_counterfactuals(test_notes: DataFrame) -> DataFrame:
     arr = F.array(*[F.struct(F.lit(n).alias("variant"), F.lit(s).alias("side"), F.lit(g).alias("regender"),
                              F.lit(sn).alias("sname"), F.lit(sa).alias("saddr"))
                     for n, s, g, sn, sa in GENDER_VARIANTS])
-    p = pairs.withColumn("__v", F.explode(arr))
+    p = spread(pairs, "hadm_id_f").withColumn("__v", F.explode(arr))
     is_f = F.col("__v.side") == "f"
     own = lambda c: F.when(is_f, F.col(c + "_f")).otherwise(F.col(c + "_m"))
     oth = lambda c: F.when(is_f, F.col(c + "_m")).otherwise(F.col(c + "_f"))
@@ -74,7 +74,7 @@ def race_counterfactuals(test_notes: DataFrame) -> DataFrame:
     other race ('B_to_N_kind'); plus each race's own notes ('B')."""
     tn = with_head_tail(test_notes)
     pairs = rank_match_all(tn, "race_abbrev", ["gender"], "actual_age", "hadm_id")
-    p = pairs.withColumn("__k", F.explode(F.array(*[F.lit(k) for k in RACE_KINDS])))
+    p = spread(pairs, "hadm_id_a").withColumn("__k", F.explode(F.array(*[F.lit(k) for k in RACE_KINDS])))
     own = lambda c: F.col(c + "_a")
     vals = T.all_on_values(own, F.col("gender"), race_on=False)  # gender is the stratum
     vals["name"] = F.when(F.col("__k").contains("name"), F.col("name_b")).otherwise(own("name"))
@@ -103,7 +103,7 @@ def race_counterfactuals_explicit(test_notes: DataFrame, codes: list[str]) -> Da
     ins = test_notes.withColumn("text", T.insert_attribute("text", "race", F.col("race")))
     tn = with_head_tail(ins)
     m = F.create_map(*[F.lit(x) for kv in RACE_CODES.items() for x in kv])
-    p = tn.withColumn("__n", F.explode(F.array(*[F.lit(c) for c in codes])))
+    p = spread(tn, "hadm_id").withColumn("__n", F.explode(F.array(*[F.lit(c) for c in codes])))
     same = F.col("__n") == F.col("race_abbrev")
     vals = T.all_on_values(F.col, F.col("gender"))
     vals["race"] = F.when(same, F.col("race")).otherwise(F.coalesce(F.element_at(m, F.col("__n")), F.col("__n")))
@@ -131,7 +131,7 @@ def age_counterfactuals(test_notes: DataFrame, k: int = 12) -> DataFrame:
     pairs = tail_pairs(tn, ["abbrev"], "actual_age", "hadm_id", k)
     arr = F.array(*[F.struct(F.lit(n).alias("variant"), F.lit(s).alias("side"), F.lit(a).alias("sage"),
                              F.lit(sn).alias("sname"), F.lit(sa).alias("saddr")) for n, s, a, sn, sa in AGE_VARIANTS])
-    p = pairs.withColumn("__v", F.explode(arr))
+    p = spread(pairs, "hadm_id_o").withColumn("__v", F.explode(arr))
     is_o = F.col("__v.side") == "o"
     own = lambda c: F.when(is_o, F.col(c + "_o")).otherwise(F.col(c + "_y"))
     oth = lambda c: F.when(is_o, F.col(c + "_y")).otherwise(F.col(c + "_o"))
@@ -151,7 +151,7 @@ def age_shift(test_notes: DataFrame, deltas=AGE_SHIFTS, lo: int = AGE_SHIFT_RANG
     ('age_plus_10', 'age_minus_20', ...)."""
     tn = with_head_tail(test_notes.filter(F.col("actual_age").between(lo, hi)))
     names = [("age", 0)] + [(f"age_{'plus' if x > 0 else 'minus'}_{abs(x)}", x) for x in deltas]
-    p = tn.withColumn("__d", F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), F.lit(x).alias("delta"))
+    p = spread(tn, "hadm_id").withColumn("__d", F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), F.lit(x).alias("delta"))
                                                  for n, x in names])))
     vals = T.all_on_values(F.col, F.col("gender"))
     shifted = F.col("__d.delta") != 0

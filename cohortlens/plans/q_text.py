@@ -172,7 +172,9 @@ lvl AS (SELECT lv.level, tn3.hadm_id, {S.strip(S.switch_info('hd', S.flags_on())
 @register("c7_anonymisation_levels", C7_SQL)
 def q_c7(spark, d):
     notes, splits = V.cohort_notes(spark, d)
-    lv = V.anonymisation_levels(notes).join(splits, "hadm_id")
+    # the split is per note: attach it before the 64-fold explode, so the
+    # exploded texts never cross a shuffle (only the digest does)
+    lv = V.anonymisation_levels(notes.join(splits, "hadm_id"))
     return V.variant_digest(lv, ["level", "split"])
 
 
@@ -203,7 +205,7 @@ s4 AS (SELECT set_name, hadm_id,
 @register("c8_attribute_sets", C8_SQL)
 def q_c8(spark, d):
     notes, splits = V.cohort_notes(spark, d)
-    sets = V.attribute_sets(notes).join(splits, "hadm_id")
+    sets = V.attribute_sets(notes.join(splits, "hadm_id"))
     sets = sets.withColumn("text", F.concat("text", F.lit("|"), "target"))
     return V.variant_digest(sets, ["set_name", "split"])
 

@@ -60,6 +60,81 @@ def level_flags() -> list[dict]:
     return out
 
 
+# ---------------------------------------------------------------- segments
+# A head is cut once into literal text and well-formed '<tag>value</tag>'
+# pieces. A variant then only picks, per piece, the value its switches ask
+# for and joins the pieces: no regex per variant. Where a literal piece
+# holds a '<' (a stray bracket that the study's label stripping would eat
+# across pieces) the joined tagged text is stripped by the regex instead,
+# so the result is exactly that of the regex chain.
+
+SWITCH_INDEX = {"name": 0, "address": 1, "age": 2, "admission_date": 3, "discharge_date": 3, "dob": 4,
+                **{t: 5 for t in T.GENDER_TERMS}, "race": 6}
+SPLIT_RE = r"(?=<[A-Za-z_]+>[^<]*</[A-Za-z_]+>)|(?<=</[A-Za-z_]{1,64}>)"
+
+
+def tag_pieces(head: Column, on_values: dict[str, Column], off_values: dict[str, str]) -> Column:
+    """array<struct<idx, tag, lit, val, on, off>>: idx -1 literal, -2 a tag
+    no switch touches, else the switch number of SWITCH_INDEX."""
+    def piece(p):
+        tag = F.regexp_extract(p, r"^<([A-Za-z_]+)>[^<]*</\1>$", 1)
+        val = F.regexp_extract(p, r"^<[A-Za-z_]+>([^<]*)</[A-Za-z_]+>$", 1)
+        idx = F.when(tag == "", F.lit(-1))
+        on = F.lit(None).cast("string")
+        off = F.lit(None).cast("string")
+        for t, i in SWITCH_INDEX.items():
+            idx = idx.when(tag == t, F.lit(i))
+            on = F.when(tag == t, on_values[t].cast("string")).otherwise(on)
+            off = F.when(tag == t, F.lit(off_values[t])).otherwise(off)
+        return F.struct(idx.otherwise(F.lit(-2)).alias("idx"), tag.alias("tag"), p.alias("lit"), val.alias("val"),
+                        on.alias("on"), off.alias("off"))
+    return F.transform(F.split(head, SPLIT_RE), piece)
+
+
+def render_pieces(pieces: Column, switches: Column) -> Column:
+    """Join the pieces with the switches (array of 7 booleans) applied and
+    the labels stripped."""
+    def pick(p):
+        return F.when(F.element_at(switches, p["idx"] + 1), p["on"]).otherwise(p["off"])
+    plain = F.array_join(F.transform(pieces, lambda p: F.when(p["idx"] == -1, p["lit"]).when(p["idx"] == -2, p["val"])
+                                     .otherwise(pick(p))), "")
+    tagged = F.array_join(F.transform(pieces, lambda p: F.when(p["idx"] < 0, p["lit"]).otherwise(
+        F.concat(F.lit("<"), p["tag"], F.lit(">"), pick(p), F.lit("</"), p["tag"], F.lit(">")))), "")
+    safe = F.forall(pieces, lambda p: (p["idx"] != -1) | (F.instr(p["lit"], "<") == 0))
+    return F.when(safe, plain).otherwise(T.strip_tags(tagged))
+
+
+def switch_values(key_gender: str = "gender") -> tuple[dict, dict]:
+    """On and off values of every switched tag (as T8 writes them)."""
+    fem = F.col(key_gender) == "F"
+    on = {"name": F.col("name"), "address": F.col("address"),
+          "age": F.concat(F.col("actual_age").cast("string"), F.lit(" year-old ")),
+          "admission_date": D.ts_text("admittime_today"), "discharge_date": D.ts_text("dischtime_today"),
+          "dob": F.col("dob").cast("string"), "race": F.col("race")}
+    off = {t: "___" for t in ["name", "address", "age", "admission_date", "discharge_date", "dob", "race"]}
+    for t, (fw, mw, ow) in T.GENDER_TERMS.items():
+        on[t] = F.when(fem, F.lit(fw)).otherwise(F.lit(mw))
+        off[t] = ow
+    return on, off
+
+
+def switches_of(flags: dict) -> Column:
+    """The 7 switch values in SWITCH_INDEX order (dob = age and visit dates)."""
+    return F.array(flags["name"], flags["address"], flags["age"], flags["visitdates"],
+                   flags["age"] & flags["visitdates"], flags["gender"], flags["race"])
+
+
+def spread(df: DataFrame, key: str, factor: int = 4) -> DataFrame:
+    """Hash-repartition the input of a fan-out (explode into many variants)
+    so the multiplied work is spread over all cores: adaptive execution
+    sizes partitions by their input bytes and would put a small input, and
+    with it all of its variants, into one task. An explicit count is kept
+    by adaptive execution."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism * factor)
+    return df.repartition(n, key)
+
+
 def _switch(text: Column, flags: dict) -> Column:
     return T.switch_info(text, "gender", "name", "address", "actual_age",
                          D.ts_text("admittime_today"), D.ts_text("dischtime_today"), "dob", "race", flags)
@@ -67,16 +142,19 @@ def _switch(text: Column, flags: dict) -> Column:
 
 def anonymisation_levels(notes: DataFrame) -> DataFrame:
     """Every note at all 64 levels: (level, hadm_id, ..., text) with the
-    labels stripped (T11)."""
+    labels stripped (T11). The head is cut into pieces once per note; each
+    level joins them with its switches."""
     rows = level_flags()
     lv = F.array(*[F.struct(F.lit(r["level"]).alias("level"), *[F.lit(r[a]).alias(f"f_{a}")
                                                               for a in LEVEL_ATTRIBUTES]) for r in rows])
     head, tail = split_head_tail("text")
-    d = notes.withColumn("__head", head).withColumn("__tail", tail).drop("text")
+    on, off = switch_values()
+    d = spread(notes, "hadm_id")
+    d = d.withColumn("__pieces", tag_pieces(head, on, off)).withColumn("__tail", tail).drop("text")
     d = d.withColumn("__lv", F.explode(lv)).withColumn("level", F.col("__lv.level"))
     flags = {a: F.col(f"__lv.f_{a}") for a in LEVEL_ATTRIBUTES}
-    text = F.concat(T.strip_tags(_switch(F.col("__head"), flags)), F.col("__tail"))
-    return d.withColumn("text", text).drop("__lv", "__head", "__tail")
+    text = F.concat(render_pieces(F.col("__pieces"), switches_of(flags)), F.col("__tail"))
+    return d.withColumn("text", text).drop("__lv", "__pieces", "__tail")
 
 
 ATTRIBUTE_SETS = []  # (name, target, insert tag, flags)
@@ -101,20 +179,23 @@ def attribute_sets(notes: DataFrame) -> DataFrame:
     lv = F.array(*[F.struct(F.lit(n).alias("set_name"), F.lit(t).alias("target_name"),
                             F.lit(i or "").alias("insert"), *[F.lit(f[a]).alias(f"f_{a}") for a in LEVEL_ATTRIBUTES])
                    for n, t, i, f in ATTRIBUTE_SETS])
-    d = notes.withColumn("__s", F.explode(lv)).withColumn("set_name", F.col("__s.set_name"))
+    on, off = switch_values()
+    d = spread(notes, "hadm_id")
+    for name, text in [("none", F.col("text")), ("race", T.insert_attribute("text", "race", F.col("race"))),
+                       ("age", T.insert_attribute("text", "age", F.col("actual_age")))]:
+        head, tail = split_head_tail(text)
+        d = d.withColumn(f"__p_{name}", tag_pieces(head, on, off)).withColumn(f"__t_{name}", tail)
+    d = d.withColumn("__s", F.explode(lv)).withColumn("set_name", F.col("__s.set_name"))
     ins = F.col("__s.insert")
-    text = (F.when(ins == "race", T.insert_attribute("text", "race", F.col("race")))
-            .when(ins == "age", T.insert_attribute("text", "age", F.col("actual_age")))
-            .otherwise(F.col("text")))
-    head, tail = split_head_tail(text)
+    pieces = F.when(ins == "race", F.col("__p_race")).when(ins == "age", F.col("__p_age")).otherwise(F.col("__p_none"))
+    tail = F.when(ins == "race", F.col("__t_race")).when(ins == "age", F.col("__t_age")).otherwise(F.col("__t_none"))
     flags = {a: F.col(f"__s.f_{a}") for a in LEVEL_ATTRIBUTES}
-    d = d.withColumn("__head", head).withColumn("__tail", tail)
-    out = F.concat(T.strip_tags(_switch(F.col("__head"), flags)), F.col("__tail"))
+    out = F.concat(render_pieces(pieces, switches_of(flags)), tail)
     target = (F.when(F.col("__s.target_name") == "race", F.col("race"))
               .when(F.col("__s.target_name") == "gender", F.col("gender"))
               .otherwise(F.col("actual_age").cast("string")))
     return (d.withColumn("text", out).withColumn("target", target)
-            .drop("__s", "__head", "__tail"))
+            .drop("__s", *[f"__{k}_{n}" for k in "pt" for n in ("none", "race", "age")]))
 
 
 def variant_digest(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
