@@ -91,12 +91,14 @@ def prevalence(df: DataFrame, label: str, split: str, categories: dict[str, Colu
         *[F.avg(F.when(F.col("__s") == s, F.col("__y"))).alias(f"{s}_prevalence") for s in splits])
 
 
-def extremes(df: DataFrame, by: Sequence[str], order: str, cols: Sequence[str]) -> DataFrame:
+def extremes(df: DataFrame, by: Sequence[str], order: str | Sequence[str], cols: Sequence[str]) -> DataFrame:
     """The row with the smallest and the largest ``order`` per group
-    (``min_by``/``max_by`` on a struct: one aggregate, partial per task)."""
+    (``min_by``/``max_by`` on a struct: one aggregate, partial per task).
+    Further order columns break ties."""
+    order = [order] if isinstance(order, str) else list(order)
     s = F.struct(*[F.col(c) for c in cols])
-    return df.groupBy(*by).agg(F.min_by(s, F.col(order)).alias("min_row"),
-                               F.max_by(s, F.col(order)).alias("max_row"))
+    key = F.struct(*[F.col(c) for c in order])
+    return df.groupBy(*by).agg(F.min_by(s, key).alias("min_row"), F.max_by(s, key).alias("max_row"))
 
 
 def influence(df: DataFrame, run: str, score: str, flags: Sequence[str]) -> DataFrame:

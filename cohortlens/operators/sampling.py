@@ -55,13 +55,14 @@ def random_parts(df: DataFrame, n_parts: int, id_col: str, seed: int = 0, out: s
     return d.withColumn(out, part.cast("int")).drop("__p", "__n")
 
 
-def _train_quotas(counts: DataFrame, by: Sequence[str], label: str, test_size: float) -> DataFrame:
+def _train_quotas(counts: DataFrame, by: Sequence[str], label: str, test_size: float | str) -> DataFrame:
     """Per (group, class): rows that go to train. n_test = ceil(f * n);
     the train rows are shared over the classes by largest remainder, ties to
     the lower class value."""
     g = Window.partitionBy(*by) if by else Window.partitionBy()
     c = counts.withColumn("__n", F.sum("__nc").over(g))
-    c = c.withColumn("__ntrain", F.col("__n") - F.ceil(F.lit(test_size) * F.col("__n")))
+    ts = F.col(test_size) if isinstance(test_size, str) else F.lit(test_size)
+    c = c.withColumn("__ntrain", F.col("__n") - F.ceil(ts * F.col("__n")))
     exact = F.col("__ntrain") * F.col("__nc") / F.col("__n")
     c = c.withColumn("__fl", F.floor(exact)).withColumn("__rem", exact - F.floor(exact))
     c = c.withColumn("__left", F.col("__ntrain") - F.sum("__fl").over(g))
@@ -70,12 +71,13 @@ def _train_quotas(counts: DataFrame, by: Sequence[str], label: str, test_size: f
     return c.select(*by, label, "__quota")
 
 
-def stratified_split(df: DataFrame, by: Sequence[str], label: str, test_size: float, id_col: str,
+def stratified_split(df: DataFrame, by: Sequence[str], label: str, test_size: float | str, id_col: str,
                      seed: int = 42, out: str = "split", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Inside each group of ``by``, split rows into 'train'/'test' with
     class shares of ``label`` kept (largest-remainder quotas), the rows of
     each class taken in seeded random order. A class with one row goes to
-    train (the study's library raises there)."""
+    train (the study's library raises there). ``test_size`` may name a
+    column (then it must be part of ``by``): one job splits at many sizes."""
     by = list(by)
     counts = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("__nc"))
     quotas = _train_quotas(counts, by, label, test_size)

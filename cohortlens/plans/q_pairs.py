@@ -250,3 +250,9 @@ SELECT race, count(*) AS n FROM tt WHERE race IN (SELECT race FROM tt GROUP BY r
 def q_u2(spark, d):
     kept = groups_with_all(test_people(spark, d), "race", "gender")
     return kept.groupBy("race").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cte_body(sql: str) -> str:
+    """The WITH chain of a counterfactual oracle query without its final
+    digest (to build other reports on the same variant texts)."""
+    return sql[:sql.rindex(DIGEST)].rstrip()

@@ -102,7 +102,7 @@ def split_sql(src: str, group: str = "abbrev", label: str = "thirty_day_readmiss
 sp0 AS (SELECT hadm_id, {group} AS grp, {label} AS y, {u} AS u FROM {src}),
 sp_cnt AS (SELECT grp, y, count(*) AS nc FROM sp0 GROUP BY grp, y),
 sp_q1 AS (SELECT *, sum(nc) OVER (PARTITION BY grp) AS n FROM sp_cnt),
-sp_q2 AS (SELECT *, n - ceil({test_size} * n) AS ntrain FROM sp_q1),
+sp_q2 AS (SELECT *, n - ceil(CAST({test_size} AS DOUBLE) * n) AS ntrain FROM sp_q1),
 sp_q3 AS (SELECT *, floor(ntrain * nc / n) AS fl, ntrain * nc / n - floor(ntrain * nc / n) AS rem FROM sp_q2),
 sp_q4 AS (SELECT *, ntrain - sum(fl) OVER (PARTITION BY grp) AS lft,
                  row_number() OVER (PARTITION BY grp ORDER BY rem DESC, y) AS rk FROM sp_q3),
