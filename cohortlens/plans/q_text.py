@@ -160,12 +160,14 @@ def _lv_values() -> str:
     return "VALUES " + ", ".join(rows)
 
 
-C7_SQL = TN_WITH + f""",
+C7_BODY = TN_WITH + f""",
 lv AS (SELECT * FROM ({_lv_values()}) t(level, {', '.join('f_' + a for a in LEVEL_ATTRIBUTES)})),
 tn2 AS (SELECT *, regexp_extract(text, '(?s)^(.*>)', 1) AS hd FROM tn),
 tn3 AS (SELECT *, substr(text, length(hd) + 1) AS tl FROM tn2),
-lvl AS (SELECT lv.level, tn3.hadm_id, {S.strip(S.switch_info('hd', S.flags_on()))} || tl AS text
-        FROM tn3 CROSS JOIN lv)
+lvl AS (SELECT lv.level, tn3.hadm_id, tn3.thirty_day_readmission,
+               {S.strip(S.switch_info('hd', S.flags_on()))} || tl AS text
+        FROM tn3 CROSS JOIN lv)"""
+C7_SQL = C7_BODY + f"""
 {S.digest('text', 'level, split')} FROM lvl JOIN splits ON lvl.hadm_id = splits.hadm_id GROUP BY level, split"""
 
 
