@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import tags as T
 from ..functions.codes import AGE_SHIFT_RANGE, AGE_SHIFTS, RACE_CODES
 from ..operators.pairing import groups_with_all, rank_match, rank_match_all, tail_pairs
-from .variants import split_head_tail, spread
+from .variants import render_template, slot_template, split_head_tail, spread
 
 LABEL = "thirty_day_readmission"
 ATTR_COLS = ["hadm_id", "gender", "race", "race_abbrev", "abbrev", "name", "address", "actual_age", "dob",
@@ -24,12 +24,20 @@ ATTR_COLS = ["hadm_id", "gender", "race", "race_abbrev", "abbrev", "name", "addr
 
 
 def with_head_tail(notes: DataFrame) -> DataFrame:
+    """Attributes, the tagged head, the untagged tail and the slot template
+    of each note (computed once, before any fan-out)."""
     hd, tl = split_head_tail("text")
-    return notes.select(*ATTR_COLS, hd.alias("head"), tl.alias("tail"))
+    d = notes.select(*ATTR_COLS, hd.alias("head"), tl.alias("tail"))
+    tmpl, safe = slot_template(F.col("head"))
+    return d.withColumn("tmpl", tmpl).withColumn("safe", safe)
 
 
-def _text(head: Column, tail: Column, values: dict) -> Column:
-    return F.concat(T.strip_tags(T.fill_tags(head, values)), tail)
+def _text(head: Column, tail: Column, values: dict, tmpl: Column | None = None, safe: Column | None = None) -> Column:
+    """Variant text: slot filling where exact, else the regex chain."""
+    slow = T.strip_tags(T.fill_tags(head, values))
+    if tmpl is None:
+        return F.concat(slow, tail)
+    return F.concat(F.when(safe, render_template(tmpl, values)).otherwise(slow), tail)
 
 
 # (variant name, base side, regender, swap name, swap address)
@@ -61,7 +69,8 @@ def gender_counterfactuals(test_notes: DataFrame) -> DataFrame:
     vals["name"] = F.when(F.col("__v.sname"), oth("name")).otherwise(own("name"))
     vals["address"] = F.when(F.col("__v.saddr"), oth("address")).otherwise(own("address"))
     return p.select(F.col("__v.variant").alias("variant"), own("hadm_id").alias("hadm_id"),
-                    _text(own("head"), own("tail"), vals).alias("text"), own(LABEL).alias(LABEL))
+                    _text(own("head"), own("tail"), vals, own("tmpl"), own("safe")).alias("text"),
+                    own(LABEL).alias(LABEL))
 
 
 RACE_KINDS = ["name", "address", "name_address"]
@@ -81,10 +90,11 @@ def race_counterfactuals(test_notes: DataFrame) -> DataFrame:
     vals["address"] = F.when(F.col("__k").contains("address"), F.col("address_b")).otherwise(own("address"))
     swapped = p.select(F.concat_ws("_", own("race_abbrev"), F.lit("to"), F.col("race_abbrev_b"), F.col("__k"))
                        .alias("variant"), own("hadm_id").alias("hadm_id"),
-                       _text(own("head"), own("tail"), vals).alias("text"), own(LABEL).alias(LABEL))
+                       _text(own("head"), own("tail"), vals, own("tmpl"), own("safe")).alias("text"),
+                    own(LABEL).alias(LABEL))
     base_vals = T.all_on_values(F.col, F.col("gender"), race_on=False)
     base = tn.select(F.col("race_abbrev").alias("variant"), "hadm_id",
-                     _text(F.col("head"), F.col("tail"), base_vals).alias("text"), LABEL)
+                     _text(F.col("head"), F.col("tail"), base_vals, F.col("tmpl"), F.col("safe")).alias("text"), LABEL)
     return base.unionByName(swapped)
 
 
@@ -109,8 +119,7 @@ def race_counterfactuals_explicit(test_notes: DataFrame, codes: list[str]) -> Da
     vals["race"] = F.when(same, F.col("race")).otherwise(F.coalesce(F.element_at(m, F.col("__n")), F.col("__n")))
     variant = F.when(same, F.concat(F.col("race_abbrev"), F.lit("_race"))) \
         .otherwise(F.concat_ws("_", F.col("race_abbrev"), F.lit("to"), F.col("__n"), F.lit("race")))
-    return p.select(variant.alias("variant"), "hadm_id", _text(F.col("head"), F.col("tail"), vals).alias("text"),
-                    LABEL)
+    return p.select(variant.alias("variant"), "hadm_id", _text(F.col("head"), F.col("tail"), vals, F.col("tmpl"), F.col("safe")).alias("text"), LABEL)
 
 
 AGE_VARIANTS = []
@@ -141,7 +150,8 @@ def age_counterfactuals(test_notes: DataFrame, k: int = 12) -> DataFrame:
     vals["name"] = F.when(F.col("__v.sname"), oth("name")).otherwise(own("name"))
     vals["address"] = F.when(F.col("__v.saddr"), oth("address")).otherwise(own("address"))
     return p.select(F.col("__v.variant").alias("variant"), own("hadm_id").alias("hadm_id"),
-                    _text(own("head"), own("tail"), vals).alias("text"), own(LABEL).alias(LABEL))
+                    _text(own("head"), own("tail"), vals, own("tmpl"), own("safe")).alias("text"),
+                    own(LABEL).alias(LABEL))
 
 
 def age_shift(test_notes: DataFrame, deltas=AGE_SHIFTS, lo: int = AGE_SHIFT_RANGE[0],
@@ -158,7 +168,7 @@ def age_shift(test_notes: DataFrame, deltas=AGE_SHIFTS, lo: int = AGE_SHIFT_RANG
     vals["age"] = F.when(shifted, (F.col("actual_age") + F.col("__d.delta")).cast("string")).otherwise(vals["age"])
     vals["dob"] = F.when(shifted, (F.col("dob") - F.col("__d.delta")).cast("string")).otherwise(vals["dob"])
     return p.select(F.col("__d.variant").alias("variant"), "hadm_id",
-                    _text(F.col("head"), F.col("tail"), vals).alias("text"), LABEL)
+                    _text(F.col("head"), F.col("tail"), vals, F.col("tmpl"), F.col("safe")).alias("text"), LABEL)
 
 
 def counterfactual_digest(df: DataFrame) -> DataFrame:

@@ -306,3 +306,12 @@ def q_j10(spark, d):
 SELECT hadm_id, CAST(ntile(41) OVER (ORDER BY {U0}, hadm_id) AS INTEGER) AS part FROM cohort""")
 def q_w10(spark, d):
     return random_parts(C.build_cohort(spark, d), 41, "hadm_id", seed=0).select("hadm_id", "part")
+
+
+@register("p2_replace_flagged", REPL_WITH + "SELECT hadm_id, gender, race, actual_age FROM final WHERE replaced")
+def q_p2(spark, d):
+    """The replacement draws alone (one candidate per flagged stay)."""
+    pool = C.cohort_pool(spark, d)
+    sample = weighted_sample(pool, ["gender", "race"], C.PER_GROUP, "weight", "hadm_id", C.SEED)
+    res = C.replace_mismatched(sample, pool, ad.notes(spark, d))
+    return res.filter("replaced").select("hadm_id", "gender", "race", "actual_age")

@@ -203,3 +203,44 @@ def q_st1(spark, d):
     base = staging_dir(spark, "stream")
     out = stream_tag_personal(spark, d, "documents.parquet", os.path.join(base, "sink"), os.path.join(base, "ckpt"))
     return rowdigest(out, F.col("tagged"), "doc_id")
+
+
+@register("s3_recursive_glob", """
+SELECT lang, count(*) AS n_files FROM documents GROUP BY lang""")
+def q_s3(spark, d):
+    """S3: nested folders, a glob filter and an explicit file list: one text
+    file per document in folders by language, read recursively."""
+    base = staging_dir(spark, "docs_txt")
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    docs.repartition("doc_id").write.partitionBy("lang", "doc_id").text(base)
+    rd = read_notes(spark, base, suffix=".txt", glob="part-*.txt")
+    return rd.withColumn("lang", F.regexp_extract("file_path", "lang=([^/]+)/", 1)).groupBy("lang") \
+        .agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@register("s14_embedding_metadata", "SELECT count(*) AS num_rows, 64 AS embedding_dim FROM documents")
+def q_s14(spark, d):
+    from .embed import embedding_metadata
+    n = table(spark, d, "documents").count()  # the planned row count recorded in the sidecar
+    meta = embedding_metadata(spark, {"csv_path": d, "text_column": "text", "num_rows": n, "embedding_dim": 64})
+    path = staging_dir(spark, "meta")
+    meta.write.json(path)
+    return spark.read.json(path).select(F.col("num_rows").cast("long"), F.col("embedding_dim").cast("int"))
+
+
+@register("s15_metric_summary_long", METRIC_SQL)
+def q_s15(spark, d):
+    """The per-run evaluation summary in long form (run, metric, split,
+    value), without a file round trip."""
+    s = scores(spark, d)
+    m = (M.auroc(s, "y", "p", by=["variant"]).join(M.average_precision(s, "y", "p", by=["variant"]), "variant")
+         .join(M.brier(s, "y", "p", by=["variant"]), "variant"))
+    long = m.unpivot(["variant"], ["auroc", "auprc", "brier"], "metric", "value")
+    return long.select(F.col("variant").alias("run"), "metric", F.lit("test").alias("split"),
+                       F.round("value", 9).alias("value"))
+
+
+@register("f12_map_conflicts")
+def q_f12(spark, d):
+    """label maps of train and test compared (the S10 files)."""
+    return q_s10(spark, d)

@@ -488,3 +488,73 @@ def q_u1(spark, d):
     o = table(spark, d, "orders")
     parts = [o.filter(F.col("o_orderstatus") == g).select(F.lit(g).alias("grp"), "o_orderkey") for g in ("F", "O")]
     return parts[0].unionByName(parts[1])
+
+
+# ---------------------------------------------------------------- explicit small queries for ids used inside others
+
+@register("f1_select_rename_drop", """
+SELECT c_custkey AS subject_id, c_nationkey AS nation, c_acctbal FROM customer""")
+def q_f1(spark, d):
+    c = table(spark, d, "customer")
+    return c.withColumnRenamed("c_custkey", "subject_id").withColumnRenamed("c_nationkey", "nation") \
+        .drop("c_name", "c_mktsegment")
+
+
+@register("f2_filters", """
+SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice BETWEEN 1000 AND 50000
+AND o_orderpriority IS NOT NULL""")
+def q_f2(spark, d):
+    o = table(spark, d, "orders")
+    return o.filter((F.col("o_orderstatus") == "F") & F.col("o_totalprice").between(1000, 50000)
+                    & F.col("o_orderpriority").isNotNull()).select("o_orderkey")
+
+
+@register("j6_cross_join", """
+WITH seg AS (SELECT DISTINCT c_mktsegment AS s FROM customer)
+SELECT a.s AS original, b.s AS new FROM seg a CROSS JOIN seg b""")
+def q_j6(spark, d):
+    """All ordered pairs of a small dimension (distinct values on both
+    sides; the product is the square of the dimension, not of the data)."""
+    seg = table(spark, d, "customer").select(F.col("c_mktsegment").alias("s")).distinct()
+    return seg.select(F.col("s").alias("original")).crossJoin(seg.select(F.col("s").alias("new")))
+
+
+@register("j7_lookup_join", POOL_WITH + """
+SELECT r.hadm_id, d.name, d.address FROM readm r JOIN demographics d ON r.hadm_id = d.hadm_id""")
+def q_j7(spark, d):
+    """Per-note lookups of demographics by key as one equi-join (the
+    study scans the table once per note and attribute)."""
+    from .q_events import readmission_labels
+    return readmission_labels(spark, d).select("hadm_id").join(
+        C.demographics(spark, d).select("hadm_id", "name", "address"), "hadm_id")
+
+
+@register("a15_coarsen", LAB_WITH + f""",
+reg AS (SELECT {sql_race_code('n_name')} AS code, r_name AS grp FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT reg.grp, round(avg(CAST(thirty_day_readmission AS INTEGER)), 9) AS prevalence, count(*) AS n
+FROM lab JOIN reg ON lab.race_abbrev = reg.code GROUP BY reg.grp""")
+def q_a15(spark, d):
+    from .q_splits import labelled_stays
+    lab = labelled_stays(spark, d)
+    c = coarsen(lab, "race_abbrev", region_map(spark, d), map_code="code", map_group="group")
+    return c.groupBy(F.col("race_abbrev_group").alias("grp")).agg(
+        F.round(F.avg(F.col("thirty_day_readmission").cast("int")), 9).alias("prevalence"),
+        F.count(F.lit(1)).alias("n"))
+
+
+@register("t16_test_size_of_path", """
+SELECT DISTINCT 'auroc_eval/data/test_' || lpad(CAST(CAST(o_orderkey % 19 * 5 + 5 AS INTEGER) AS VARCHAR), 2, '0')
+       || '/test.csv' AS path,
+       (o_orderkey % 19 * 5 + 5) / 100.0 AS test_size FROM orders""")
+def q_t16(spark, d):
+    o = table(spark, d, "orders")
+    pct = (F.col("o_orderkey") % 19 * 5 + 5).cast("int")
+    path = F.concat(F.lit("auroc_eval/data/test_"), F.lpad(pct.cast("string"), 2, "0"), F.lit("/test.csv"))
+    return o.select(path.alias("path")).distinct().select("path", test_size_of("path").alias("test_size"))
+
+
+@register("p3_hash_order", f"""
+SELECT doc_id, row_number() OVER (ORDER BY {sql_uniform('doc_id', "'3'")}, doc_id) AS pos FROM documents""")
+def q_p3(spark, d):
+    from ..operators.sampling import hash_order_position
+    return hash_order_position(table(spark, d, "documents").select("doc_id"), [], "doc_id", seed=3, out="pos")
