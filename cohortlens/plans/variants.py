@@ -104,14 +104,14 @@ def render_pieces(pieces: Column, switches: Column) -> Column:
     return F.when(safe, plain).otherwise(T.strip_tags(tagged))
 
 
-# Slot templates: each switched tag of a head is replaced once by a control
+# Slot templates: each switched tag of a head is replaced once by a private-use
 # character naming its tag type, every other well-formed tag by its value.
 # A variant is then 14 plain replaces (codegen'd, no regex, no lambdas).
 # Exact wherever no '<' is left after that (a stray bracket would make the
-# study's label stripping eat across pieces) and the head holds no control
+# study's label stripping eat across pieces) and the head holds no private-use
 # characters; other notes take the piece / regex path.
 TAG_ORDER = ["name", "address", "age", "admission_date", "discharge_date", "dob", *T.GENDER_TERMS, "race"]
-SLOT = {t: chr(i + 1) for i, t in enumerate(TAG_ORDER)}
+SLOT = {t: chr(0xE000 + i) for i, t in enumerate(TAG_ORDER)}  # private-use code points
 
 
 def slot_template(head: Column) -> tuple[Column, Column]:
@@ -120,7 +120,7 @@ def slot_template(head: Column) -> tuple[Column, Column]:
     for tag in TAG_ORDER:
         t = F.regexp_replace(t, f"<{tag}>[^<]*</{tag}>", SLOT[tag])
     t = F.regexp_replace(t, r"<([A-Za-z_]+)>([^<]*)</\1>", "$2")
-    safe = (F.instr(t, "<") == 0) & ~head.rlike("[\\x01-\\x0e]")
+    safe = (F.instr(t, "<") == 0) & ~head.rlike("[\\uE000-\\uE0FF]")
     return t, safe
 
 
