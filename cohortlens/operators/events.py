@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import null_safe_join
+from .ranking import safe_keys
 
 FAR_FUTURE = "9999-12-31 00:00:00"
 
@@ -50,25 +50,29 @@ def label_next_event(df: DataFrame, entity: str, start: str, end: str, event_id:
     else:
         bucket = F.floor(F.unix_seconds(sort_end) / F.lit(split_seconds)).cast("long")
         d = d.withColumn("__b", bucket).withColumn("__send", sort_end)
-        w = Window.partitionBy(entity, "__b").orderBy(F.col("__send"), F.col(event_id))
+        d, ekeys = safe_keys(d, [entity])
+        bkeys = ["__b"]  # never null: built from a coalesced time
+        keys = [*ekeys, *bkeys]
+        w = Window.partitionBy(*keys).orderBy(F.col("__send"), F.col(event_id))
         d = (d.withColumn("__rn", F.row_number().over(w))
              .withColumn("__ln_start", F.lead(start).over(w))
              .withColumn("__ln_id", F.lead(event_id).over(w)))
-        per_b = d.groupBy(entity, "__b").agg(
+        per_b = d.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("__n"),
             F.min(F.struct(F.col("__send"), F.col(event_id).alias("id"), F.col(start).alias("st")))
             .alias("__first"))
-        wb = Window.partitionBy(entity).orderBy("__b")
+        wb = Window.partitionBy(*ekeys).orderBy(*bkeys)
         per_b = per_b.select(
-            entity, "__b",
+            *keys,
             F.coalesce(F.sum("__n").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
             F.lead("__first").over(wb).alias("__nb"))
-        d = null_safe_join(d, per_b, [entity, "__b"])
+        d = d.join(per_b, on=keys, how="inner")
         last_in_b = F.col("__ln_id").isNull()
         d = (d.withColumn(position, (F.col("__off") + F.col("__rn") - 1).cast("int"))
              .withColumn("__next_start", F.when(last_in_b, F.col("__nb.st")).otherwise(F.col("__ln_start")))
              .withColumn("__next_id", F.when(last_in_b, F.col("__nb.id")).otherwise(F.col("__ln_id")))
-             .drop("__b", "__send", "__rn", "__ln_start", "__ln_id", "__off", "__nb"))
+             .drop("__b", "__send", "__rn", "__ln_start", "__ln_id", "__off", "__nb",
+                   *[k for k in keys if k.startswith("__nk_") or k.startswith("__nn_")]))
     gap_ok = F.col("__next_start") <= F.col(end) + within_iv
     return (d.filter(F.col("__next_id").isNotNull() & F.col("__keep"))
             .withColumn(label, F.coalesce(gap_ok, F.lit(False)))

@@ -36,6 +36,37 @@ def bucket_of_unit(u: Column | str, buckets: int) -> Column:
     return F.least(F.floor(u * F.lit(buckets)), F.lit(buckets - 1)).cast("int")
 
 
+def safe_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Add non-null stand-ins of nullable key columns (value or a typed
+    default, plus an is-null flag), so that windows, aggregates and the
+    join back all use the same plain keys: the join then reuses the
+    partitioning of the windowed rows instead of shuffling them again, and
+    rows with a null key still form their own group."""
+    from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampType
+    out = []
+    for k in keys:
+        dt = df.schema[k].dataType
+        if not df.schema[k].nullable:
+            out.append(k)
+            continue
+        if isinstance(dt, NumericType):
+            default = F.lit(0).cast(dt)
+        elif isinstance(dt, StringType):
+            default = F.lit("")
+        elif isinstance(dt, BooleanType):
+            default = F.lit(False)
+        elif isinstance(dt, (TimestampType, DateType)):
+            default = F.lit("1970-01-01").cast(dt)
+        else:
+            df = df.withColumn(f"__nk_{k}", F.to_json(F.struct(F.col(k))))
+            out.append(f"__nk_{k}")
+            continue
+        df = (df.withColumn(f"__nk_{k}", F.coalesce(F.col(k), default))
+              .withColumn(f"__nn_{k}", F.col(k).isNull()))
+        out += [f"__nk_{k}", f"__nn_{k}"]
+    return df, out
+
+
 def ordered_position(df: DataFrame, by: Sequence[str], order: Sequence, bucket: Column,
                      out: str = "pos", running: dict[str, Column] | None = None,
                      total: str | None = None) -> DataFrame:
@@ -48,28 +79,30 @@ def ordered_position(df: DataFrame, by: Sequence[str], order: Sequence, bucket:
     ``total`` set, the group size is attached too (from the bucket table).
     """
     running = running or {}
-    by = list(by)
-    b = "__bucket"
-    d = df.withColumn(b, bucket)
-    w_local = Window.partitionBy(*by, b).orderBy(*_cols(order))
+    d, keys = safe_keys(df.withColumn("__bucket", bucket), [*by, "__bucket"])
+    gkeys = keys[:-2] if keys[-1].startswith("__nn_") else keys[:-1]  # group keys without the bucket
+    bkeys = [k for k in keys if k not in gkeys]
+    w_local = Window.partitionBy(*keys).orderBy(*_cols(order))
     w_cum = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("__local", F.row_number().over(w_local))
     for name, expr in running.items():
         d = d.withColumn(f"__r_{name}", F.sum(expr).over(w_cum))
     aggs = [F.count(F.lit(1)).alias("__n")] + [F.sum(expr).alias(f"__t_{name}") for name, expr in running.items()]
-    totals = d.groupBy(*by, b).agg(*aggs)
-    w_prev = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(b) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select(*by, b,
+    totals = d.groupBy(*keys).agg(*aggs)
+    g = Window.partitionBy(*gkeys) if gkeys else Window.partitionBy()
+    # null buckets (null order values) come first, as in an ascending sort
+    border = [F.col(bkeys[1]).desc(), F.col(bkeys[0])] if len(bkeys) == 2 else [F.col(bkeys[0])]
+    w_prev = g.orderBy(*border).rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select(*keys,
                          F.coalesce(F.sum("__n").over(w_prev), F.lit(0)).alias("__off"),
                          *[F.coalesce(F.sum(f"__t_{name}").over(w_prev), F.lit(0)).alias(f"__o_{name}")
                            for name in running],
-                         *([F.sum("__n").over(Window.partitionBy(*by) if by else Window.partitionBy())
-                            .alias(total)] if total else []))
-    out_df = null_safe_join(d, offs, [*by, b]).withColumn(out, F.col("__off") + F.col("__local"))
+                         *([F.sum("__n").over(g).alias(total)] if total else []))
+    out_df = d.join(offs, on=keys, how="inner").withColumn(out, F.col("__off") + F.col("__local"))
     for name in running:
         out_df = out_df.withColumn(name, F.col(f"__o_{name}") + F.col(f"__r_{name}"))
-    drop = [b, "__local", "__off"] + [f"__r_{n}" for n in running] + [f"__o_{n}" for n in running]
+    drop = ["__bucket", "__local", "__off"] + [f"__r_{n}" for n in running] + [f"__o_{n}" for n in running]
+    drop += [k for k in keys if k.startswith("__nk_") or k.startswith("__nn_")]
     return out_df.drop(*drop)
 
 
