@@ -119,7 +119,9 @@ def slot_template(head: Column) -> tuple[Column, Column]:
     t = head
     for tag in TAG_ORDER:
         t = F.regexp_replace(t, f"<{tag}>[^<]*</{tag}>", SLOT[tag])
-    t = F.regexp_replace(t, r"<([A-Za-z_]+)>([^<]*)</\1>", "$2")
+    # label tokens of other tags and stray '<...>' spans that hold no '<' and
+    # no slot are removed exactly as the final strip would remove them
+    t = F.regexp_replace(t, "<[^<>\\uE000-\\uE0FF]*>", "")
     safe = (F.instr(t, "<") == 0) & ~head.rlike("[\\uE000-\\uE0FF]")
     return t, safe
 
