@@ -35,8 +35,8 @@ from .registry import register
 from .tokens import Encoder, crc, in_parts
 
 CAPACITY = 2048
-GROUPS = 96
-SMALL = 4  # lengths up to capacity / SMALL are small
+GROUPS = 256
+SMALL = 3  # lengths up to capacity / SMALL are small
 BUCKET_ROWS = 50_000
 MOST_BUCKETS = 4096
 ship(__name__)
