@@ -19,6 +19,8 @@ from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..sources.tables import table
 from .common import ship
@@ -153,13 +155,12 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: fl
     """``(doc_id, n_matches, license, dice, kind, first_line, last_line, matches)`` of every row: the
     best match (null if there is none) and all of them. Lines count from 0."""
     texts = dict(TEMPLATES if templates is None else templates)
+    schema = to_arrow_schema(StructType.fromDDL(OUT))
 
     def run(batches):
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
 
-        index, schema = Index(texts), to_arrow_schema(StructType.fromDDL(OUT))
+        index = Index(texts)
         names = ("license", "dice", "kind", "first_line", "last_line")
         for batch in batches:
             rows = []

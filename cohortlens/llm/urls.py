@@ -182,7 +182,7 @@ grams as (select k, right(w, k + 1) as gram, left(right(w, k + 1), k) as context
 contexts as (select k, context, sum(a) as all_a, count(*) filter (a > 0) as kinds_a, sum(b) as all_b,
         count(*) filter (b > 0) as kinds_b from grams group by all),
 known as (select * from grams join contexts using (k, context)),
-levels as (select w, {pick} from counts join known on known.gram = right(w, k + 1) group by w),
+levels as (select w, {pick} from (select w from counts) join known on known.gram = right(w, k + 1) group by w),
 {", ".join(steps)},
 model as (select w, floor(1e6 * ln(p_a / p_b) + 0.5)::bigint as ratio from p_{ORDER}),
 sums as (select row, sum(ratio)::bigint as total, count(*) as len from w join model on gram = model.w group by row),
