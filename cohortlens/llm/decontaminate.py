@@ -148,11 +148,11 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, id_col: s
     if n <= broadcast_rows:
         met = runs.join(F.broadcast(prints), "hash", "left").where("from < 0 or item_words is not null")
     else:
-        hits = stage(runs.drop("doc_words").join(prints.drop("item_words"), "hash", "left")
-                     .where("from < 0 or item_at is not null"), "benchmark-hits")
+        hits = runs.drop("doc_words").join(prints.drop("item_words"), "hash", "left").where("from < 0 or item_at is not null")
+        hits = stage(hits.distinct().withColumnsRenamed({"doc_id": "of", "text_hash": "of_hash", "item_id": "of_item"}), "benchmark-hits")
         words = items.select(F.col(item_id_col).alias("item_id"), words_of(F.col(item_text_col)).alias("item_words"))
-        met = (hits.join(read, ["doc_id", "text_hash"])
-               .join(words.distinct(), "item_id", "left"))
+        met = (hits.join(read, F.expr("of <=> doc_id and of_hash = text_hash"))
+               .join(words.distinct(), F.expr("of_item <=> item_id and item_at is not null"), "left"))
     places = met.select(
         "doc_id", "text_hash", F.when(F.col("from") < 0, F.size("doc_words")).alias("n_words"),
         "doc_words", "item_id", "item_words", "item_at", "k",

@@ -34,12 +34,17 @@ OVERFULL = 1.25  # times the mean
 BUCKET_ROWS = 50_000
 
 
+def text_key(text: Column) -> Column:
+    """53 bits of a hash, as quantiles are doubles."""
+    return F.shiftright(F.xxhash64(F.coalesce(text, F.lit(""))), 11)
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, size, text_crc32, text_key, row_key)`` of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_key"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), text_key(text).alias("text_key"),
         F.xxhash64(F.lit("row"), F.col(id_col)).alias("row_key"))
 
 
@@ -54,7 +59,7 @@ def boundaries(keys: DataFrame, total: int, ranges: int) -> tuple[list[int], set
     drawn = (keys.withColumn("n", draws(total, ranges * DRAWS)).where("n > 0")
              .select("text_key", F.explode(F.expr("sequence(1L, n)"))))
     at = drawn.agg(F.percentile_approx("text_key", [i / ranges for i in range(1, ranges)], 100_000)).first()[0] or []
-    cuts = sorted({c for b in at for c in ((b, b + 1) if at.count(b) > 1 else (b,)) if c < 1 << 63})
+    cuts = sorted({c for b in at for c in ((b, b + 1) if at.count(b) > 1 else (b,))})
     return cuts, {cuts.index(b) + 1 for b in set(at) if at.count(b) > 1}
 
 
@@ -114,14 +119,12 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str =
     columns ``shard`` and ``slot`` (in place of such columns of their own). Places are joined to
     the rows by id and text key, and by number among rows that repeat both."""
     number = lambda of, key: F.expr(f"row_number() over (partition by {of}, {key} order by {key})")
-    where = placed(stage(keyed(docs, id_col, text_col), "shard-keys"), shards).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    where = where.withColumn("_copy", number("_id", "_key"))
-    rows = docs.withColumns({"_of": F.col(id_col), "_text": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    rows = rows.withColumn("_nth", number("_of", "_text"))
-    out = (rows.join(where, F.expr("_of <=> _id and _text = _key and _nth = _copy"))
-           .withColumns({"shard": F.col("_shard"), "slot": F.col("_slot")})
-           .drop("_of", "_text", "_nth", "_id", "_key", "_copy", "_shard", "_slot"))
+    where = placed(stage(keyed(docs, id_col, text_col), "shard-keys"), shards).withColumn("nth", number("doc_id", "text_key"))
+    own = [F.col(c) for c in docs.columns if c not in ("shard", "slot")]
+    rows = docs.select(F.struct(*own).alias("row"), F.col(id_col).alias("of"), text_key(F.col(text_col)).alias("of_key"))
+    rows = rows.withColumn("copy", number("of", "of_key"))
+    out = (rows.join(where, F.expr("of <=> doc_id and of_key = text_key and copy = nth"))
+           .select("row.*", "shard", "slot"))
     out.write.partitionBy("shard").parquet(path)
     return docs.sparkSession.read.schema(out.schema).parquet(path)
 

@@ -5,7 +5,8 @@ ascending order of the id. Each file is a parquet table of blocks of about ``BLO
 a grammar of its own: frequent pairs of neighbouring symbols are replaced by a new symbol, round
 after round, until no pair is frequent any more. In a round all pairs within a factor of the most
 frequent one are replaced together, unless one could overlap another (a symbol is only the left or
-only the right side of a round's pairs).
+only the right side of a round's pairs); a pair of equal symbols has a round of its own, in which
+every second place of a run is replaced.
 
 A block stores its documents' ids and numbers of tokens, the rules (left and right symbol of each
 new symbol), the number of ids that each new symbol stands for, the sequence of symbols, and the
@@ -56,14 +57,16 @@ def frequent_pairs(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]
         if times[i] < limit:
             break
         a, b = int(some[i]) >> 32, int(some[i]) & 0xFFFFFFFF
-        if a != b and a not in rights and b not in lefts:
+        if a == b:
+            if not chosen:
+                return np.array([int(some[i])], np.int64), pair
+            continue
+        if a not in rights and b not in lefts:
             lefts.add(a)
             rights.add(b)
             chosen.append(int(some[i]))
-    if not chosen and limit > least:  # what was counted together is rarer apart, or doubles: look lower
-        rest = [int(some[i]) for i in np.argsort(-times, kind="stable") if times[i] >= least and
-                int(some[i]) >> 32 != int(some[i]) & 0xFFFFFFFF][:1]
-        chosen = rest
+    if not chosen and len(times) and times.max() >= least:  # pairs counted together are rarer apart
+        chosen = [int(some[times.argmax()])]
     return np.array(sorted(chosen), np.int64), pair
 
 
@@ -83,6 +86,10 @@ def compress(ids: np.ndarray, first_symbol: int, least: int = LEAST_COUNT) -> tu
             rules.append((a, b))
         at = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
         hit = chosen[at] == pair
+        if rules[-1][0] == rules[-1][1]:  # overlaps with itself: every second place of a run
+            place = np.flatnonzero(hit)
+            run = np.flatnonzero(np.diff(place, prepend=-2) > 1)
+            hit[place[(place - np.repeat(place[run], np.diff(run, append=len(place)))) % 2 == 1]] = False
         seq[:-1][hit] = (base + at[hit]).astype(np.uint32)
         stay = np.ones(len(seq), bool)
         stay[1:][hit] = False

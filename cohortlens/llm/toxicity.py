@@ -107,7 +107,7 @@ def chosen(labels: DataFrame, sample: int) -> DataFrame:
            .groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")))
     one = stage(one, "toxicity-labels")
     sizes = {r["toxic"]: r["n"] for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share: Column = F.lit(0.0)
+    share: Column = F.lit(1.0)
     for c, n in sizes.items():
         share = F.when(F.col("toxic") == c, F.lit(min(1.0, sample / n))).otherwise(share)
     place = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) / 1e6
