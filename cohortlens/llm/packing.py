@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .common import ship, stage
 from .registry import register
-from .tokens import Encoder, crc, in_parts
+from .tokens import crc, encoder, in_parts
 
 CAPACITY = 2048
 GROUPS = 256
@@ -40,7 +40,7 @@ SMALL = 3  # lengths up to capacity / SMALL are small
 BUCKET_ROWS = 50_000
 MOST_BUCKETS = 4096
 ship(__name__)
-ship(Encoder.__module__)
+ship(encoder.__module__)
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -57,12 +57,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     def run(batches):
         import pyarrow as pa
 
-        encoder = Encoder(tokenizer)
+        known = encoder(tokenizer)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             at = 0
             for part in in_parts(batch.column(1).to_pylist()):
-                rows = [(d, p, s, n, crc(x[s:s + n])) for d, x in zip(ids[at:at + len(part)], encoder.encode(part))
+                rows = [(d, p, s, n, crc(x[s:s + n])) for d, x in zip(ids[at:at + len(part)], known.encode(part))
                         for p, (s, n) in enumerate(cuts(len(x), capacity))]
                 at += len(part)
                 yield pa.RecordBatch.from_arrays(

@@ -30,36 +30,34 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .common import broadcast_if_small, ship, stage
 from .registry import register
-from .tokens import Encoder, crc, in_parts
+from .tokens import crc, encoder, in_parts
 
 BLOCK = 1 << 20
 MARK = 1024
 LEAST_COUNT = 64  # a pair less frequent than that in a block stays
-SHARE = 4  # a round replaces the pairs with at least this part of the largest count
-ROUNDS = 24
-HASH_BITS = 20
+SHARE = 16  # a round replaces the pairs with at least this part of the largest count
+ROUNDS = 16
+HASH_BITS = 18
+ROOM = 1 << 12  # least number of new symbols that 16 bits are to leave
 BROADCAST_BLOCKS = 1_000_000
 FORMAT = ("shard int, block int, n_tokens long, doc_ids binary, doc_lengths binary, rules binary, "
           "lengths binary, symbols binary, marks binary")
 ship(__name__)
-ship(Encoder.__module__)
+ship(encoder.__module__)
 
 
-def frequent_pairs(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (left << 32 | right) to replace in one round, and the pair at each place."""
-    pair = (seq[:-1].astype(np.int64) << 32) | seq[1:]
-    slot = ((pair * np.int64(0x9E3779B97F4A7C15 - (1 << 64))) >> np.int64(64 - HASH_BITS)) & ((1 << HASH_BITS) - 1)
-    counts = np.bincount(slot, minlength=1 << HASH_BITS)  # at least the count of each pair
-    limit = max(least, int(counts.max(initial=0)) // SHARE)
-    some, times = np.unique(pair[counts[slot] >= limit], return_counts=True)
+def frequent_pairs(found: np.ndarray, shift: int, limit: int, least: int) -> list[int]:
+    """Keys of the pairs to replace in one round, from the keys at all places whose pair may be
+    frequent enough."""
+    some, times = np.unique(found, return_counts=True)
     lefts, rights, chosen = set(), set(), []
     for i in np.argsort(-times, kind="stable"):
         if times[i] < limit:
             break
-        a, b = int(some[i]) >> 32, int(some[i]) & 0xFFFFFFFF
+        a, b = int(some[i]) >> shift, int(some[i]) & (1 << shift) - 1
         if a == b:
             if not chosen:
-                return np.array([int(some[i])], np.int64), pair
+                return [int(some[i])]
             continue
         if a not in rights and b not in lefts:
             lefts.add(a)
@@ -67,33 +65,48 @@ def frequent_pairs(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]
             chosen.append(int(some[i]))
     if not chosen and len(times) and times.max() >= least:  # pairs counted together are rarer apart
         chosen = [int(some[times.argmax()])]
-    return np.array(sorted(chosen), np.int64), pair
+    return sorted(chosen)
 
 
 def compress(ids: np.ndarray, first_symbol: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(symbols, rules, lengths)``: new symbols count up from ``first_symbol``."""
-    seq, rules, lengths = ids.astype(np.uint32), [], []
+    """``(symbols, rules, lengths)``: new symbols count up from ``first_symbol``. Symbols have 16 bits
+    where the vocabulary leaves room for ``ROOM`` new ones (which end the rounds), else 32."""
+    narrow = first_symbol + ROOM <= 1 << 16
+    kind, wide, shift = (np.uint16, np.uint32, 16) if narrow else (np.uint32, np.uint64, 32)
+    most = (1 << shift) - first_symbol
+    factor, down = wide(0x9E3779B1 if narrow else 0x9E3779B97F4A7C15), wide(2 * shift - HASH_BITS)
+    seq, rules, lengths = ids.astype(kind), [], []
     for _ in range(ROUNDS):
         if len(seq) < 2:
             break
-        chosen, pair = frequent_pairs(seq, least)
-        if not len(chosen):
+        key = seq[:-1].astype(wide)
+        key <<= wide(shift)
+        key |= seq[1:]
+        slot = key * factor
+        slot >>= down
+        slot = slot.astype(np.int64)
+        counts = np.bincount(slot, minlength=1 << HASH_BITS)  # at least the count of each pair
+        limit = max(least, int(counts.max()) // SHARE)
+        place = np.flatnonzero((counts >= limit)[slot])
+        found = key[place]
+        chosen = frequent_pairs(found, shift, limit, least)[:most - len(rules)]
+        if not chosen:
             break
         base = first_symbol + len(rules)
-        for p in chosen.tolist():
-            a, b = p >> 32, p & 0xFFFFFFFF
+        for p in chosen:
+            a, b = p >> shift, p & (1 << shift) - 1
             lengths.append(sum(1 if s < first_symbol else lengths[s - first_symbol] for s in (a, b)))
             rules.append((a, b))
-        at = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
-        hit = chosen[at] == pair
+        keys = np.array(chosen, wide)
+        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+        same = keys[at] == found
+        place, at = place[same], at[same]
         if rules[-1][0] == rules[-1][1]:  # overlaps with itself: every second place of a run
-            place = np.flatnonzero(hit)
             run = np.flatnonzero(np.diff(place, prepend=-2) > 1)
-            hit[place[(place - np.repeat(place[run], np.diff(run, append=len(place)))) % 2 == 1]] = False
-        seq[:-1][hit] = (base + at[hit]).astype(np.uint32)
-        stay = np.ones(len(seq), bool)
-        stay[1:][hit] = False
-        seq = seq[stay]
+            even = (place - np.repeat(place[run], np.diff(run, append=len(place)))) % 2 == 0
+            place, at = place[even], at[even]
+        seq[place] = (base + at).astype(kind)
+        seq = np.delete(seq, place + 1)
     return seq, np.array(rules, np.uint32).reshape(-1, 2), np.array(lengths, np.uint32)
 
 
@@ -163,7 +176,7 @@ def write_files(docs: DataFrame, tokenizer: str, vocabulary: int, id_col: str =
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, shard, block = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        known, shard, block = encoder(tokenizer), TaskContext.get().partitionId(), 0
         names = [c.split()[0] for c in FORMAT.split(", ")]
         kinds = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]] for c in FORMAT.split(", ")]
         ids, parts, size = [], [], 0
@@ -175,7 +188,7 @@ def write_files(docs: DataFrame, tokenizer: str, vocabulary: int, id_col: str =
         for batch in batches:
             batch_ids, at = batch.column(0).to_pylist(), 0
             for part in in_parts(batch.column(1).to_pylist()):
-                for d, x in zip(batch_ids[at:at + len(part)], encoder.encode(part)):
+                for d, x in zip(batch_ids[at:at + len(part)], known.encode(part)):
                     ids.append(d)
                     parts.append(x)
                     size += len(x)

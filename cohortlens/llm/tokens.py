@@ -3,19 +3,20 @@
 The tokenizer's split never joins across a single space or line end between two other characters,
 so a text is the sequence of its pieces between those, and each distinct piece has to be encoded
 once only; a text with other white space, a zero character or a special token's string is encoded
-whole.
+whole. New pieces are encoded many at a time, as one text; the bytes that each token stands for tell
+where a piece's ids end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 
 from .common import ship
 
 END = 0
+RUN = 1000  # new pieces in one text
 ship(__name__)
 
 
@@ -35,7 +36,7 @@ class Numbers(dict):
 class Encoder:
     """Encodes texts; keeps the ids of up to ``most`` distinct pieces, then starts afresh."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -43,6 +44,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # a byte-level token has a character a byte
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes[i] = len(token)
         self.most = most
         self.clear()
 
@@ -54,17 +58,30 @@ class Encoder:
     def learn(self) -> None:
         """Encode new pieces; one that begins or ends with white space (beyond its own line end)
         or is nothing but that has no ids of its own: length -1."""
-        texts = []
-        for p in self.numbers.new:
+        pieces, new = self.numbers.new, np.full(len(self.numbers.new), -1, np.int32)
+        parts, at = [], []
+        for i, p in enumerate(pieces):
             core = p[1:] if p[0] in "\n\0" else p
-            if not core or "\0" in core or core[0].isspace() or core[-1].isspace():
-                texts.append("")
-            else:
-                texts.append(p if p[0] == "\n" else core if p[0] == "\0" else " " + p)
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        self.numbers.new.clear()
-        new = np.array([len(f) or -1 for f in found], np.int32)
-        flat = np.fromiter(chain.from_iterable(found), self.ids.dtype, int(np.maximum(new, 0).sum()))
+            if core and "\0" not in core and not core[0].isspace() and not core[-1].isspace():
+                # a text's first piece is read behind a line end, which is an id of its own
+                parts.append(p if p[0] == "\n" else "\n" + core if p[0] == "\0" else " " + p)
+                at.append(i)
+        runs = [parts[i:i + RUN] for i in range(0, len(parts), RUN)]
+        flats, at = [], np.array(at, np.int64)
+        for k, e in enumerate(self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, self.ids.dtype)
+            ends = np.cumsum(np.fromiter((len(p.encode()) for p in runs[k]), np.int64, len(runs[k])))
+            upto = np.searchsorted(np.cumsum(self.bytes[ids]), ends, "right")
+            here = at[k * RUN:k * RUN + len(upto)]
+            new[here] = np.diff(upto, prepend=0)
+            first = [j for j, i in enumerate(here.tolist()) if pieces[i][0] == "\0"]
+            if first:  # without the line end that was put before it
+                starts = np.concatenate(([0], upto[:-1]))[first]
+                ids = np.delete(ids, starts)
+                new[here[first]] -= 1
+            flats.append(ids)
+        pieces.clear()
+        flat = np.concatenate([*flats, self.ids[:0]])
         ends = len(self.ids) + np.cumsum(np.maximum(new, 0))
         self.lengths = np.concatenate((self.lengths, new))
         self.starts = np.concatenate((self.starts, (ends - np.maximum(new, 0)).astype(np.int32)))
@@ -99,6 +116,17 @@ class Encoder:
         return out
 
 
+def encoder(path: str) -> Encoder:
+    """The worker's encoder of this file. Python workers serve many tasks; what was learned is kept
+    at the library's module, as functions that are sent by value have no module of their own."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 def in_parts(texts: list[str | None], chars: int = 1 << 21) -> Iterator[list[str | None]]:
     """The texts in parts of about so many characters, at least one text each."""
     part, n = [], 0
