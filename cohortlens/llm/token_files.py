@@ -98,7 +98,9 @@ def compress(ids: np.ndarray, first_symbol: int, least: int = LEAST_COUNT) -> tu
             lengths.append(sum(1 if s < first_symbol else lengths[s - first_symbol] for s in (a, b)))
             rules.append((a, b))
         keys = np.array(chosen, wide)
-        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+        rule = np.zeros(1 << HASH_BITS, np.int32)  # a slot that two rules share has the later one
+        rule[((keys * factor) >> down).astype(np.int64)] = np.arange(len(keys))
+        at = rule[slot[place]]
         same = keys[at] == found
         place, at = place[same], at[same]
         if rules[-1][0] == rules[-1][1]:  # overlaps with itself: every second place of a run
@@ -112,27 +114,18 @@ def compress(ids: np.ndarray, first_symbol: int, least: int = LEAST_COUNT) -> tu
 
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_symbol: int) -> np.ndarray:
     """The ids that the symbols stand for."""
-    if not len(rules):
-        return symbols.astype(np.uint32)
-    starts = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
-    flat = np.empty(int(starts[-1]), np.uint32)
-    for i, (a, b) in enumerate(rules.tolist()):  # a rule's parts come before it
-        at = starts[i]
-        for s in (a, b):
-            part = flat[starts[s - first_symbol]:starts[s - first_symbol + 1]] if s >= first_symbol else (s,)
-            flat[at:at + len(part)] = part
-            at += len(part)
-    symbols = symbols.astype(np.int64)
-    new = symbols >= first_symbol
-    n = np.ones(len(symbols), np.int64)
-    n[new] = lengths[symbols[new] - first_symbol]
-    source = np.where(new, starts[np.maximum(symbols - first_symbol, 0) % len(lengths)], 0)
+    n = np.ones(first_symbol + len(rules), np.int32)
+    n[first_symbol:] = lengths
+    starts = np.cumsum(n) - n
+    flat = np.empty(int(n.sum()), np.uint32)
+    flat[:first_symbol] = np.arange(first_symbol)
+    for i, (a, b) in enumerate(rules.tolist(), first_symbol):  # a rule's parts come before it
+        at, middle = starts[i], starts[i] + n[a]
+        flat[at:middle] = flat[starts[a]:starts[a] + n[a]]
+        flat[middle:at + n[i]] = flat[starts[b]:starts[b] + n[b]]
+    n = n[symbols]
     ends = np.cumsum(n)
-    out = np.repeat(symbols, n)
-    inside = np.repeat(new, n)
-    place = np.arange(len(out)) + np.repeat(source - ends + n, n)
-    out[inside] = flat[place[inside]]
-    return out.astype(np.uint32)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[symbols] - ends + n, n)]
 
 
 def block_row(shard: int, block: int, ids: list, parts: list[np.ndarray], vocabulary: int) -> dict:
