@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from .common import ship, stage
+from .common import broadcast_if_small, ship, stage
 from .components import components
 from .registry import register
 
 BITS = 64
+BROADCAST_IDS = 1_000_000
 ship(__name__)
 
 
@@ -131,13 +132,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: in
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of the smallest id of each group; of rows that repeat an id, one stays.
-    Rows without an id have no name to be kept by and go."""
-    found = stage(near_duplicates(docs, shingle, radius, id_col=id_col, text_col=text_col), "simhash-found")
-    keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    keep = stage(keep, "simhash-keep")
-    kept = docs.join(keep.select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
-    repeated = keep.where("n > 1").limit(1).count()
-    return kept.dropDuplicates([id_col]) if repeated else kept
+    Rows without an id have no name to be kept by and go. The ids that go are broadcast when their
+    counted number is within ``BROADCAST_IDS``, so that texts are not shuffled; else AQE splits the
+    join."""
+    found = near_duplicates(docs, shingle, radius, id_col=id_col, text_col=text_col)
+    ids = stage(found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"),
+                                            F.count("*").alias("n")), "simhash-ids")
+    gone = ids.where("not stays").select(F.col("doc_id").alias("_gone"))
+    n = ids.agg(F.count_if(~F.col("stays")), F.count_if(F.col("stays") & (F.col("n") > 1))).first()
+    kept = (docs.where(F.col(id_col).isNotNull())
+            .join(broadcast_if_small(gone, n[0], BROADCAST_IDS), F.col(id_col).cast("long") == F.col("_gone"), "left_anti"))
+    return kept.dropDuplicates([id_col]) if n[1] else kept
 
 
 @register("op4_simhash_near_dedup")
