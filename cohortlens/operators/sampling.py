@@ -139,9 +139,9 @@ def cap_split(df: DataFrame, n: int, id_col: str, seed: int = 0) -> DataFrame:
 
 def select_task(df: DataFrame, task: str, shot_size: int, fold: int) -> DataFrame:
     """P10: rows of a few-shot split table for one task: training rows of the
-    given shot size (-1 = all sizes) and fold, plus all test rows."""
+    given shot size (-1 = all sizes) and fold, plus all validation and test rows."""
     t = df.filter(F.col("task") == task)
     train = t.filter((F.col("split_name") == "train") & (F.col("fold") == fold))
     if shot_size >= 0:
         train = train.filter(F.col("shot_size") == shot_size)
-    return train.unionByName(t.filter(F.col("split_name") == "test"))
+    return train.unionByName(t.filter(F.col("split_name").isin("val", "test")))
