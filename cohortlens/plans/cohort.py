@@ -65,14 +65,17 @@ def replace_mismatched(sample: DataFrame, pool: DataFrame, notes: DataFrame, see
     record are replaced by stays of the same gender, race and age whose note
     agrees. The k-th flagged stay of a stratum (by id) takes the k-th
     candidate in seeded random order, so no candidate is used twice and no
-    sampled stay comes back. Flagged stays without a candidate are dropped.
-    Adds ``replaced``."""
+    sampled stay comes back. Flagged stays without a candidate stay as they
+    are, marked ``mismatched``. Adds ``replaced`` and ``mismatched``; one row
+    comes back per sampled stay."""
     text = notes.select("hadm_id", find_sex("text").alias("sex"))
     s = sample.join(text, "hadm_id", "left").withColumn("sex", F.coalesce("sex", F.lit("")))
-    keep = s.filter(F.col("sex") == F.col("gender")).drop("sex").withColumn("replaced", F.lit(False))
+    agrees = F.coalesce(F.col("sex") == F.col("gender"), F.lit(False))
+    keep = (s.filter(agrees).drop("sex").withColumn("replaced", F.lit(False))
+            .withColumn("mismatched", F.lit(False)))
     strata = ["gender", "race", "actual_age"]
-    flagged = s.filter(F.col("sex") != F.col("gender")).select(*strata, "hadm_id")
-    flagged = ordered_position(flagged, strata, [F.col("hadm_id")], F.lit(0), out="__k")
+    flagged = ordered_position(s.filter(~agrees).drop("sex"), strata, [F.col("hadm_id")],
+                               F.floor(F.col("hadm_id") / 4096), out="__k")
     cand = (pool.join(flagged.select(*strata).distinct(), strata, "left_semi")
             .join(sample.select("hadm_id"), "hadm_id", "left_anti")
             .join(text, "hadm_id", "inner")
@@ -80,9 +83,13 @@ def replace_mismatched(sample: DataFrame, pool: DataFrame, notes: DataFrame, see
     cand = cand.withColumn("__u", uniform(F.col("hadm_id"), seed))
     cand = ordered_position(cand, strata, [F.col("__u"), F.col("hadm_id")], bucket_of_unit("__u", 16),
                             out="__k").drop("__u")
-    repl = cand.join(flagged.select(*strata, "__k"), [*strata, "__k"], "inner").drop("__k") \
-        .withColumn("replaced", F.lit(True))
-    return keep.unionByName(repl.select(*keep.columns))
+    own = [c for c in sample.columns if c not in strata]
+    cand = cand.select(*strata, "__k", *[F.col(c).alias(f"__new_{c}") for c in own])
+    found = F.col("__new_hadm_id").isNotNull()
+    rest = flagged.join(cand, [*strata, "__k"], "left").select(
+        *strata, *[F.when(found, F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) for c in own],
+        found.alias("replaced"), (~found).alias("mismatched"))
+    return keep.unionByName(rest)
 
 
 def demographics(spark: SparkSession, d: str, pool: DataFrame | None = None) -> DataFrame:

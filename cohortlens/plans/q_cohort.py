@@ -69,12 +69,15 @@ cand AS (
     AND EXISTS (SELECT 1 FROM flag f WHERE f.gender = p.gender AND f.race = p.race
                 AND f.actual_age = p.actual_age)),
 final AS (
-  SELECT hadm_id, subject_id, abbrev, gender, race, actual_age, thirty_day_readmission, false AS replaced
+  SELECT hadm_id, subject_id, abbrev, gender, race, actual_age, thirty_day_readmission, false AS replaced,
+         false AS mismatched
   FROM samp WHERE sex = gender
   UNION ALL
-  SELECT c.hadm_id, c.subject_id, c.abbrev, c.gender, c.race, c.actual_age, c.thirty_day_readmission, true
-  FROM flag f JOIN cand c ON f.gender = c.gender AND f.race = c.race AND f.actual_age = c.actual_age
-                          AND f.k = c.k)"""
+  SELECT COALESCE(c.hadm_id, s.hadm_id), COALESCE(c.subject_id, s.subject_id), s.abbrev, s.gender, s.race,
+         s.actual_age, CASE WHEN c.hadm_id IS NULL THEN s.thirty_day_readmission ELSE c.thirty_day_readmission END,
+         c.hadm_id IS NOT NULL, c.hadm_id IS NULL
+  FROM flag f JOIN samp s ON f.hadm_id = s.hadm_id
+  LEFT JOIN cand c ON f.gender = c.gender AND f.race = c.race AND f.actual_age = c.actual_age AND f.k = c.k)"""
 
 POOL_WITH = (ad.sql_with("admissions", "note_keys", "patients") + "," + SQL_EVENTS + "," + SQL_POOL + "\n")
 REPL_WITH = (ad.sql_with("admissions", "note_keys", "patients", "notes") + "," + SQL_EVENTS + "," + SQL_POOL
@@ -95,7 +98,7 @@ def q_c2(spark, d):
     sample = weighted_sample(pool, ["gender", "race"], C.PER_GROUP, "weight", "hadm_id", C.SEED)
     res = C.replace_mismatched(sample, pool, ad.notes(spark, d))
     return res.select("hadm_id", "subject_id", "abbrev", "gender", "race", "actual_age",
-                      "thirty_day_readmission", "replaced")
+                      "thirty_day_readmission", "replaced", "mismatched")
 
 
 @register("f6_unambiguous", ad.sql_with("admissions", "note_keys", "patients") + "," + SQL_EVENTS + "," + """

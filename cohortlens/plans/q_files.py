@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -26,6 +27,7 @@ from .q_events import READM_WITH, readmission_labels
 from .q_freetext import sql_tag_personal
 from .q_metrics import SCORES_SQL, scores, sql_ap, sql_auroc
 from .q_pairs import _c13_sql, cte_body, test_notes
+from .q_splits import LAB_WITH, labelled_stays
 from .q_text import C7_BODY, TN_WITH, rowdigest, sql_rowdigest
 
 ADM_SCHEMA = "hadm_id long, subject_id long, admittime timestamp, dischtime timestamp, race string"
@@ -118,12 +120,12 @@ def q_s9(spark, d):
     return long.select("run", "metric", "split", F.round("value", 9).alias("value"))
 
 
-@register("s10_read_label_maps")
+@register("s10_read_label_maps", LAB_WITH + """,
+cls AS (SELECT DISTINCT s.split AS source, l.race_abbrev AS key FROM lab l JOIN splits s ON l.hadm_id = s.hadm_id)
+SELECT source, key, CAST(row_number() OVER (PARTITION BY source ORDER BY key) - 1 AS INTEGER) AS value FROM cls""")
 def q_s10(spark, d):
     """Label maps fitted separately on train and test (the study's race
-    encoding), written as metadata sidecars, read back recursively (S10)
-    and compared (F12): classes whose index differs between the files."""
-    from .q_splits import labelled_stays
+    encoding), written as metadata sidecars and read back recursively."""
     from ..functions.vectors import encode_label
     base = staging_dir(spark, "label_maps")
     sp = stratified_split(labelled_stays(spark, d), ["gender"], "thirty_day_readmission", 0.5, "hadm_id", 42)
@@ -133,8 +135,7 @@ def q_s10(spark, d):
             .withColumn("split", F.lit(part))
         meta.coalesce(1).write.json(os.path.join(base, f"{part}_metadata"))
     maps = read_label_maps(spark, base, glob="*.json")
-    maps = maps.withColumn("source", F.regexp_extract("source", "/([a-z]+)_metadata/", 1))
-    return map_conflicts(maps, "source", "key", "value")
+    return maps.select(F.regexp_extract("source", "/([a-z]+)_metadata/", 1).alias("source"), "key", "value")
 
 
 @register("s11_write_variants", cte_body(_c13_sql()) + "\n" + S.digest("text", "variant") +
@@ -151,7 +152,10 @@ def q_s11(spark, d):
                                        .alias("n_chars"), F.sum(h).cast("bigint").alias("md5_sum"))
 
 
-@register("s12_write_modes")
+@register("s12_write_modes", """
+SELECT 'errorifexists' AS mode, 'refused' AS outcome
+UNION ALL SELECT 'ignore', 'kept ' || count(*) || ' rows' FROM labels
+UNION ALL SELECT 'overwrite', 'now ' || count(*) FILTER (quality = 1) || ' rows' FROM labels""")
 def q_s12(spark, d):
     """Refuse to overwrite unless told: errorifexists fails on the second
     write, ignore keeps the first output, overwrite replaces it."""
@@ -240,7 +244,19 @@ def q_s15(spark, d):
                        F.round("value", 9).alias("value"))
 
 
-@register("f12_map_conflicts")
+@register("f12_map_conflicts", """
+WITH t AS (SELECT DISTINCT p_brand, p_type FROM part),
+m AS (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY p_type) - 1 AS v FROM t)
+SELECT p_type AS key, count(DISTINCT v) AS n_values, count(DISTINCT p_brand) AS n_sources
+FROM m GROUP BY p_type HAVING count(DISTINCT v) > 1""")
 def q_f12(spark, d):
-    """label maps of train and test compared (the S10 files)."""
-    return q_s10(spark, d)
+    """label maps of the part types, fitted on each brand's parts alone
+    and written as one sidecar a brand, read back (S10) and compared: types
+    whose index differs between the files."""
+    base = staging_dir(spark, "brand_maps")
+    types = table(spark, d, "part").select("p_brand", "p_type").distinct()
+    index = (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_type")) - 1).cast("int")
+    maps = (types.withColumn("idx", index).groupBy("p_brand")
+            .agg(F.map_from_entries(F.collect_list(F.struct("p_type", "idx"))).alias("label_map")))
+    maps.write.partitionBy("p_brand").json(base)
+    return map_conflicts(read_label_maps(spark, base, glob="*.json"), "source", "key", "value")

@@ -3,15 +3,13 @@ labelled stays for the one-hot model)."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators.sampling import stratified_folds, stratified_split, three_way_split
-from ..session import ensure_checkpoint_dir
+from ..sources.files import staging_dir
 from ..sources.tables import read_embeddings, table
 from .catalog import register
 from .embed import chunk_embeddings, embed, embedding_metadata, write_embeddings
@@ -103,7 +101,7 @@ def q_m7(spark, d):
 def q_m14(spark, d):
     sp = emb_split(spark, d)
     model = ML.logistic(sp.filter("split = 'train'"), "y", C=10.0, class_weight="balanced")
-    path = os.path.join(ensure_checkpoint_dir(spark), "models", f"lr_{abs(hash(d))}")
+    path = staging_dir(spark, "lr_model")
     ML.save_model(model, path)
     s = ML.score(ML.load_model(path), sp.filter("split = 'test'"))
     au = M.auroc(s, "y", "p", by=["split"])
@@ -125,7 +123,7 @@ def q_m17(spark, d):
         arr = F.array(*[(F.col(c) == F.lit(v)).cast("double") for c in cols for v in vals[c]])
         return df.withColumn("features", ML.array_to_vector(arr))
     model = ML.logistic(assemble(sp.filter("split = 'train'")), "y", C=1.0)
-    imp = ML.permutation_importance(model, sp.filter("split = 'test'"), cols, "y", "hadm_id", assemble, repeats=100)
+    imp = ML.permutation_importance(model, sp.filter("split = 'train'"), cols, "y", "hadm_id", assemble, repeats=100)
     return imp.select("column", F.round("importance_mean", R).alias("importance_mean"),
                       F.round("importance_std", R).alias("importance_std"))
 
@@ -138,14 +136,16 @@ def q_c21(spark, d):
                     F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))
 
 
-@register("s13_write_embeddings")
+@register("s13_write_embeddings", """
+SELECT count(*) AS rows_read, CAST(64 AS INTEGER) AS min_dim, count(*) AS num_rows, CAST(64 AS BIGINT) AS embedding_dim
+FROM documents""")
 def q_s13(spark, d):
-    base = os.path.join(ensure_checkpoint_dir(spark), "embeddings", f"docs_{abs(hash(d))}")
+    base = staging_dir(spark, "embeddings")
     e = embed(table(spark, d, "documents"), "text", ["doc_id"], dim=64)
-    info = write_embeddings(e, base, 64, mode="overwrite")
+    info = write_embeddings(e, base, 64, mode="errorifexists")
     meta = embedding_metadata(spark, {"csv_path": d, "text_column": "text", "encoder_class": "hashed",
                                       "embedding_path": base, "num_rows": info["rows"], "embedding_dim": 64})
-    meta.write.mode("overwrite").json(base + "_metadata")
+    meta.write.json(base + "_metadata")
     back = spark.read.parquet(base).groupBy().agg(F.count(F.lit(1)).alias("rows_read"),
                                                   F.min(F.size("embedding")).alias("min_dim"))
     m = spark.read.json(base + "_metadata").select("embedding_path", "num_rows", "embedding_dim")

@@ -17,23 +17,18 @@ from . import counterfactuals as CF
 from . import reports as RP
 from .catalog import register
 from .q_metrics import sql_auroc
-from ..functions.hashing import sql_uniform
+from ..functions.hashing import sql_uniform, uniform
 from .q_cohort import POOL_WITH, SQL_SURR
 from .q_pairs import TT_WITH, _c10_sql, _c13_sql, _c9_sql, cte_body, test_notes
 from .q_splits import LAB_WITH
 from .q_text import TN_WITH
 
 R = 9
-_RUNS: dict = {}
 
 
 def runs(spark, d) -> DataFrame:
-    """Run metrics of the gender and age-shift families, materialized once
-    per session and data folder (every report below reads them)."""
-    key = (id(spark), d)
-    if key not in _RUNS:
-        _RUNS[key] = RP.cf_runs(test_notes(spark, d))
-    return _RUNS[key]
+    """Run metrics of the gender and age-shift families."""
+    return RP.cf_runs(test_notes(spark, d))
 
 
 RUNS_WITH = cte_body(_c9_sql()) + cte_body(_c13_sql())[len(TT_WITH):] + """,
@@ -400,27 +395,43 @@ def q_j12(spark, d):
 
 def few_shot_splits(spark, d) -> DataFrame:
     """A few-shot split table from ``labels``: task per label column, train
-    rows by fold (5) with shot sizes 8/16/-1 (all), test rows; the
+    rows by fold (5) with shot sizes 8/16, validation and test rows; the
     serialization index points into ``documents``."""
     lab = table(spark, d, "labels")
     long = lab.select("doc_id", F.explode(F.array(
         F.struct(F.lit("quality").alias("task"), F.col("quality").alias("label_value")),
         F.struct(F.lit("toxic").alias("task"), F.col("toxic").alias("label_value")))).alias("t")) \
         .select("doc_id", "t.task", "t.label_value")
-    sp = stratified_split(long, ["task"], "label_value", 0.3, "doc_id", 7, out="split_name")
+    u = uniform(F.col("doc_id"), 7)
+    split_name = F.when(u < 0.5, "train").when(u < 0.7, "val").otherwise("test")
     fold = F.pmod(F.col("doc_id"), F.lit(5)).cast("int")
-    return sp.select("task", "split_name", fold.alias("fold"),
+    return long.select("task", split_name.alias("split_name"), fold.alias("fold"),
                      F.when(F.pmod(F.col("doc_id"), F.lit(3)) == 0, 8).otherwise(16).alias("shot_size"),
                      F.col("doc_id").alias("patient_id"), F.col("label_value").cast("string").alias("label_value"),
                      F.col("doc_id").alias("serialization_idx"))
 
 
-@register("p10_select_task", None)
+_U7 = sql_uniform("doc_id", "'7'")
+FEW_SHOT_WITH = f"""
+WITH long AS (SELECT doc_id, 'quality' AS task, quality AS label_value, {_U7} AS u FROM labels
+              UNION ALL SELECT doc_id, 'toxic', toxic, {_U7} FROM labels),
+fs AS (SELECT task, CASE WHEN u < 0.5 THEN 'train' WHEN u < 0.7 THEN 'val' ELSE 'test' END AS split_name,
+              CAST(doc_id % 5 AS INTEGER) AS fold, CASE WHEN doc_id % 3 = 0 THEN 8 ELSE 16 END AS shot_size,
+              doc_id AS patient_id, CAST(label_value AS VARCHAR) AS label_value, doc_id AS serialization_idx
+       FROM long)"""
+
+
+@register("p10_select_task", FEW_SHOT_WITH + """
+SELECT * FROM fs WHERE task = 'quality'
+  AND (split_name IN ('val', 'test') OR (split_name = 'train' AND shot_size = 8 AND fold = 0))""")
 def q_p10(spark, d):
     return select_task(few_shot_splits(spark, d), "quality", 8, 0)
 
 
-@register("j13_attach_text", None)
+@register("j13_attach_text", FEW_SHOT_WITH + """
+SELECT fs.task, fs.split_name, fs.patient_id, CAST(length(d.text) AS INTEGER) AS n_chars
+FROM fs JOIN documents d ON fs.serialization_idx = d.doc_id
+WHERE task = 'toxic' AND (split_name IN ('val', 'test') OR (split_name = 'train' AND fold = 1))""")
 def q_j13(spark, d):
     fs = select_task(few_shot_splits(spark, d), "toxic", -1, 1)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("serialization_idx"), "text")
