@@ -47,9 +47,10 @@ def chunk_tokens(text, size: int, max_chunks: int, max_chars: int | None = None)
 
 
 def mean_by_chunk(df: DataFrame, keys: Sequence[str], vec: str, out: str = "embedding") -> DataFrame:
-    """Element-wise mean of chunk vectors per key: explode positions,
-    average per (key, position), re-assemble in position order."""
-    e = df.select(*keys, F.posexplode(vec).alias("__i", "__x"))
-    m = e.groupBy(*keys, "__i").agg(F.avg(F.col("__x").cast("double")).alias("__m"))
-    return m.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__i", "__m"))).alias("__s")) \
-        .select(*keys, F.transform("__s", lambda s: s["__m"]).alias(out))
+    """Element-wise mean of chunk vectors per key, one partial aggregate
+    of whole vectors."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    v = df.select(*keys, array_to_vector(F.col(vec).cast("array<double>")).alias("__v"))
+    return v.groupBy(*keys).agg(Summarizer.mean(F.col("__v")).alias("__m")) \
+        .select(*keys, vector_to_array("__m").alias(out))

@@ -4,16 +4,17 @@ The study runs a GPU language-model encoder over each CSV. Here the encoder
 is a plug-in: any callable ``list[str] -> ndarray (n, dim)`` is built once
 per task inside ``mapInPandas`` and fed Arrow batches of the text column, so
 the work is partitioned by Spark and the rows never pass through the driver.
-The built-in default is a hashed bag of words (numpy), enough to exercise
-the job and the models downstream."""
+The built-in default is a hashed bag of words made by ``pyspark.ml``, enough to
+exercise the job and the models downstream."""
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
@@ -21,34 +22,30 @@ from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 Encoder = Callable[[list], np.ndarray]
 
 
-def hashed_encoder(dim: int = 64) -> Encoder:
-    """Default encoder: lower-cased word counts hashed (crc32) into ``dim``
-    slots, L2-normalised."""
-    import re
-    word = re.compile(r"\w+", re.UNICODE)
-
-    def enc(texts: list) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float32)
-        for i, t in enumerate(texts):
-            for w in word.findall((t or "").lower()):
-                out[i, zlib.crc32(w.encode("utf-8")) % dim] += 1.0
-        n = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(n > 0, n, 1.0)
-    return enc
+def hashed_words(df: DataFrame, text_col: str, keys: Sequence[str], dim: int, out: str) -> DataFrame:
+    """Default encoder: lower-cased words hashed into ``dim`` counts,
+    L2-normalised (a zero vector stays zero); no Python."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
+    d = df.select(*keys, words.alias("__words"))
+    d = HashingTF(inputCol="__words", outputCol="__counts", numFeatures=dim).transform(d)
+    d = Normalizer(inputCol="__counts", outputCol="__unit").transform(d)
+    return d.select(*keys, vector_to_array("__unit", "float32").alias(out))
 
 
 def embed(df: DataFrame, text_col: str, keys: Sequence[str], dim: int = 64,
           encoder_factory: Callable[[], Encoder] | None = None, out: str = "embedding") -> DataFrame:
-    """(keys..., embedding array<float>) for every row; the encoder is
-    created once per task and applied batch by batch."""
-    factory = encoder_factory or (lambda: hashed_encoder(dim))
+    """(keys..., embedding array<float>) for every row. An own encoder is
+    created once per task and applied batch by batch; without one the words
+    are hashed (``hashed_words``)."""
     keys = list(keys)
+    if encoder_factory is None:
+        return hashed_words(df, text_col, keys, dim, out)
     in_df = df.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     schema = StructType([*[f for f in in_df.schema.fields if f.name in keys],
                          StructField(out, ArrayType(FloatType(), False), False)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = factory()
+        enc = encoder_factory()
         for b in batches:
             vecs = enc(b["__text"].tolist())
             if vecs.shape != (len(b), dim):

@@ -6,12 +6,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..operators import metrics as M
-from ..operators.filters import checked_join, map_conflicts
+from ..operators.filters import checked_join, exclude_values, map_conflicts
 from ..operators.sampling import random_parts, stratified_split
 from ..sources import adapters as ad
 from ..sources.files import metrics_long, read_label_maps, read_metrics, read_notes, staging_dir, write_variants
@@ -245,18 +244,20 @@ def q_s15(spark, d):
 
 
 @register("f12_map_conflicts", """
-WITH t AS (SELECT DISTINCT p_brand, p_type FROM part),
-m AS (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY p_type) - 1 AS v FROM t)
-SELECT p_type AS key, count(DISTINCT v) AS n_values, count(DISTINCT p_brand) AS n_sources
+WITH t AS (SELECT DISTINCT 'all' AS source, p_type FROM part
+           UNION SELECT DISTINCT 'kept', p_type FROM part WHERE p_type <> 'PROMO'),
+m AS (SELECT source, p_type, row_number() OVER (PARTITION BY source ORDER BY p_type) - 1 AS v FROM t)
+SELECT p_type AS key, count(DISTINCT v) AS n_values, count(DISTINCT source) AS n_sources
 FROM m GROUP BY p_type HAVING count(DISTINCT v) > 1""")
 def q_f12(spark, d):
-    """label maps of the part types, fitted on each brand's parts alone
-    and written as one sidecar a brand, read back (S10) and compared: types
-    whose index differs between the files."""
-    base = staging_dir(spark, "brand_maps")
-    types = table(spark, d, "part").select("p_brand", "p_type").distinct()
-    index = (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_type")) - 1).cast("int")
-    maps = (types.withColumn("idx", index).groupBy("p_brand")
-            .agg(F.map_from_entries(F.collect_list(F.struct("p_type", "idx"))).alias("label_map")))
-    maps.write.partitionBy("p_brand").json(base)
+    """label maps of the part types, fitted before and after the
+    exclusion of one type (F3), written as sidecars, read back (S10) and
+    compared: types whose index differs between the files."""
+    from ..functions.vectors import encode_label
+    base = staging_dir(spark, "type_maps")
+    parts = table(spark, d, "part").select("p_type")
+    for source, rows in (("all", parts), ("kept", exclude_values(parts, "p_type", ["PROMO"]))):
+        enc = encode_label(rows.distinct(), "p_type", "idx")
+        meta = enc.agg(F.map_from_entries(F.collect_list(F.struct("p_type", "idx"))).alias("label_map"))
+        meta.coalesce(1).write.json(os.path.join(base, f"{source}_metadata"))
     return map_conflicts(read_label_maps(spark, base, glob="*.json"), "source", "key", "value")
