@@ -1,11 +1,14 @@
 """License scan: passages against license templates by the Dice coefficient of word bigrams.
 
-A text's passages are its lines, its blocks (lines between blank ones) and the whole. Texts and
-templates are normalised alike: A-Z lower-cased, words are runs of letters and digits, ``licence``
-is spelled ``license``. A passage matches a template if twice the number of their common bigrams is
-at least ``LEAST`` times the sum of both numbers of distinct bigrams. A template is a candidate only
-if it has a bigram of the passage and if the two sizes alone allow that coefficient; texts without
-any bigram of a template are done after one set intersection.
+A text's passages are its lines, its blocks (lines between blank ones), the whole, and its spans:
+all runs of words, across lines and blocks, of up to ``(2 - least) / least`` times a template's number
+of words. Texts and templates are normalised alike: A-Z lower-cased, words are runs of letters and
+digits, ``licence`` is spelled ``license``. A passage matches a template if twice the number of their
+common bigrams is at least ``LEAST`` times the sum of both numbers of distinct bigrams. Of a template's
+matching spans that overlap, the best one counts (then the shorter, then the earlier), and only where
+it is better than each matching line, block or whole text that has a line in common with it. A template
+is a candidate only if the text has enough of its bigrams for that coefficient; texts without a
+candidate are done after one set intersection.
 
 Texts are read in one pass without a shuffle; templates are a parameter that goes to every task.
 Null and empty texts match nothing. Equal coefficients go to the smaller kind of passage, then to
@@ -15,7 +18,8 @@ table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,7 +89,7 @@ TEMPLATES = {
         "was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-KINDS = ("line", "block", "text")
+KINDS = ("line", "block", "text", "span")
 CLEAN = bytes(b if b == 10 or b > 127 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
 OUT = ("doc_id long, n_matches long, license string, dice double, kind string, first_line long, last_line long, "
        "matches array<struct<license string, dice double, kind string, first_line long, last_line long>>")
@@ -101,26 +105,36 @@ def bigrams(words: list[bytes]) -> set:
     return set(zip(words, words[1:]))
 
 
+def coefficient(common: int, size: int, other: int) -> float:
+    return 2 * common / (size + other)
+
+
 class Index:
     """Templates by their bigrams."""
 
     def __init__(self, templates: dict[str, str]):
-        self.grams = {n: bigrams(normalised(t.encode()).split()) for n, t in templates.items()}
+        words = {n: normalised(t.encode()).split() for n, t in templates.items()}
+        self.grams = {n: bigrams(w) for n, w in words.items()}
+        self.places = {n: len(w) - 1 for n, w in words.items()}
         self.having = defaultdict(set)
         for n, found in self.grams.items():
             for g in found:
                 self.having[g].add(n)
         self.known = frozenset(self.having)
 
-    def matches(self, words: list[bytes], least: float) -> list[tuple[str, float]]:
+    def candidates(self, grams: set, least: float) -> list[str]:
+        """The templates that some passage of a text with these bigrams can match: at best the
+        passage has the bigrams in common and no other."""
+        counts = Counter(chain.from_iterable(self.having[g] for g in self.known & grams))
+        return sorted(n for n, c in counts.items() if coefficient(c, c, len(self.grams[n])) >= least)
+
+    def matches(self, words: list[bytes], names: list[str], least: float) -> list[tuple[str, float]]:
         grams = bigrams(words)
-        shared = self.known & grams
         out = []
-        for name in set().union(*[self.having[g] for g in shared]):
+        for name in names:
             own = self.grams[name]
-            both = len(grams) + len(own)
-            if 2 * min(len(grams), len(own)) >= least * both:  # the sizes allow it
-                dice = 2 * len(shared & own) / both
+            if grams and coefficient(min(len(grams), len(own)), len(grams), len(own)) >= least:  # the sizes allow it
+                dice = coefficient(len(grams & own), len(grams), len(own))
                 if dice >= least:
                     out.append((name, dice))
         return out
@@ -140,14 +154,73 @@ def passages(text: bytes) -> list[tuple[int, int, int, list[bytes]]]:
 
 
 def scan(text: bytes | None, index: Index, least: float) -> list[tuple[str, float, str, int, int]]:
-    """All matches, best first."""
+    """All matches of lines, blocks and the whole, best first."""
+    clean = normalised(text or b"")
+    names = index.candidates(bigrams(clean.split()), least)
+    found = [(-dice, kind, first, name, last) for kind, first, last, some in (passages(clean) if names else [])
+             for name, dice in index.matches(some, names, least)]
+    return [(name, -dice, KINDS[kind], first, last) for dice, kind, first, name, last in sorted(found)]
+
+
+def best_spans(hits, before, size: int, longest: int, least: float) -> list[tuple[float, int, int]]:
+    """``(dice, first, last)`` of the best spans of bigrams that do not overlap, for a template of
+    ``size`` bigrams: ``hits`` marks the places with one of them, ``before`` has the previous place of
+    each place's bigram. The best span from a place starts and ends with a hit; a start is tried only
+    if enough hits follow it."""
+    import numpy as np
+
+    sums = np.concatenate(([0], np.cumsum(hits)))
+    starts = np.flatnonzero(hits)
+    follow = sums[np.minimum(starts + longest, len(hits))] - sums[starts]
+    found = []
+    for i in starts[coefficient(follow, follow, size) >= least].tolist():
+        new = before[i:i + longest] < i  # the first place of a bigram within the span
+        dice = coefficient(np.cumsum(new & hits[i:i + longest]), np.cumsum(new), size)
+        n = int(dice.argmax())
+        if dice[n] >= least:
+            found.append((-float(dice[n]), n, i))
+    used, out = np.zeros(len(hits), bool), []
+    for dice, n, i in sorted(found):
+        if not used[i:i + n + 1].any():
+            used[i:i + n + 1] = True
+            out.append((-dice, i, i + n))
+    return out
+
+
+def scan_spans(text: bytes | None, index: Index, least: float,
+               others: list[tuple[str, float, str, int, int]]) -> list[tuple[str, float, str, int, int]]:
+    """The matching spans that are better than the matches ``others`` they share a line with."""
+    import numpy as np
+
     clean = normalised(text or b"")
     words = clean.split()
-    if index.known.isdisjoint(zip(words, words[1:])):
+    names = index.candidates(bigrams(words), least)
+    if not names:
         return []
-    found = [(-dice, kind, first, name, last) for kind, first, last, some in passages(clean)
-             for name, dice in index.matches(some, least)]
-    return [(name, -dice, KINDS[kind], first, last) for dice, kind, first, name, last in sorted(found)]
+    line = [i for i, x in enumerate(clean.split(b"\n")) for _ in x.split()]
+    places, latest, before = defaultdict(list), {}, np.empty(len(words) - 1, np.int64)
+    for i, g in enumerate(zip(words, words[1:])):
+        before[i] = latest.get(g, -1)
+        latest[g] = i
+        for n in index.having.get(g, ()):
+            places[n].append(i)
+    out = []
+    for name in names:
+        hits = np.zeros(len(before), bool)
+        hits[places[name]] = True
+        longest = max(int(index.places[name] * (2 - least) / least), 1)
+        for dice, i, j in best_spans(hits, before, len(index.grams[name]), longest, least):
+            first, last = line[i], line[j + 1]
+            if not any(n == name and d >= dice and a <= last and first <= z for n, d, _, a, z in others):
+                out.append((name, dice, KINDS[3], first, last))
+    return out
+
+
+def scan_all(text: bytes | None, index: Index, least: float) -> list[tuple[str, float, str, int, int]]:
+    """All matches, best first."""
+    found = scan(text, index, least)
+    found += scan_spans(text, index, least, found)
+    return sorted(found, key=lambda m: (-m[1], KINDS.index(m[2]), m[3], m[0], m[4]))
 
 
 def licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST,
@@ -165,7 +238,7 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: fl
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = scan(text.as_py(), index, least)
+                found = scan_all(text.as_py(), index, least)
                 best = found[0] if found else (None,) * 5
                 rows.append((doc_id, len(found), *best, [dict(zip(names, m)) for m in found]))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else

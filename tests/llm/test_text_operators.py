@@ -217,3 +217,52 @@ def test_license_pruning_loses_nothing():
                 if own and 2 * len(own & g) / (len(own) + len(g)) >= licenses.LEAST:
                     every.add((n, licenses.KINDS[kind], first, last))
         assert {(n, k, a, z) for n, _, k, a, z in licenses.scan(text, index, licenses.LEAST)} == every
+
+
+MIT_PARTS = ("Permission is hereby granted", "The above copyright notice", "THE SOFTWARE IS PROVIDED")
+
+
+def test_license_spans(spark):
+    mit = licenses.TEMPLATES["MIT-full"]
+    cuts = [mit.index(p) for p in MIT_PARTS] + [len(mit)]
+    paragraphs = "\n\n".join(mit[a:z].strip() for a, z in zip(cuts, cuts[1:]))
+    header = licenses.TEMPLATES["Apache-2.0-header"].split(" ")
+    wrapped = "\n".join("# " + " ".join(header[i:i + 9]) for i in range(0, len(header), 9))
+    long = [text_of(i, 60) for i in range(4)]
+    rows = [(1, long[0] + "\n\n" + paragraphs + "\n\n" + long[1], "MIT-full", 1.0),
+            (2, long[1] + "\nThis project is released under the MIT License.\n" + long[2], "MIT", 1.0),
+            (3, long[2] + "\nReleased under the MIT License. See LICENSE for details.\n" + long[3], "MIT", 1.0),
+            (4, wrapped + "\nimport os\n# a word more\n" + long[0], "Apache-2.0-header", 1.0),
+            (5, long[3], None, None)]
+    found = {r.doc_id: r for r in licenses.licenses(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    for i, text, name, dice in rows:
+        of_name = [m for m in found[i].matches if m.license == name]
+        assert [m.dice for m in of_name] == ([dice] if name else []) and found[i].n_matches == len(found[i].matches), i
+        if name:
+            assert of_name[0].kind == "span" and licenses.scan(text.encode(), licenses.Index({name: licenses.TEMPLATES[name]}), 0.8) == []
+    lines = rows[0][1].split("\n")
+    m = [m for m in found[1].matches if m.license == "MIT-full"][0]
+    assert lines[m.first_line].startswith(MIT_PARTS[0]) and lines[m.last_line].startswith(MIT_PARTS[2])
+
+
+def test_license_spans_lose_nothing():
+    rng = random.Random(8)
+    for _ in range(300):
+        template = " ".join(rng.choice("abcdef") for _ in range(rng.randint(2, 8)))
+        words = [rng.choice("abcdefgh") for _ in range(rng.randint(2, 40))]
+        index, least = licenses.Index({"t": template}), rng.choice((0.6, 0.8, 1.0))
+        own = index.grams["t"]
+        most = max(int(index.places["t"] * (2 - least) / least), 1)
+        every = {}
+        for i in range(len(words)):
+            for j in range(i + 1, min(len(words), i + most + 1)):
+                grams = licenses.bigrams([w.encode() for w in words[i:j + 1]])
+                every[i, j] = 2 * len(grams & own) / (len(grams) + len(own))
+        found = licenses.scan_spans(" ".join(words).encode(), index, least, [])
+        best = max(every.values())
+        assert max((m[1] for m in found), default=None) == (best if best >= least else None)
+        lines = licenses.scan_spans("\n".join(words).encode(), index, least, [])
+        taken = {i for m in lines for i in range(m[3], m[4])}
+        assert sum(m[4] - m[3] for m in lines) == len(taken)
+        assert all(every[m[3], m[4]] == m[1] for m in lines)
+        assert all(taken & set(range(i, j)) for (i, j), d in every.items() if d >= least)
