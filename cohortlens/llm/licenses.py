@@ -6,7 +6,8 @@ of words. Texts and templates are normalised alike: A-Z lower-cased, words are r
 digits, ``licence`` is spelled ``license``. A passage matches a template if twice the number of their
 common bigrams is at least ``LEAST`` times the sum of both numbers of distinct bigrams. Of a template's
 matching spans that overlap, the best one counts (then the shorter, then the earlier), and only where
-it is better than each matching line, block or whole text that has a line in common with it. A template
+it is better than each line, block or whole text with the same template that has a line in common with
+it, than each that holds all its lines and matches another template, and not within a better span. A template
 is a candidate only if the text has enough of its bigrams for that coefficient; texts without a
 candidate are done after one set intersection.
 
@@ -19,6 +20,7 @@ table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from importlib.resources import files
 from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,6 +91,51 @@ TEMPLATES = {
         "was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+TEMPLATES["BSD-3-Clause"] = TEMPLATES["BSD-2-Clause"].replace(
+    "distribution. THIS", "distribution. 3. Neither the name of the copyright holder nor the names of its contributors may "
+    "be used to endorse or promote products derived from this software without specific prior written permission. THIS")
+TEMPLATES["LGPL-3.0-notice"] = TEMPLATES["GPL-3.0-notice"].replace("GNU General", "GNU Lesser General")
+TEMPLATES["LGPL-2.1-notice"] = TEMPLATES["LGPL-3.0-notice"].replace("version 3", "version 2.1").replace("program", "library")
+TEMPLATES["AGPL-3.0-notice"] = TEMPLATES["GPL-3.0-notice"].replace("GNU General", "GNU Affero General")
+TEMPLATES["GPL-2.0-notice"] = TEMPLATES["GPL-3.0-notice"].replace("version 3", "version 2")
+TEMPLATES["Unlicense-full"] = TEMPLATES["Unlicense"] + (
+    " Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code "
+    "form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions "
+    "that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in "
+    "the software to the public domain. We make this dedication for the benefit of the public at large and to the "
+    "detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in "
+    "perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "
+    '"AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE "
+    "FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT "
+    "OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please "
+    "refer to <https://unlicense.org>")
+#: Full texts, one file each, as Debian ships them; templates with the ending ``-full``.
+FULL_TEXTS = ("Apache-2.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")
+#: Usual names of each license, for the notices below; templates ``<id>-notice-<number>``.
+NAMES = {
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "GNU AGPLv3"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache 2.0 License", "Apache License 2.0"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-clause BSD license", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-clause BSD license", "New BSD License", "Modified BSD License"),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International License", "CC BY 4.0"),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0"),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0"),
+    "CC0-1.0": ("CC0 1.0 Universal Public Domain Dedication", "CC0 1.0 Universal"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU GPL v2", "GNU GPLv2"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU GPL v3", "GNU GPLv3"),
+    "ISC": ("ISC License",),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "GNU LGPL v2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "GNU LGPL v3", "GNU LGPLv3"),
+    "MIT": ("MIT License",),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, version 2.0"),
+    "Unlicense": ("Unlicense",),
+}
+NOTICES = ("Licensed under the {}.", "Released under the {}.", "Distributed under the {}.", "Available under the {}.",
+           "This work is licensed under the {}.", "This work is licensed under a {}.", "This project is licensed under the {}.",
+           "This software is released under the {}.", "Distributed under the terms of the {}.", "Licensed under {}.",
+           "Released under {}.", "Subject to the terms of the {}.")
+TEMPLATES |= {f"{n}-full": (files(__package__) / "license_texts" / f"{n}.txt").read_text("utf-8") for n in FULL_TEXTS}
 KINDS = ("line", "block", "text", "span")
 CLEAN = bytes(b if b == 10 or b > 127 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
 OUT = ("doc_id long, n_matches long, license string, dice double, kind string, first_line long, last_line long, "
@@ -109,6 +156,21 @@ def coefficient(common: int, size: int, other: int) -> float:
     return 2 * common / (size + other)
 
 
+def add_notices() -> None:
+    """The usual notices of each license's names and its SPDX line, but for those that are there."""
+    known = {frozenset(bigrams(normalised(t.encode()).split())) for t in TEMPLATES.values()}
+    for license, names in NAMES.items():
+        texts = [notice.format(name) for name in names for notice in NOTICES] + [f"SPDX-License-Identifier: {license}"]
+        for text in texts:
+            grams = frozenset(bigrams(normalised(text.encode()).split()))
+            if grams not in known:
+                known.add(grams)
+                TEMPLATES[f"{license}-notice-{sum(n.startswith(f'{license}-notice-') for n in TEMPLATES) + 1}"] = text
+
+
+add_notices()
+
+
 class Index:
     """Templates by their bigrams."""
 
@@ -125,7 +187,7 @@ class Index:
     def candidates(self, grams: set, least: float) -> list[str]:
         """The templates that some passage of a text with these bigrams can match: at best the
         passage has the bigrams in common and no other."""
-        counts = Counter(chain.from_iterable(self.having[g] for g in self.known & grams))
+        counts: Counter = Counter(chain.from_iterable(self.having[g] for g in self.known & grams))
         return sorted(n for n, c in counts.items() if coefficient(c, c, len(self.grams[n])) >= least)
 
     def matches(self, words: list[bytes], names: list[str], least: float) -> list[tuple[str, float]]:
@@ -204,15 +266,23 @@ def scan_spans(text: bytes | None, index: Index, least: float,
         latest[g] = i
         for n in index.having.get(g, ()):
             places[n].append(i)
-    out = []
+    spans = []
     for name in names:
         hits = np.zeros(len(before), bool)
         hits[places[name]] = True
         longest = max(int(index.places[name] * (2 - least) / least), 1)
         for dice, i, j in best_spans(hits, before, len(index.grams[name]), longest, least):
             first, last = line[i], line[j + 1]
-            if not any(n == name and d >= dice and a <= last and first <= z for n, d, _, a, z in others):
-                out.append((name, dice, KINDS[3], first, last))
+            if not any(d >= dice and (a <= last and first <= z if n == name else a <= first and last <= z)
+                       for n, d, _, a, z in others):
+                spans.append((-dice, i, j, name))
+    out: list = []
+    better: dict = defaultdict(list)  # those that touch each 1024 places
+    for dice, i, j, name in sorted(spans):
+        if not any(d < dice and a <= i and j <= z for a, z, d in better[i >> 10]):
+            for at in range(i >> 10, (j >> 10) + 1):
+                better[at].append((i, j, dice))
+            out.append((name, -dice, KINDS[3], line[i], line[j + 1]))
     return out
 
 

@@ -266,3 +266,24 @@ def test_license_spans_lose_nothing():
         assert sum(m[4] - m[3] for m in lines) == len(taken)
         assert all(every[m[3], m[4]] == m[1] for m in lines)
         assert all(taken & set(range(i, j)) for (i, j), d in every.items() if d >= least)
+
+
+def test_license_table(spark):
+    full = licenses.TEMPLATES
+    rows = [(f"{n}-full", text_of(i, 30) + "\n\n" + full[f"{n}-full"] + "\n\n" + text_of(i + 1, 30))
+            for i, n in enumerate(licenses.FULL_TEXTS)]
+    rows += [("BSD-3-Clause", text_of(1, 30) + "\n" + full["BSD-3-Clause"].replace(". ", ".\n\n") + "\n" + text_of(2, 30)),
+             ("BSD-2-Clause", text_of(3, 30) + "\n" + full["BSD-2-Clause"].replace(". ", ".\n\n") + "\n" + text_of(2, 30))]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    for r in licenses.licenses(docs).collect():
+        of_name = {m.license: m.dice for m in reversed(r.matches)}  # the best of each
+        name = rows[r.doc_id][0]
+        assert of_name.get(name, 0) > 0.99, name
+        assert all(d < of_name[name] for n, d in of_name.items() if n != name and (n.endswith("-full") or n.startswith("BSD")))
+    notices = {"Licensed under the MIT License.": "MIT", "this code is Distributed under the 3-clause BSD licence, friends": "BSD-3-Clause",
+               "// SPDX-License-Identifier: LGPL-2.1": "LGPL-2.1", "It is licensed under CC BY-SA 4.0, as ever": "CC-BY-SA-4.0"}
+    index = licenses.Index(full)
+    for text, name in notices.items():
+        best = licenses.scan_all(text_of(4).encode() + b"\n" + text.encode() + b"\n" + text_of(5).encode(), index, 0.8)[0]
+        assert best[0].startswith(name) and best[1] == 1.0, (text, best)
+    assert licenses.scan_all(text_of(4).encode(), index, 0.8) == []
