@@ -5,8 +5,9 @@ ascending order of the id. Each file is a parquet table of blocks of about ``BLO
 a grammar of its own: frequent pairs of neighbouring symbols are replaced by a new symbol, round
 after round, until no pair is frequent any more. In a round all pairs within a factor of the most
 frequent one are replaced together, unless one could overlap another (a symbol is only the left or
-only the right side of a round's pairs); a pair of equal symbols has a round of its own, in which
-every second place of a run is replaced.
+only the right side of a round's pairs); pairs of equal symbols have rounds of their own, in which
+every second place of a run is replaced. The first rounds rewrite the whole sequence, the later ones
+look only at the places of frequent pairs and at the neighbours of what the last round replaced.
 
 A block stores its documents' ids and numbers of tokens, the rules (left and right symbol of each
 new symbol), the number of ids that each new symbol stands for, the sequence of symbols, and the
@@ -36,7 +37,7 @@ BLOCK = 1 << 20
 MARK = 1024
 LEAST_COUNT = 64  # a pair less frequent than that in a block stays
 SHARE = 16  # a round replaces the pairs with at least this part of the largest count
-ROUNDS = 16
+ROUNDS = 16  # so many rounds at most rewrite the whole sequence
 HASH_BITS = 18
 ROOM = 1 << 12  # least number of new symbols that 16 bits are to leave
 BROADCAST_BLOCKS = 1_000_000
@@ -56,8 +57,8 @@ def frequent_pairs(found: np.ndarray, shift: int, limit: int, least: int) -> lis
             break
         a, b = int(some[i]) >> shift, int(some[i]) & (1 << shift) - 1
         if a == b:
-            if not chosen:
-                return [int(some[i])]
+            if not chosen:  # equal pairs of different symbols never overlap
+                return sorted(k for k in some[times >= limit].tolist() if k >> shift == k & (1 << shift) - 1)
             continue
         if a not in rights and b not in lefts:
             lefts.add(a)
@@ -68,9 +69,63 @@ def frequent_pairs(found: np.ndarray, shift: int, limit: int, least: int) -> lis
     return sorted(chosen)
 
 
+def add_rules(chosen: list[int], shift: int, rules: list, lengths: list, first_symbol: int) -> None:
+    for p in chosen:
+        a, b = p >> shift, p & (1 << shift) - 1
+        lengths.append(sum(1 if s < first_symbol else lengths[s - first_symbol] for s in (a, b)))
+        rules.append((a, b))
+
+
+def later_rounds(seq: np.ndarray, rules: list, lengths: list, first_symbol: int, least: int) -> np.ndarray:
+    """Rounds until no pair occurs ``least`` times; the sequence, with rules and lengths extended.
+    A pair that becomes frequent has a new symbol, and the other pairs only get rarer: so a round
+    needs the places of the pairs frequent before it and those next to the last replacements.
+    ``after`` and ``prior`` link the places that are left."""
+    n, shift = len(seq), 32
+    if n < 2:
+        return seq
+    after, prior = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    left = np.ones(n, bool)
+    place = np.arange(n - 1)
+    while True:
+        a, b = seq[place], seq[after[place]]
+        slot = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B) >> np.uint32(32 - HASH_BITS)).astype(np.int64)
+        counts = np.bincount(slot, minlength=1 << HASH_BITS)  # at least the count of each pair
+        often = (counts >= least)[slot]
+        place = place[often]
+        found = a[often].astype(np.uint64) << np.uint64(shift) | b[often]
+        chosen = frequent_pairs(found, shift, max(least, int(counts.max()) // SHARE), least)
+        if not chosen:
+            break
+        base = first_symbol + len(rules)
+        add_rules(chosen, shift, rules, lengths, first_symbol)
+        keys = np.array(chosen, np.uint64)
+        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+        same = keys[at] == found
+        first, at = place[same], at[same]
+        if rules[-1][0] == rules[-1][1]:  # overlaps with itself: every second place of a run
+            run = np.flatnonzero(np.concatenate(([True], after[first[:-1]] != first[1:])))
+            i = np.arange(len(first))
+            even = (i - np.repeat(run, np.diff(run, append=len(first)))) % 2 == 0
+            first, at = first[even], at[even]
+        gone = after[first]
+        seq[first] = base + at
+        left[gone] = False
+        after[first] = after[gone]
+        inner = after[first] < n
+        prior[after[first][inner]] = first[inner]
+        near = np.zeros(n + 1, bool)  # the last one is the place before the first one
+        near[place] = near[prior[first]] = True
+        near[:-1] &= left
+        place = np.flatnonzero(near[:-1])
+        place = place[after[place] < n]
+    return seq[left]
+
+
 def compress(ids: np.ndarray, first_symbol: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(symbols, rules, lengths)``: new symbols count up from ``first_symbol``. Symbols have 16 bits
-    where the vocabulary leaves room for ``ROOM`` new ones (which end the rounds), else 32."""
+    """``(symbols, rules, lengths)``: new symbols count up from ``first_symbol``. In the first rounds
+    symbols have 16 bits where the vocabulary leaves room for ``ROOM`` new ones, else 32; when 16 bits
+    run out, and once no pair is much more frequent than ``least``, the later rounds take over."""
     narrow = first_symbol + ROOM <= 1 << 16
     kind, wide, shift = (np.uint16, np.uint32, 16) if narrow else (np.uint32, np.uint64, 32)
     most = (1 << shift) - first_symbol
@@ -87,16 +142,15 @@ def compress(ids: np.ndarray, first_symbol: int, least: int = LEAST_COUNT) -> tu
         slot = slot.astype(np.int64)
         counts = np.bincount(slot, minlength=1 << HASH_BITS)  # at least the count of each pair
         limit = max(least, int(counts.max()) // SHARE)
+        if limit == least:
+            break
         place = np.flatnonzero((counts >= limit)[slot])
         found = key[place]
-        chosen = frequent_pairs(found, shift, limit, least)[:most - len(rules)]
-        if not chosen:
+        chosen = frequent_pairs(found, shift, limit, least)
+        if not chosen or len(rules) + len(chosen) > most:
             break
         base = first_symbol + len(rules)
-        for p in chosen:
-            a, b = p >> shift, p & (1 << shift) - 1
-            lengths.append(sum(1 if s < first_symbol else lengths[s - first_symbol] for s in (a, b)))
-            rules.append((a, b))
+        add_rules(chosen, shift, rules, lengths, first_symbol)
         keys = np.array(chosen, wide)
         rule = np.zeros(1 << HASH_BITS, np.int32)  # a slot that two rules share has the later one
         rule[((keys * factor) >> down).astype(np.int64)] = np.arange(len(keys))
@@ -109,6 +163,7 @@ def compress(ids: np.ndarray, first_symbol: int, least: int = LEAST_COUNT) -> tu
             place, at = place[even], at[even]
         seq[place] = (base + at).astype(kind)
         seq = np.delete(seq, place + 1)
+    seq = later_rounds(seq.astype(np.uint32), rules, lengths, first_symbol, least)
     return seq, np.array(rules, np.uint32).reshape(-1, 2), np.array(lengths, np.uint32)
 
 

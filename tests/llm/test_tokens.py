@@ -47,6 +47,29 @@ def test_grammar_round_trip():
     assert len(row["symbols"]) < 40_000 // 4  # a repeated run shrinks
 
 
+@pytest.mark.parametrize("vocabulary", [50, 65_536 - token_files.ROOM, 50_257])
+def test_grammar_is_complete(vocabulary, monkeypatch):
+    rng = np.random.default_rng(2)
+    words = [rng.integers(0, 50, rng.integers(2, 30)) for _ in range(900)]
+    words += [np.tile(rng.integers(0, 50, 9), 40), np.full(3000, 7), np.full(1001, 8)]
+    skewed = np.concatenate([words[int(i)] for i in (rng.zipf(1.3, 40_000) - 1) % len(words)]).astype(np.uint32)
+    dense = np.concatenate([rng.permutation(50)[:12] for _ in range(6)] + [rng.integers(0, 50, 150_000)]).astype(np.uint32)
+    busy = rng.integers(0, 50, 150_000).astype(np.uint32)  # 16 bits run out
+    for ids, least in ((skewed, token_files.LEAST_COUNT), (dense, 4), (skewed[:50_000], 2), (busy, 2)):
+        symbols, rules, lengths = token_files.compress(ids, vocabulary, least)
+        assert np.array_equal(token_files.expand(symbols, rules, lengths, vocabulary), ids)
+        pairs = {}
+        for pair in zip(symbols.tolist(), symbols[1:].tolist()):
+            pairs[pair] = pairs.get(pair, 0) + 1
+        assert max(pairs.values(), default=0) < least
+        if ids is busy and vocabulary > 50_257:
+            assert vocabulary + len(rules) > 1 << 16
+            monkeypatch.setattr(token_files, "compress", lambda *_: (symbols, rules, lengths))
+            row = token_files.block_row(0, 0, [1], [ids], vocabulary)
+            assert np.array_equal(token_files.read_range(row, 100, 5000, vocabulary), ids[100:5100])
+            monkeypatch.undo()
+
+
 def test_token_files(spark, docs, no_docs, tokenizer, plain, monkeypatch):
     for part in (docs, docs.where("doc_id in (4, 5)")):
         found = token_files.read_files(token_files.write_files(part, tokenizer, 50_257), 50_257).collect()
