@@ -23,7 +23,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
@@ -60,18 +60,21 @@ def fingerprint(text: bytes | None, shingle: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` of every row, fp a signed long."""
+                 id_col: str = "doc_id", text_col: str = "text", row_hash: Column | None = None) -> DataFrame:
+    """``(doc_id, fp)`` of every row, fp a signed long, and ``row_hash`` if given."""
+    more = [] if row_hash is None else [row_hash.alias("row_hash")]
+    names = ["doc_id", "fp", "row_hash"][:2 + len(more)]
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
             fps = pa.array([fingerprint(t.as_py(), shingle, seed) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, *batch.columns[2:]], names=names)
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    return narrow.mapInArrow(run, "doc_id long, fp long" + ", row_hash long" * len(more))
 
 
 def signed(mask: int) -> int:
@@ -114,35 +117,55 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
             .select(F.col("centre").alias("a"), F.col("fp").alias("b")).distinct())
 
 
+def component_firsts(prints: DataFrame, key: Column, radius: int) -> DataFrame:
+    """``(fp, first)`` of every fingerprint: the smallest key of its component."""
+    nodes = stage(prints.groupBy("fp").agg(F.min(key).alias("first")), "simhash-nodes")
+    roots = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    rooted = stage(nodes.join(roots, "fp", "left")
+                   .select("fp", F.coalesce("root", "fp").alias("root"), "first"), "simhash-roots")
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    return stage(rooted.select("fp", "root").join(stage(firsts, "simhash-firsts"), "root")
+                 .select("fp", "first"), "simhash-components")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 42,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp, component_id)`` of every row: documents whose fingerprints differ in at most
     ``radius`` bits are linked, ``component_id`` is the smallest id reachable over links."""
     prints = stage(fingerprints(docs, shingle, seed, id_col, text_col), "simhash-prints")
-    nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    roots = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    rooted = stage(nodes.join(roots, "fp", "left")
-                   .select("fp", F.coalesce("root", "fp").alias("root"), "first_id"), "simhash-roots")
-    firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = stage(rooted.select("fp", "root").join(stage(firsts, "simhash-firsts"), "root")
-                  .select("fp", "component_id"), "simhash-components")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return (prints.join(component_firsts(prints, F.col("doc_id"), radius), "fp")
+            .select("doc_id", "fp", F.col("first").alias("component_id")))
+
+
+def representatives(docs: DataFrame, shingle: int = 3, radius: int = 3,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Exactly one row of each group: the one with the smallest id (null after all others), then
+    fingerprint, then hash of the row; of rows equal in all columns, one. Map columns are not
+    hashed. The rows that go are broadcast as (id, hash) when their counted number is within
+    ``BROADCAST_IDS``, so that texts are not shuffled; else AQE splits the join."""
+    plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+    prints = stage(fingerprints(docs, shingle, id_col=id_col, text_col=text_col, row_hash=row_hash), "simhash-prints")
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp", "row_hash")
+    rows = stage(prints.join(component_firsts(prints, key, radius), "fp")
+                 .groupBy("doc_id", "row_hash").agg(F.bool_or(key.eqNullSafe(F.col("first"))).alias("stays"), F.count("*").alias("n")),
+                 "simhash-rows")
+    named = [F.col("doc_id").alias("_found_id"), F.col("row_hash").alias("_found_row")]
+    gone, twice = rows.where("not stays").select(*named), rows.where("stays and n > 1").select(*named)
+    n = rows.agg(F.count_if(~F.col("stays")), F.count_if(F.col("stays") & (F.col("n") > 1))).first()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_found_id")) & (row_hash == F.col("_found_row"))
+    kept = docs.join(broadcast_if_small(gone, n[0], BROADCAST_IDS), same, "left_anti")
+    if not n[1]:
+        return kept
+    twice = broadcast_if_small(twice, n[1], BROADCAST_IDS)
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(plain))
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of the smallest id of each group; of rows that repeat an id, one stays.
-    Rows without an id have no name to be kept by and go. The ids that go are broadcast when their
-    counted number is within ``BROADCAST_IDS``, so that texts are not shuffled; else AQE splits the
-    join."""
-    found = near_duplicates(docs, shingle, radius, id_col=id_col, text_col=text_col)
-    ids = stage(found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"),
-                                            F.count("*").alias("n")), "simhash-ids")
-    gone = ids.where("not stays").select(F.col("doc_id").alias("_gone"))
-    n = ids.agg(F.count_if(~F.col("stays")), F.count_if(F.col("stays") & (F.col("n") > 1))).first()
-    kept = (docs.where(F.col(id_col).isNotNull())
-            .join(broadcast_if_small(gone, n[0], BROADCAST_IDS), F.col(id_col).cast("long") == F.col("_gone"), "left_anti"))
-    return kept.dropDuplicates([id_col]) if n[1] else kept
+    """The representatives that have an id; groups without any id have none here (``representatives``
+    has them, too)."""
+    return representatives(docs, shingle, radius, id_col, text_col).where(F.col(id_col).isNotNull())
 
 
 @register("op4_simhash_near_dedup")

@@ -81,6 +81,28 @@ def test_simhash_awkward(docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_one(no_docs).count() == 0
 
 
+def test_one_row_of_each_group(spark, docs, no_docs):
+    import corpus_pipeline
+    a, b, c, d = (text_of(i, 40) for i in range(20, 24))
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (3, b, "x"),  # id 2 goes for a and stays for b
+            (None, c, "x"), (None, c, "y"), (None, c, "y"),  # a group without an id
+            (None, d, "x"), (9, d, "x"), (None, a, "x"), (4, text_of(25, 40), "x"),
+            (5, text_of(26, 40), "x"), (5, text_of(26, 40), "x"), (5, text_of(26, 40), "z"),
+            (6, None, "x"), (6, "", "x"), (7, text_of(27, 40), None), (7, text_of(28, 40), None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    group = {i: print_of(r[1]) for i, r in enumerate(rows)}
+    for part in (table, table.repartition(7)):
+        out = [tuple(r) for r in corpus_pipeline.near_copies(spark, part, "").collect()]
+        assert sorted(print_of(r[1]) for r in out) == sorted(set(group.values()))  # one of each, none lost
+        assert {r[0] for r in out if r[1] in (a, b, d)} == {1, 2, 9} and [r[0] for r in out if r[1] == c] == [None]
+        assert set(out) <= set(rows)
+        seen = sorted(out, key=repr) if part is table else seen
+        assert sorted(out, key=repr) == seen  # the same rows whatever the partitions
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 1
+    assert simhash.representatives(no_docs).count() == 0
+
+
 def base(text: str | None) -> tuple:
     words = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
