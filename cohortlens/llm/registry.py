@@ -14,7 +14,7 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
 MODULES = ("chat_pairs", "token_files", "toxicity", "simhash", "quality", "packing", "licenses",
-           "sharding", "decontaminate", "urls")
+           "sharding", "decontaminate", "urls", "personal_data", "whitening", "lexical")
 
 
 def register(name: str, sql: str | None = None):
