@@ -31,6 +31,12 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_rows(df: DataFrame, **more: Column) -> DataFrame:
+    """Each row as one struct column ``row``, with ``more`` columns beside it: joins on these cannot
+    clash with the table's own names, and ``select("row.*")`` gives the rows back."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast a side whose row count was measured and is within ``limit``; else leave the
     join to the planner (a shuffle join whose skewed partitions AQE splits)."""

@@ -1,21 +1,23 @@
 """Benchmark decontamination by winnowing (DataFrame functions only).
 
 Both sides hash all word k-grams and keep, in each window of consecutive k-grams, the smallest
-hash; with k = 5 and six k-grams a window, two texts that share ten words in a row keep an equal
-hash inside that span. The kept hashes of the documents are joined with those of the benchmark
-and each hit is extended word by word to both sides, by as many words as a span may reach beyond
-its k-gram; hits whose shared run is shorter than a span fall away. Neighbouring hits of a longer
-run overlap, so their union is the whole run. Items shorter than a span are one window: for each
-such length (at most nine) the documents' k-grams of that length are all kept.
-
-A document's hits are found next to its words, without a shuffle of texts: the benchmark's hashes
-are broadcast when their counted number is within ``BROADCAST_ROWS``. Beyond it the kept hashes
-(without texts) are shuffled, and only documents with a hit meet their words again.
-
-Null and empty texts have no words: no hit, the digest of an empty list. Items without words are
-no items; an item without an id makes words hit but is not counted. Rows that repeat id and text
-give one row. An empty benchmark gives no hits, empty documents no rows. Further columns of either
-table are not looked at.
+hash; with k = 5 and six k-grams a window, a window is a span of ten words, and two texts that share
+such a span keep an equal hash in it. Neighbouring windows with one minimum are one fingerprint. The
+documents' fingerprints are joined with the benchmark's by hash, and each hit is extended to the
+spans that keep it; these are compared word for word with the benchmark's spans, of which each
+different one has the set of items that hold it. Hit spans of a longer run overlap, so their union is
+the whole run. Items shorter than a span are one window: for each such length (at most nine) the
+documents' k-grams of that length are all kept.
+
+A fingerprint is a hash and two places; it carries no words. Texts with a hit meet their words again,
+each different text once, and texts are not shuffled but for these: their keys are broadcast when
+their counted number is within ``BROADCAST_IDS`` (else all texts are shuffled once). The benchmark's
+hashes (16 bytes each) are broadcast when their counted number is within ``BROADCAST_ROWS``, else
+joined by a shuffle.
+
+Null and empty texts have no words: no hit, no items. Items without words are no items; an item
+without an id makes words hit but is not counted. Repeated rows give a row each. An empty benchmark
+gives no hits, empty documents no rows. Further columns of either table are not looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from .common import broadcast_if_small, let, shifted, stage
+from .common import broadcast_if_small, let, shifted, stage, whole_rows
 from .registry import register
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -94,94 +96,93 @@ def fingerprints(words: Column, span: int, short: list[int]) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
-def benchmark_prints(items: DataFrame, span: int, id_col: str, text_col: str) -> tuple[DataFrame, list[int]]:
-    """``(hash, k, item_id, item_at, item_words)`` of all kept k-grams of the items, and the lengths
-    of items that are shorter than a span."""
-    base = stage(items.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("item_words"))
-                 .where(F.size("item_words") > 0).distinct(), "benchmark")
-    short = sorted(r[0] for r in base.where(F.size("item_words") < span)
-                   .select(F.size("item_words")).distinct().collect())  # at most span - 1 numbers
-    runs = base.select("item_id", "item_words", F.explode(fingerprints(F.col("item_words"), span, short)).alias("r"))
-    whole = F.size("item_words") == F.col("r.k")
-    runs = runs.where(F.when(F.size("item_words") < span, whole).otherwise(F.col("r.k") == (span + 1) // 2))
-    return runs.select("item_id", "item_words", F.col("r.hash").alias("hash"), F.col("r.k").alias("k"),
-                       F.explode(F.sequence("r.from", "r.to")).alias("item_at")).distinct(), short
-
-
-def shared_span(doc_words: Column, doc_at: Column, item_words: Column, item_at: Column,
-                k: Column, span: int) -> Column:
-    """The run of equal words around a hit: ``(lo, hi)`` in the document, null if the k-gram itself
-    differs or the run is shorter than the span (or the item, if that is shorter)."""
-    reach = F.greatest(span - k, F.lit(0))
-    left = F.least(reach, doc_at, item_at)
-    right = F.least(reach, F.size(doc_words) - doc_at - k, F.size(item_words) - item_at - k)
-    differs = F.transform(F.sequence(-left, k + right - 1), lambda o: F.when(
-        doc_words[doc_at + o] != item_words[item_at + o], o))
-
-    def bounds(d: Column) -> Column:
-        inside = F.exists(d, lambda o: (o >= 0) & (o < k))
-        lo = F.coalesce(F.array_max(F.filter(d, lambda o: o < 0)) + 1, -left)
-        hi = F.coalesce(F.array_min(F.filter(d, lambda o: o >= k)) - 1, k + right - 1)
-        enough = hi - lo + 1 >= F.least(F.lit(span), F.size(item_words))
-        return F.when(~inside & enough, F.struct((doc_at + lo).alias("lo"), (doc_at + hi).alias("hi")))
-    return let(F.filter(differs, lambda o: o.isNotNull()), bounds)
+def read_words(table: DataFrame, text_col: str, span: int, short: list[int], *keep: Column) -> DataFrame:
+    """``keep``, the number of words and the fingerprints of each row."""
+    return table.select(*keep, let(words_of(F.col(text_col)), lambda w: F.struct(
+        F.size(w).cast("long").alias("n_words"), fingerprints(w, span, short).alias("prints"))).alias("read"))
+
+
+def spans_at(words: Column, start: Column, length: Column) -> Column:
+    return F.array_join(F.slice(words, start + 1, length), " ")
+
+
+def benchmark_spans(items: DataFrame, span: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, list[int]]:
+    """``(hash, k)`` of all kept k-grams of the items, ``(length, span, items)`` of their different
+    spans with the ids of the items that hold them, and the lengths of items shorter than a span."""
+    base = stage(items.select(F.col(id_col).cast("string").alias("item_id"), words_of(F.col(text_col)).alias("words"))
+                 .where(F.size("words") > 0).distinct(), "benchmark")
+    length = F.least(F.size("words"), F.lit(span))
+    short = sorted(r[0] for r in base.where(F.size("words") < span)
+                   .select(F.size("words")).distinct().collect())  # at most span - 1 numbers
+    prints = base.select(length.alias("length"), F.explode(fingerprints(F.col("words"), span, short)).alias("r"))
+    own = F.when(F.col("length") < span, F.col("length")).otherwise(F.lit((span + 1) // 2))
+    hashes = prints.where(F.col("r.k") == own).select(F.col("r.hash").alias("hash"), F.col("r.k").alias("k")).distinct()
+    starts = F.sequence(F.lit(0), F.size("words") - length)
+    each = base.select("item_id", length.alias("length"), F.explode(F.transform(
+        starts, lambda i: spans_at(F.col("words"), i, length))).alias("span"))
+    spans = each.groupBy("length", "span").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    return stage(hashes, "benchmark-hashes"), stage(spans, "benchmark-spans"), short
+
+
+def hit_spans(docs: DataFrame, hits: DataFrame, spans: DataFrame, span: int, text_col: str) -> DataFrame:
+    """``(text_key, hit, items)``: the places of the hit spans of each text that has a fingerprint
+    among ``hits(text_key, k, from, to)``, and their items."""
+    k = (span + 1) // 2
+    by_text = stage(hits.groupBy("text_key").agg(F.collect_set(F.struct("k", "from", "to")).alias("hits")), "contaminated-texts")
+    text = F.col(text_col)
+    keys = broadcast_if_small(by_text.select(F.col("text_key").alias("key")), by_text.count(), BROADCAST_IDS)
+    texts = (docs.select(key_of(text).alias("key"), text.alias("text")).join(keys, "key", "left_semi").dropDuplicates(["key"])
+             .join(by_text.select(F.col("text_key").alias("key"), "hits"), "key").select("key", "hits", words_of(F.col("text")).alias("words")))
+    # the windows of a fingerprint begin at its first place and end at its last one
+    starts = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.when(
+        h["k"] == k, F.transform(F.sequence(h["from"], h["to"] - (span - k)), lambda i: F.struct(i.alias("start"), F.lit(span).alias("length")))).otherwise(
+        F.transform(F.sequence(h["from"], h["to"]), lambda i: F.struct(i.alias("start"), h["k"].alias("length")))))))
+    some = texts.select("key", F.explode(F.transform(starts, lambda x: F.struct(
+        x["start"].alias("start"), x["length"].alias("length"),
+        spans_at(F.col("words"), x["start"], x["length"]).alias("span")))).alias("x")).select("key", "x.*")
+    return (some.join(spans, ["length", "span"])
+            .groupBy("key").agg(F.collect_set(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("length") - 1).alias("hi"))).alias("hit"),
+                                F.collect_set("items").alias("items"))
+            .select(F.col("key").alias("text_key"), "hit", F.sort_array(F.array_distinct(F.flatten("items"))).alias("items")))
+
+
+def key_of(text: Column) -> Column:
+    """Equal for equal texts; null and empty ones are equal."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, id_col: str = "doc_id",
                   text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
                   broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Per document ``(doc_id, text_hash, n_words, n_hit, n_items, items, contaminated)``; a word is
-    hit if it lies inside a run of ``span`` words (or all words of a shorter item) of an item."""
-    prints, short = benchmark_prints(items, span, item_id_col, item_text_col)
-    prints = stage(prints, "benchmark-prints")
-    n = prints.count()
-    text = F.col(text_col)
-    read = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"),
-                       words_of(text).alias("doc_words"))
-    # one row more for each document, which finds no partner and keeps its number of words
-    none = F.array(F.struct(F.lit(0).alias("k"), F.lit(-1).alias("from"), F.lit(-1).alias("to"),
-                            F.lit(None).cast("long").alias("hash")))
-    runs = (read.withColumn("prints", F.concat(none, fingerprints(F.col("doc_words"), span, short)))
-            .select("doc_id", "text_hash", "doc_words", F.explode("prints").alias("r"))
-            .select("doc_id", "text_hash", "doc_words", F.col("r.from").alias("from"), F.col("r.to").alias("to"),
-                    F.col("r.hash").alias("hash"), F.col("r.k").alias("doc_k")))
-    if n <= broadcast_rows:
-        met = runs.join(F.broadcast(prints), "hash", "left").where("from < 0 or item_words is not null")
-    else:
-        hits = runs.drop("doc_words").join(prints.drop("item_words"), "hash", "left").where("from < 0 or item_at is not null")
-        hits = stage(hits.distinct().withColumnsRenamed({"doc_id": "of", "text_hash": "of_hash", "item_id": "of_item"}), "benchmark-hits")
-        words = items.select(F.col(item_id_col).alias("item_id"), words_of(F.col(item_text_col)).alias("item_words"))
-        met = (hits.join(read, F.expr("of <=> doc_id and of_hash = text_hash"))
-               .join(words.distinct(), F.expr("of_item <=> item_id and item_at is not null"), "left"))
-    places = met.select(
-        "doc_id", "text_hash", F.when(F.col("from") < 0, F.size("doc_words")).alias("n_words"),
-        "doc_words", "item_id", "item_words", "item_at", "k",
-        F.explode(F.sequence("from", "to")).alias("doc_at"))
-    spans = places.select(
-        "doc_id", "text_hash", "n_words", "item_id",
-        F.when(F.col("doc_at") >= 0, shared_span(F.col("doc_words"), F.col("doc_at"), F.col("item_words"),
-                                                 F.col("item_at"), F.col("k"), span)).alias("span"))
-    spans = spans.where("n_words is not null or span is not null")
+    """Per row ``(doc_id, text_key, n_words, n_hit, n_items, items, contaminated)``; a word is hit if
+    it lies inside a run of ``span`` words (or all words of a shorter item) of an item."""
+    hashes, spans, short = benchmark_spans(items, span, item_id_col, item_text_col)
+    hashes = broadcast_if_small(hashes.withColumn("found", F.lit(True)), hashes.count(), broadcast_rows)
+    read = read_words(docs, text_col, span, short, F.col(id_col).alias("doc_id"), key_of(F.col(text_col)).alias("text_key"))
+    # one fingerprint more for each row, which finds no partner: it keeps the row and its number of words
+    row = F.array(F.struct(F.lit(0).alias("k"), F.lit(-1).alias("from"), F.lit(-1).alias("to"), F.xxhash64("text_key").alias("hash")))
+    prints = (read.select("doc_id", "text_key", F.col("read.n_words").alias("n_words"), F.explode(F.concat(row, "read.prints")).alias("r"))
+              .select("doc_id", "text_key", "n_words", "r.*"))
+    met = stage(prints.join(hashes, ["hash", "k"], "left").where("k = 0 or found").drop("hash", "found"), "document-prints")
+    hits = met.where("k > 0").select("text_key", "k", "from", "to").distinct()
+    found = hit_spans(docs, hits, spans, span, text_col)
     union = F.aggregate(
-        F.sort_array("spans"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("last")),
+        F.sort_array("hit"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("last")),
         lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["hi"] - F.greatest(s["lo"], a["last"] + 1) + 1))
                               .cast("long").alias("n"), F.greatest(a["last"], s["hi"]).alias("last")))["n"]
-    return (spans.groupBy("doc_id", "text_hash")
-            .agg(F.max("n_words").cast("long").alias("n_words"), F.collect_set("span").alias("spans"),
-                 F.sort_array(F.collect_set(F.when(F.col("span").isNotNull(), F.col("item_id").cast("string")))).alias("items"))
-            .select("doc_id", "text_hash", "n_words", union.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-                    "items", (F.size("spans") > 0).alias("contaminated")))
+    found = stage(found.select("text_key", union.alias("n_hit"), "items"), "contaminated")
+    return (met.where("k = 0").join(found, "text_key", "left")
+            .select("doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+                    F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+                    F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("n_hit").isNotNull().alias("contaminated")))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, span: int = SPAN,
                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without any hit word, all columns as they were."""
     found = stage(contamination(docs, items, span, id_col, text_col).where("contaminated")
-                  .select(F.col("doc_id").alias("_found_id"), F.col("text_hash").alias("_found_hash")), "contaminated")
-    found = broadcast_if_small(found, found.count(), BROADCAST_IDS)
-    same = (F.col(id_col).eqNullSafe(F.col("_found_id"))
-            & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_found_hash")))
-    return docs.join(found, same, "left_anti")
+                  .select("text_key").distinct(), "contaminated-keys")
+    return whole_rows(docs, text_key=key_of(F.col(text_col))).join(broadcast_if_small(found, found.count(), BROADCAST_IDS), "text_key", "left_anti").select("row.*")
 
 
 _SQL = """
