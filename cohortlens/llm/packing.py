@@ -32,15 +32,15 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .common import ship, stage
 from .registry import register
-from .tokens import crc, encoder, in_parts
+from .tokens import Encoder, crc, in_parts
 
 CAPACITY = 2048
 GROUPS = 256
 SMALL = 3  # lengths up to capacity / SMALL are small
 BUCKET_ROWS = 50_000
-MOST_BUCKETS = 4096
+REFRESH = 64  # steps after which the basis is inverted anew
 ship(__name__)
-ship(encoder.__module__)
+ship(Encoder.__module__)
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     def run(batches):
         import pyarrow as pa
 
-        known = encoder(tokenizer)
+        known = Encoder(tokenizer)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             at = 0
@@ -92,24 +92,51 @@ def most_valuable(sizes: list[int], price: np.ndarray, capacity: int) -> np.ndar
     return pattern
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Inverse by row operations; plain vector steps, as this runs on the driver beside a live
+    session, where threads of a numerical library may stall."""
+    k = len(matrix)
+    both = np.hstack([matrix, np.eye(k)])
+    for i in range(k):
+        best = i + int(np.abs(both[i:, i]).argmax())
+        if best != i:
+            both[[i, best]] = both[[best, i]]
+        both[i] /= both[i, i]
+        factor = both[:, i].copy()
+        factor[i] = 0
+        both -= factor[:, None] * both[i]
+    return both[:, k:]
+
+
+def times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return (matrix * vector).sum(axis=1)
+
+
 def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (pieces of each size in one sequence) and how often to use each: the linear
     programme of least sequences for the counts, by column generation, rounded down."""
     k = len(sizes)
     demand = np.array(counts, float)
     basis = np.diag([float(capacity // s) for s in sizes])
-    for _ in range(6 * k):  # any basis on the way can be used
-        inverse = np.linalg.inv(basis)
-        price = np.ones(k) @ inverse
+    inverse = inverted(basis)
+    for at in range(1, 6 * k + 1):  # any basis on the way can be used
+        price = inverse.sum(axis=0)
         pattern = most_valuable(sizes, price, capacity)
-        if pattern @ price <= 1 + 1e-7:
+        if (pattern * price).sum() <= 1 + 1e-7:
             break
-        use, step = inverse @ demand, inverse @ pattern
+        use, step = times(inverse, demand), times(inverse, pattern)
         ratio = np.where(step > 1e-9, use / np.where(step > 1e-9, step, 1), np.inf)
         if not np.isfinite(ratio.min()):
             break
-        basis[:, int(ratio.argmin())] = pattern
-    use = np.linalg.inv(basis) @ demand
+        out = int(ratio.argmin())
+        basis[:, out] = pattern
+        if at % REFRESH:  # one column changed: a rank-one update
+            row = inverse[out] / step[out]
+            inverse -= step[:, None] * row
+            inverse[out] = row
+        else:
+            inverse = inverted(basis)
+    use = times(inverted(basis), demand)
     return [(tuple(int(x) for x in basis[:, j]), int(use[j] + 1e-6)) for j in range(k) if use[j] >= 1 - 1e-6]
 
 
@@ -235,13 +262,13 @@ def take(group: list[list[int]], n: int) -> None:
 def ranked(found: DataFrame) -> DataFrame:
     """``found`` with the ``rank`` of each piece among those of its length, from 0. Ranks are counted
     in buckets of ids and moved by the number of pieces in the buckets before."""
-    buckets = min(MOST_BUCKETS, found.count() // BUCKET_ROWS + 16)
+    buckets = found.count() // BUCKET_ROWS + 16
     dealt = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = stage(sizes.select("length", "bucket", F.expr(
         "sum(n) over (partition by length order by bucket) - n").alias("before")), "packing-buckets")
     inside = dealt.withColumn("inside", F.expr(
-        "row_number() over (partition by length, bucket order by doc_id, piece) - 1"))
+        "row_number() over (partition by length, bucket order by doc_id, piece, start, ids_crc32) - 1"))
     return (inside.join(before, ["length", "bucket"])
             .withColumn("rank", F.col("before") + F.col("inside")).drop("before", "inside", "bucket"))
 

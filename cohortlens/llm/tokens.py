@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import sys
+
 import numpy as np
 
 from .common import ship
@@ -33,24 +35,37 @@ class Numbers(dict):
         return n
 
 
-class Encoder:
-    """Encodes texts; keeps the ids of up to ``most`` distinct pieces, then starts afresh."""
+def tokenizer_of(path: str):
+    """The tokenizer of a file and the number of bytes of each token. A Python worker serves many
+    tasks; this, and only this, is kept for them, at the library's module, as functions that are
+    sent by value have no module of their own."""
+    import os
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    import tokenizers
 
-    def __init__(self, path: str, most: int = 1_500_000):
-        import os
+    kept = tokenizers.__dict__.setdefault("_read_files", {})
+    if path not in kept:
+        read = tokenizers.Tokenizer.from_file(path)
+        sizes = np.zeros(read.get_vocab_size(), np.int64)  # a byte-level token has a character a byte
+        for token, i in read.get_vocab().items():
+            sizes[i] = len(token)
+        kept[path] = read, sizes
+    return kept[path]
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+class Encoder:
+    """Encodes texts; keeps the ids of distinct pieces in up to about ``most`` bytes, then starts
+    afresh. It is a task's own and goes with it."""
+
+    def __init__(self, path: str, most: int = 32 << 20):
+        self.tokenizer, self.bytes = tokenizer_of(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # a byte-level token has a character a byte
-        for token, i in self.tokenizer.get_vocab().items():
-            self.bytes[i] = len(token)
         self.most = most
         self.clear()
 
     def clear(self) -> None:
+        self.held = 0
         self.numbers = Numbers()  # number 0, the empty piece, has no ids: length -1
         self.lengths, self.starts = np.array([-1], np.int32), np.zeros(1, np.int32)
         self.ids = np.empty(0, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
@@ -80,6 +95,7 @@ class Encoder:
                 ids = np.delete(ids, starts)
                 new[here[first]] -= 1
             flats.append(ids)
+        self.held += sum(map(sys.getsizeof, pieces)) + 120 * len(pieces)  # with its number, places and ids
         pieces.clear()
         flat = np.concatenate([*flats, self.ids[:0]])
         ends = len(self.ids) + np.cumsum(np.maximum(new, 0))
@@ -92,8 +108,6 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text with the end id behind them (null: the end id alone)."""
-        if len(self.numbers) > self.most:
-            self.clear()
         places = []
         for t in texts:
             if not t or "\0" in t or any(s in t for s in self.special):
@@ -113,21 +127,12 @@ class Encoder:
             else:
                 ids = np.append(self.whole(t) if t else np.empty(0, np.uint32), np.uint32(END))
             out.append(ids)
+        if self.held > self.most:
+            self.clear()
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder of this file. Python workers serve many tasks; what was learned is kept
-    at the library's module, as functions that are sent by value have no module of their own."""
-    import tokenizers
-
-    kept = tokenizers.__dict__.setdefault("_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
-
-
-def in_parts(texts: list[str | None], chars: int = 1 << 21) -> Iterator[list[str | None]]:
+def in_parts(texts: list[str | None], chars: int = 1 << 19) -> Iterator[list[str | None]]:
     """The texts in parts of about so many characters, at least one text each."""
     part, n = [], 0
     for t in texts:

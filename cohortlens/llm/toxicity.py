@@ -7,8 +7,9 @@ gradient steps on the likelihood of the labels under the noisy-or, and the fitte
 probabilities then name the offending sentences.
 
 Fitting uses a bounded sample: about ``SAMPLE`` labelled documents of each class, chosen by a hash
-of the id (all of them while there are fewer), weighted back to the class sizes. Word statistics of
-that sample are counted by Spark; words and word beginnings whose class difference is significant,
+of the id (all of them while there are fewer), and of these, in the hash's order, those that begin
+within the first ``SAMPLE_WORDS`` words of their class; weighted back to the class sizes. Of rows that share an id, one
+is in the sample. Word statistics of that sample are counted by Spark; words and word beginnings whose class difference is significant,
 at most ``VOCABULARY`` of them, become features. Scoring reads every word of every text. The sample's ids
 are broadcast (bounded by its size), texts are never shuffled.
 
@@ -23,6 +24,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,7 @@ from .common import ship, stage
 from .registry import register
 
 SAMPLE = 8_000
+SAMPLE_WORDS = 4_000_000  # words of each class, so that long documents cannot outgrow the driver
 VOCABULARY = 2_000
 LEAST_G2 = 12.0
 LEAST_DOCS = 3
@@ -45,7 +48,7 @@ class Known(dict):
     """Word -> its features among ``names`` (the word, and its first four and five letters, so that
     inflected and compound words count). Looked-up words are remembered, up to a bound."""
 
-    def __init__(self, names, most: int = 300_000):
+    def __init__(self, names, most: int = 100_000):
         super().__init__()
         self.names, self.most = names, most
 
@@ -130,46 +133,69 @@ def vocabulary(bags: DataFrame, most: int) -> dict[str, int]:
     return {r["word"]: i for i, r in enumerate(best.collect())}
 
 
-def fit(rows: list[tuple[int, float, list[list[int]], int]], size: int):
-    """Weights and bias from ``(label, weight, word numbers of each sentence that has some, number
-    of other sentences)``, by Adam steps on the weighted noisy-or likelihood."""
-    import numpy as np
-
-    label = np.array([r[0] for r in rows], float)
-    weight = np.array([r[1] for r in rows], float)
-    weight /= weight.sum()
-    rest = np.array([r[3] for r in rows], float)
-    doc = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
-    sent = np.repeat(np.arange(len(doc)), [len(s) for r in rows for s in r[2]])
-    word = np.array([w for r in rows for s in r[2] for w in s], np.int64)
+class Bags:
+    """Labelled bags as flat arrays, from ``(label, weight, number of features of each sentence that
+    has some, the numbers of these features, number of other sentences)``."""
+
+    def __init__(self, rows: list[tuple]):
+        self.label = np.array([r[0] for r in rows], float)
+        self.weight = np.array([r[1] for r in rows], float)
+        self.weight /= self.weight.sum()
+        self.rest = np.array([r[4] for r in rows], float)
+        sizes = [np.frombuffer(r[2], np.int32) for r in rows]
+        self.doc = np.repeat(np.arange(len(rows)), [len(s) for s in sizes])
+        self.sentence = np.repeat(np.arange(len(self.doc)), np.concatenate([*sizes, np.empty(0, np.int32)]))
+        self.word = np.concatenate([*(np.frombuffer(r[3], np.int32) for r in rows), np.empty(0, np.int32)])
+
+
+def loss_and_gradient(theta, bags: Bags):
+    """Weighted negative log-likelihood of the labels under the noisy-or, with a penalty of the
+    weights; ``theta`` has the weights and, last, the bias."""
+    size = len(theta) - 1
+    z = theta[-1] + np.bincount(bags.sentence, theta[bags.word], minlength=len(bags.doc))
+    soft = lambda x: np.logaddexp(0, x)  # noqa: E731  -log(1 - p)
+    safe = np.bincount(bags.doc, soft(z), minlength=len(bags.label)) + bags.rest * soft(theta[-1])
+    safe = np.clip(safe, 1e-9, 50)
+    toxic = bags.label > 0
+    loss = (bags.weight * np.where(toxic, -np.log(-np.expm1(-safe)), safe)).sum()
+    # d loss / d safe: 1 for label 0, -1 / (exp(safe) - 1) for label 1
+    outer = bags.weight * np.where(toxic, -1 / np.expm1(safe), 1.0)
+    inner = outer[bags.doc] / (1 + np.exp(-z))
+    grad = np.append(np.bincount(bags.word, inner[bags.sentence], minlength=size),
+                     inner.sum() + (outer * bags.rest).sum() / (1 + np.exp(-theta[-1])))
+    penalty = SHRINK / max(size, 1)
+    grad[:-1] += penalty * theta[:-1]
+    return loss + penalty / 2 * (theta[:-1] ** 2).sum(), grad
+
+
+def fit(bags: Bags, size: int):
+    """Weights and bias by Adam steps."""
     theta = np.zeros(size + 1)
     theta[-1] = -4.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, STEPS + 1):
-        z = theta[-1] + np.bincount(sent, theta[word], minlength=len(doc))
-        soft = lambda x: np.logaddexp(0, x)  # noqa: E731  -log(1 - p)
-        safe = np.bincount(doc, soft(z), minlength=len(rows)) + rest * soft(theta[-1])
-        safe = np.maximum(safe, 1e-9)
-        # d loss / d safe: 1 for label 0, -1 / (exp(safe) - 1) for label 1
-        outer = weight * np.where(label > 0, -1 / np.expm1(np.minimum(safe, 50)), 1.0)
-        p = 1 / (1 + np.exp(-z))
-        inner = outer[doc] * p
-        grad = np.append(np.bincount(word, inner[sent], minlength=size),
-                         inner.sum() + (outer * rest).sum() / (1 + np.exp(-theta[-1])))
-        grad[:-1] += SHRINK * theta[:-1] / max(size, 1)
+        _, grad = loss_and_gradient(theta, bags)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta -= RATE * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
     return theta[:-1], float(theta[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          sample: int = SAMPLE) -> tuple[dict[str, float], float]:
+          sample: int = SAMPLE, words: int = SAMPLE_WORDS) -> tuple[dict[str, float], float]:
     """Word weights and bias from the labelled documents among ``labels(doc_id, toxic)``."""
     ids = stage(chosen(labels, sample), "toxicity-sample")
     if ids.select("toxic").distinct().count() < 2:
         return {}, float("-inf")
-    texts = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-                  .join(F.broadcast(ids), "doc_id").select("text", "toxic", "weight"), "toxicity-texts")
+    one = (docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+           .join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic", "weight")
+           .agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+    one = stage(one.withColumn("n", F.size(F.split("text", r"\s+"))), "toxicity-texts")
+    # at most the sample's rows: their places in the hash's order, by words
+    upto = F.expr("sum(n) over (partition by toxic order by xxhash64(doc_id, 'toxicity'), doc_id) - n")
+    within = one.select("doc_id", "toxic", "weight", upto.alias("before")).withColumn("all", F.expr("sum(weight) over (partition by toxic)"))
+    within = within.where(F.col("before") < words).withColumn("weight", F.expr("weight * all / sum(weight) over (partition by toxic)"))
+    texts = one.drop("toxic", "weight").join(F.broadcast(within.select("doc_id", "toxic", "weight")), "doc_id").select("text", "toxic", "weight")
+    texts = stage(texts, "toxicity-sample-texts")
 
     def distinct_words(batches):
         for pdf in batches:
@@ -183,13 +209,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         known = Known(numbers)
         for pdf in batches:
             found = [bag(x, known) for x in pdf["text"]]
-            pdf["hits"] = [[[numbers[w] for w in s[2]] for s in hits] for hits, _ in found]
+            pdf["sizes"] = [np.array([len(s[2]) for s in hits], np.int32).tobytes() for hits, _ in found]
+            pdf["features"] = [np.array([numbers[w] for s in hits for w in s[2]], np.int32).tobytes() for hits, _ in found]
             pdf["rest"] = [rest for _, rest in found]
-            yield pdf[["toxic", "weight", "hits", "rest"]]
+            yield pdf[["toxic", "weight", "sizes", "features", "rest"]]
 
-    rows = [(r.toxic, r.weight, r.hits, r.rest) for r in texts.mapInPandas(
-        bags, "toxic int, weight double, hits array<array<int>>, rest int").collect()]  # at most the sample
-    weights, bias = fit(rows, len(numbers))
+    rows = texts.mapInPandas(bags, "toxic int, weight double, sizes binary, features binary, rest int")
+    # at most the sample's words, four bytes each; in an order that does not depend on the partitions
+    weights, bias = fit(Bags(sorted(map(tuple, rows.collect()))), len(numbers))
     return {w: float(weights[i]) for w, i in numbers.items()}, bias
 
 
