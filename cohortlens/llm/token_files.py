@@ -1,6 +1,6 @@
 """Token files with Re-Pair grammar compression.
 
-Documents are range-partitioned by id and sorted, so that the files hold the ids of all documents in
+Documents are range-partitioned by id (rows of one id may fill several files) and sorted, so that the files hold the ids of all documents in
 ascending order of the id. Each file is a parquet table of blocks of about ``BLOCK`` ids; a block is
 a grammar of its own: frequent pairs of neighbouring symbols are replaced by a new symbol, round
 after round, until no pair is frequent any more. In a round all pairs within a factor of the most
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .common import broadcast_if_small, ship, stage
 from .registry import register
-from .tokens import crc, encoder, in_parts
+from .tokens import Encoder, crc, in_parts
 
 BLOCK = 1 << 20
 MARK = 1024
@@ -44,7 +44,7 @@ BROADCAST_BLOCKS = 1_000_000
 FORMAT = ("shard int, block int, n_tokens long, doc_ids binary, doc_lengths binary, rules binary, "
           "lengths binary, symbols binary, marks binary")
 ship(__name__)
-ship(encoder.__module__)
+ship(Encoder.__module__)
 
 
 def frequent_pairs(found: np.ndarray, shift: int, limit: int, least: int) -> list[int]:
@@ -183,9 +183,9 @@ def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_sy
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[symbols] - ends + n, n)]
 
 
-def block_row(shard: int, block: int, ids: list, parts: list[np.ndarray], vocabulary: int) -> dict:
+def block_row(shard: int, block: int, ids: list, parts: list[np.ndarray], vocabulary: int, least: int = LEAST_COUNT) -> dict:
     flat = np.concatenate(parts)
-    symbols, rules, lengths = compress(flat, vocabulary)
+    symbols, rules, lengths = compress(flat, vocabulary, least)
     n = np.ones(len(symbols), np.int64)
     new = symbols >= vocabulary
     n[new] = lengths[symbols[new].astype(np.int64) - vocabulary]
@@ -204,33 +204,78 @@ def grammar(row: dict, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.frombuffer(row["symbols"], kind), rules, np.frombuffer(row["lengths"], "<u4")
 
 
-def read_range(row: dict, start: int, count: int, vocabulary: int) -> np.ndarray:
-    """``count`` ids of a block from ``start`` on, decoding only the symbols that cover them."""
+def read_range(row: dict, start: int, count: int, vocabulary: int, used: set | None = None) -> np.ndarray:
+    """``count`` ids of a block from ``start`` on. Only the symbols that cover them are looked at, and
+    of their rules those that the range reaches: a symbol that is partly inside is descended by the
+    stored lengths. ``used`` gets the symbols whose rules were read."""
     symbols, rules, lengths = grammar(row, vocabulary)
     marks = np.frombuffer(row["marks"], "<i8")
     if count <= 0 or not len(marks):
         return np.empty(0, np.uint32)
     first = int(np.searchsorted(marks, start, "right")) - 1
     last = int(np.searchsorted(marks, start + count, "left"))
-    some = symbols[first * MARK:last * MARK]
-    skip = start - int(marks[first])
-    return expand(some, rules, lengths, vocabulary)[skip:skip + count]
+    some = symbols[first * MARK:last * MARK].astype(np.int64)
+    size = np.ones(len(some), np.int64)
+    new = some >= vocabulary
+    size[new] = lengths[some[new] - vocabulary]
+    ends = np.cumsum(size) + int(marks[first])
+    known: dict[int, np.ndarray] = {}
+
+    def parts(symbol: int) -> list[int]:
+        if used is not None:
+            used.add(symbol)
+        return rules[symbol - vocabulary].tolist()
+
+    def whole(symbol: int) -> np.ndarray:
+        waiting = [symbol]
+        while waiting:
+            top = waiting[-1]
+            if top in known:
+                waiting.pop()
+            elif top < vocabulary:
+                known[waiting.pop()] = np.array([top], np.uint32)
+            elif missing := [s for s in parts(top) if s not in known]:
+                waiting += missing
+            else:
+                known[waiting.pop()] = np.concatenate([known[s] for s in parts(top)])
+        return known[symbol]
+
+    out = []
+    at = int(np.searchsorted(ends, start, "right"))
+    while at < len(some) and ends[at] - size[at] < start + count:
+        begin = int(ends[at] - size[at])
+        descent = [(int(some[at]), start - begin, start + count - begin)]
+        while descent:
+            symbol, low, high = descent.pop()
+            n = 1 if symbol < vocabulary else int(lengths[symbol - vocabulary])
+            if low <= 0 and high >= n:
+                out.append(whole(symbol))
+                continue
+            a, b = parts(symbol)
+            middle = 1 if a < vocabulary else int(lengths[a - vocabulary])
+            if high > middle:
+                descent.append((b, low - middle, high - middle))
+            if low < middle:
+                descent.append((a, low, high))
+        at += 1
+    return np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
 def write_files(docs: DataFrame, tokenizer: str, vocabulary: int, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
-    """Write the blocks of all documents; the table that reads the files."""
+                text_col: str = "text", least: int = LEAST_COUNT) -> DataFrame:
+    """Write the blocks of all documents; the table that reads the files. Pairs that occur fewer than
+    ``least`` times (2 at least) in a block stay."""
     def run(batches) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        known, shard, block = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        known, shard, block = Encoder(tokenizer), TaskContext.get().partitionId(), 0
         names = [c.split()[0] for c in FORMAT.split(", ")]
         kinds = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]] for c in FORMAT.split(", ")]
         ids, parts, size = [], [], 0
 
         def out():
-            row = block_row(shard, block, ids, parts, vocabulary)
+            row = block_row(shard, block, ids, parts, vocabulary, max(least, 2))
             return pa.RecordBatch.from_arrays([pa.array([row[n]], k) for n, k in zip(names, kinds)], names=names)
 
         for batch in batches:
@@ -247,8 +292,11 @@ def write_files(docs: DataFrame, tokenizer: str, vocabulary: int, id_col: str =
         if ids:
             yield out()
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return stage(narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, FORMAT), "token-files")
+    # the row's number spreads rows of one id, or without one, over many shards
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                         F.monotonically_increasing_id().alias("row"))
+    dealt = narrow.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id")
+    return stage(dealt.select("doc_id", "text").mapInArrow(run, FORMAT), "token-files")
 
 
 def read_files(files: DataFrame, vocabulary: int) -> DataFrame:
