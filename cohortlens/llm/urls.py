@@ -1,7 +1,8 @@
 """URL filter by the ratio of two character language models (DataFrame functions only).
 
 Rules (host and beginning of the path) decide the URLs that they fit. All other URLs are judged by
-two variable-order Markov models, one of the URLs that rules accept and one of those they reject:
+two variable-order Markov models over whole URLs, scheme, query and fragment included, one of those
+that rules accept and one of those they reject:
 the probability of a character behind its last characters mixes the counts of every order from
 ``ORDER`` down to none by Witten-Bell smoothing, so a context that was never seen gives way to a
 shorter one. A URL's score is the difference of both log-likelihoods per character. Its least
@@ -14,8 +15,8 @@ windows with their scores is broadcast when its counted rows are within ``BROADC
 joined by a shuffle. Log ratios are whole numbers of micronats, so that sums do not depend on their
 order.
 
-A null URL or one without ``://`` has an empty host and path, which the models judge too. Repeated
-rows give a row each. Where rules accept (or reject) none outside the fold, unruled URLs are
+A null URL or one without ``://`` has an empty host and path; the models judge its text too (null:
+empty). Repeated rows give a row each. Where rules accept (or reject) none outside the fold, unruled URLs are
 allowed; where the fold lacks a class, the limit is zero. An empty table gives no rows. Other
 columns are ignored.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from .common import broadcast_if_small, stage
+from .common import broadcast_if_small, stage, whole_rows
 from .registry import register
 
 ORDER = 4
@@ -116,24 +117,26 @@ from gains where gain = (select max(gain) from gains) order by bin limit 1
 
 def judged(pages: DataFrame, rules=RULES, order: int = ORDER, id_col: str = "page_id", url_col: str = "url",
            broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``(page_id, host, path, rule, verdict, score)`` of every row; score is the log-likelihood
+    """``(page_id, url, host, path, rule, verdict, score)`` of every row; score is the log-likelihood
     difference in nats a character (of ruled URLs too, for information)."""
     spark = pages.sparkSession
     url = F.col(url_col).cast("string")
-    read = (pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    read = (pages.select(F.col(id_col).alias("page_id"), F.coalesce(url, F.lit("")).alias("url"),
+                         host_of(url).alias("host"), path_of(url).alias("path"))
             .withColumn("ruling", ruled(rules, lambda r: r[0])))
-    fold = F.substring(F.md5(F.concat("host", "path").cast("binary")), 1, 1).isin(*CALIBRATION)
+    fold = F.substring(F.md5(F.col("url").cast("binary")), 1, 1).isin(*CALIBRATION)
     read = read.withColumn("calibrates", fold & F.col("ruling").isNotNull())
-    text = F.concat("host", "path")
+    text = F.col("url")
     counted = lambda v: F.sum((F.col("ruling").eqNullSafe(v) & ~F.col("calibrates")).cast("long"))
     counts = stage(read.select("ruling", "calibrates", F.explode(windows(text, order)).alias("window"))
                    .groupBy("window").agg(counted("allow").alias("a"), counted("block").alias("b")), "url-windows")
     seen = counts.agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).first()
     both = bool(seen["a"] and seen["b"])
     ratios = broadcast_if_small(stage(model(counts, order), "url-model"), seen["n"], broadcast_rows)
-    spread = read.select("page_id", "host", "path", F.posexplode(windows(text, order)).alias("at", "window"))
-    scored = (spread.join(ratios, "window").groupBy("page_id", "host", "path")
+    spread = read.select("page_id", "url", F.posexplode(windows(text, order)).alias("at", "window"))
+    scored = (spread.join(ratios, "window").groupBy("page_id", "url")
               .agg(F.sum("ratio").alias("total"), F.count("*").alias("length"), F.count_if(F.col("at") == 0).alias("copies"))
+              .withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
               .select("*", ruled(rules, lambda r: r[1] + r[2]).alias("rule"), ruled(rules, lambda r: r[0]).alias("ruling"))
               .withColumn("calibrates", fold & F.col("ruling").isNotNull())
               .withColumn("bin", F.expr(f"cast(greatest(-{MOST_BIN}, least({MOST_BIN}, floor(total / (length * 1e4)))) as int)"))
@@ -142,18 +145,16 @@ def judged(pages: DataFrame, rules=RULES, order: int = ORDER, id_col: str = "pag
     best = spark.sql(_BEST.format(scored="{scored}"), scored=scored.select("bin", "ruling", "calibrates")).first()
     least = best["least"] if best else 0
     by_model = F.when(F.col("bin") >= least, "allow").otherwise("block") if both else F.lit("allow")
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("ruling", by_model).alias("verdict"),
+    return scored.select("page_id", "url", "host", "path", "rule", F.coalesce("ruling", by_model).alias("verdict"),
                          F.expr("total / (length * 1e6)").alias("score"))
 
 
 def allowed_pages(pages: DataFrame, rules=RULES, order: int = ORDER, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """The rows whose URL is allowed, all columns as they were (an id and its URL name a row)."""
     found = judged(pages, rules, order, id_col, url_col)
-    allowed = found.where("verdict = 'allow'").select(
-        F.col("page_id").alias("_id"), F.col("host").alias("_host"), F.col("path").alias("_path")).distinct()
-    url = F.col(url_col).cast("string")
-    return pages.join(allowed, F.col(id_col).eqNullSafe(F.col("_id")) & (host_of(url) == F.col("_host"))
-                      & (path_of(url) == F.col("_path")), "left_semi")
+    allowed = found.where("verdict = 'allow'").select("page_id", "url").distinct()
+    rows = whole_rows(pages, of_id=F.col(id_col), of_url=F.coalesce(F.col(url_col).cast("string"), F.lit("")))
+    return rows.join(allowed, F.expr("of_id <=> page_id and of_url = url"), "left_semi").select("row.*")
 
 
 def _sql() -> str:
@@ -168,11 +169,11 @@ def _sql() -> str:
         prev = f"p_{k - 1}" if k else "p_m1"
         steps.append(f"p_{k} as (select * replace ({mixed('a', k)} as p_a, {mixed('b', k)} as p_b) from {prev})")
     return f"""
-with parts as (select page_id, translate(regexp_extract(coalesce(url, ''), '{PARTS}', 1), '{string.ascii_uppercase}',
+with parts as (select page_id, coalesce(url, '') as url, translate(regexp_extract(coalesce(url, ''), '{PARTS}', 1), '{string.ascii_uppercase}',
         '{string.ascii_lowercase}') as host, regexp_extract(coalesce(url, ''), '{PARTS}', 2) as path from pages),
 r as (select row_number() over () as row, *, {case(lambda r: r[1] + r[2])} as rule, {case(lambda r: r[0])} as ruling,
-        {pad} || host || path || chr(3) as padded from parts),
-f as (select *, ruling is not null and substr(md5(host || path), 1, 1) in ('0', '1', '2') as calibrates from r),
+        {pad} || url || chr(3) as padded from parts),
+f as (select *, ruling is not null and substr(md5(url), 1, 1) in ('0', '1', '2') as calibrates from r),
 w as (select row, ruling, calibrates, unnest(list_transform(range(1, length(padded) - {ORDER} + 1),
         lambda i: substr(padded, i, {ORDER + 1}))) as gram from f),
 counts as (select gram as w, sum(case when ruling = 'allow' and not calibrates then 1 else 0 end)::double as a,
@@ -189,7 +190,7 @@ sums as (select row, sum(ratio)::bigint as total, count(*) as len from w join mo
 scored as (select f.*, total, len, greatest(-{MOST_BIN}, least({MOST_BIN}, floor(total / (len * 1e4::double))))::int as bin
         from f join sums using (row)),
 best as ({_BEST.format(scored="scored")})
-select page_id, host, path, rule, coalesce(ruling, case when (select sum(a) > 0 and sum(b) > 0 from counts) then
+select page_id, url, host, path, rule, coalesce(ruling, case when (select sum(a) > 0 and sum(b) > 0 from counts) then
         case when bin >= coalesce((select least from best), 0) then 'allow' else 'block' end else 'allow' end) as verdict,
         total / (len * 1e6::double) as score
 from scored
