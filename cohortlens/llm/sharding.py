@@ -3,10 +3,11 @@
 Records are ordered by a hash of their text, copies by a hash of their id. A sample of keys, drawn
 with chances in proportion to a record's size, gives the boundaries of many more ranges than shards;
 a text that fills several quantiles of the sample becomes a range of its own. The bytes of every
-range are then counted over all records. An overfull range is subdivided: one that is a single text
-by the hash of the id, others by a second hash of the text. Neighbouring parts make a shard, so
-sizes differ by about the size of a part. Copies of a text lie in one shard unless they exceed
-about one part (1/``FINE`` of a shard).
+range are then counted over all records. An overfull range is subdivided: one of several texts by a
+second hash of the text, one that is a single text by the hash of the id, but only if it exceeds
+``WHOLE`` of a shard. Neighbouring parts make a shard, cut where it is nearest to equal sizes, so that
+a shard differs from the mean by about the size of the parts at its two ends. Copies of a text lie in
+one shard unless they are more than ``WHOLE`` (1/16) of a shard.
 
 Texts are read once and never shuffled: sizes, checksums and keys move alone. The driver holds the
 boundaries and the sizes of the parts, some ``3 * FINE`` numbers a shard whatever the number of
@@ -31,6 +32,7 @@ SHARDS = 24
 FINE = 64  # ranges for each shard
 DRAWS = 64  # expected draws for each range
 OVERFULL = 1.25  # times the mean
+WHOLE = 1 / 16  # of a shard: what copies of one text may be without being divided
 BUCKET_ROWS = 50_000
 
 
@@ -87,7 +89,8 @@ def placed(keys: DataFrame, shards: int = SHARDS) -> DataFrame:
     limit = OVERFULL * total / ranges
     sizes = {r["range"]: r["bytes"] for r in keys.groupBy(range_of(F.col("text_key"), cuts).alias("range"))
              .agg(F.sum("size").alias("bytes")).collect()}  # a row for each range
-    parts = [max(1, -(-sizes.get(i, 0) * ranges // total) if sizes.get(i, 0) > limit else 1) for i in range(len(cuts) + 1)]
+    most = [max(limit, WHOLE * total / shards) if i in single else limit for i in range(len(cuts) + 1)]
+    parts = [max(1, -(-sizes.get(i, 0) * ranges // total) if sizes.get(i, 0) > most[i] else 1) for i in range(len(cuts) + 1)]
     first = [sum(parts[:i]) for i in range(len(parts))]
     divided = F.when(looked_up([int(i in single) for i in range(len(parts))], F.col("range")) == 1, F.col("row_key")
                      ).otherwise(F.xxhash64(F.lit("part"), "text_key"))
