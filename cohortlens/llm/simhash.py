@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from .common import broadcast_if_small, ship, stage
+from .common import broadcast_if_small, ship, stage, whole_rows
 from .components import components
 from .registry import register
 
@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: in
             .select("doc_id", "fp", F.col("first").alias("component_id")))
 
 
-def representatives(docs: DataFrame, shingle: int = 3, radius: int = 3,
+def representatives(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 42,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Exactly one row of each group: the one with the smallest id (null after all others), then
     fingerprint, then hash of the row; of rows equal in all columns, one. Map columns are not
@@ -145,27 +145,21 @@ def representatives(docs: DataFrame, shingle: int = 3, radius: int = 3,
     ``BROADCAST_IDS``, so that texts are not shuffled; else AQE splits the join."""
     plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in plain])
-    prints = stage(fingerprints(docs, shingle, id_col=id_col, text_col=text_col, row_hash=row_hash), "simhash-prints")
+    prints = stage(fingerprints(docs, shingle, seed, id_col, text_col, row_hash), "simhash-prints")
     key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp", "row_hash")
     rows = stage(prints.join(component_firsts(prints, key, radius), "fp")
                  .groupBy("doc_id", "row_hash").agg(F.bool_or(key.eqNullSafe(F.col("first"))).alias("stays"), F.count("*").alias("n")),
                  "simhash-rows")
-    named = [F.col("doc_id").alias("_found_id"), F.col("row_hash").alias("_found_row")]
-    gone, twice = rows.where("not stays").select(*named), rows.where("stays and n > 1").select(*named)
+    gone, twice = (rows.where(x).select("doc_id", "row_hash") for x in ("not stays", "stays and n > 1"))
     n = rows.agg(F.count_if(~F.col("stays")), F.count_if(F.col("stays") & (F.col("n") > 1))).first()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_found_id")) & (row_hash == F.col("_found_row"))
-    kept = docs.join(broadcast_if_small(gone, n[0], BROADCAST_IDS), same, "left_anti")
+    same = F.expr("of_id <=> doc_id and of_hash = row_hash")
+    kept = (whole_rows(docs, of_id=F.col(id_col).cast("long"), of_hash=row_hash)
+            .join(broadcast_if_small(gone, n[0], BROADCAST_IDS), same, "left_anti"))
     if not n[1]:
-        return kept
+        return kept.select("row.*")
     twice = broadcast_if_small(twice, n[1], BROADCAST_IDS)
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(plain))
-
-
-def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3,
-             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The representatives that have an id; groups without any id have none here (``representatives``
-    has them, too)."""
-    return representatives(docs, shingle, radius, id_col, text_col).where(F.col(id_col).isNotNull())
+    return (kept.join(twice, same, "left_anti").select("row.*")
+            .unionByName(kept.join(twice, same, "left_semi").select("row.*").dropDuplicates(plain)))
 
 
 @register("op4_simhash_near_dedup")

@@ -8,7 +8,8 @@ import random
 import pytest
 
 DOCS = ("doc_id long, text string, lang string, source string, n_chars long, _id long, fp long, "
-        "part int, shard int, bucket int, score double, words string, hash long, k0 string")
+        "part int, shard int, bucket int, score double, words string, hash long, k0 string, "
+        "_found_id long, _found_hash long, _found_row long, row string, text_key string, of_id long, row_hash long")
 
 
 def sentence(rng: random.Random, n: int) -> str:
@@ -29,7 +30,7 @@ def rows_of() -> list[tuple]:
     rows = [(i, t, None if i == 12 else "en" if i % 2 else "de", None if i == 14 else f"s{i % 3}", None if i == 2 else len(t or ""))
             for i, t in texts.items()]
     rows += [(15, texts[15], "en", "s0", 1), (None, text_of(8), "en", "s1", 5)]  # a repeated row, a row without id
-    return [r + (7, 1, 2, 3, 4, 0.5, "w", 6, "k") for r in rows]
+    return [r + (7, 1, 2, 3, 4, 0.5, "w", 6, "k", 1, 2, 3, "r", "t", 4, 5) for r in rows]
 
 
 @pytest.fixture(scope="session")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -74,11 +76,11 @@ def test_simhash_awkward(docs, no_docs):
     assert len(found) == docs.count()
     of = {r.doc_id: r.component_id for r in found}
     assert of[1] == of[3] == 1 and {of[4], of[5], of[6]} == {4} and of[7] == 7
-    kept = simhash.keep_one(docs)
+    kept = simhash.representatives(docs)
     assert kept.columns == docs.columns
-    ids = sorted(r.doc_id for r in kept.select("doc_id").collect())
+    ids = sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None)
     assert len(ids) == len(set(ids)) and ids == sorted({c for c in of.values() if c is not None})
-    assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_one(no_docs).count() == 0
+    assert simhash.near_duplicates(no_docs).count() == 0
 
 
 def test_one_row_of_each_group(spark, docs, no_docs):
@@ -153,6 +155,45 @@ def test_quality_sketch(spark):
         assert r.low <= r.v and r.v - r.low <= r.v / 32
 
 
+def test_quality_limits_are_the_quantiles(spark):
+    """Each group's limits from plain Python quantiles of the sketched values."""
+    rng = random.Random(13)
+    rows = []
+    for i in range(900):
+        lang, source = rng.choice(["en", "de", None]), rng.choice(["a", "b", "rare"] if i % 40 == 0 else ["a", "b"])
+        rows.append((lang, source, rng.randint(50, 900), rng.randint(200, 9000), rng.randint(0, 60), rng.randint(0, 30), rng.randint(0, 200),
+                     rng.randint(1, 40), rng.random() < 0.1))
+    names = "lang source n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines base_failed".split()
+    measures = spark.createDataFrame(rows, "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+                                           "n_repeat_words long, n_lines long, base_failed boolean")
+    low = {}
+    exprs = {m: e for m, (e, _) in quality.MEASURES.items()}
+    values = measures.selectExpr(*names, *[f"{e} as m_{m}" for m, e in exprs.items()])
+    for m in exprs:
+        values = values.withColumn(f"low_{m}", quality.least_of(quality.bin_of(quality.F.col(f"m_{m}"))))
+    every = values.where("not base_failed").collect()
+
+    def group_of(lang, source, m):
+        for members in ([r for r in every if r.lang == lang and r.source == source], [r for r in every if r.lang == lang], None):
+            if members is None:
+                return sorted(r[f"low_{m}"] for r in every)
+            if len(members) >= quality.MIN_GROUP:
+                return sorted(r[f"low_{m}"] for r in members)
+
+    def quantile(xs, pct):
+        return xs[-(-len(xs) * pct // 100) - 1]
+
+    for r in quality.limits(quality.sketches(measures)).collect():
+        for m, (_, slack) in quality.MEASURES.items():
+            xs = group_of(r.lang, r.source, m)
+            q25, q50, q75 = (quantile(xs, p) for p in (25, 50, 75))
+            assert math.isclose(r[f"{m}_most"], q75 + max(slack, quality.REACH * (q75 - q50)))
+            low[m] = q25 - max(slack, quality.REACH * (q50 - q25))
+        assert math.isclose(r.word_length_least, low["word_length"])
+    found = quality.judged(quality.stage(measures, "t")).collect()
+    assert len(found) == len(rows) and not any(r.kept for r in found if r.base_failed) and any(r.kept for r in found)
+
+
 def test_quality_limits_follow_the_group(spark):
     junk = lambda i: text_of(i, 8).replace(" ", " # | ")
     rows = [(i, junk(i) if i % 100 == 0 else text_of(i, 8), "en", "clean") for i in range(400)]
@@ -186,6 +227,42 @@ def test_toxicity_finds_sentences(spark):
         assert bool(r.j.offending) == (r.doc_id % 4 == 0)
 
 
+def test_toxicity_score_and_gradient():
+    """The noisy-or of a text against a plain product, and the gradient against differences."""
+    rng = random.Random(12)
+    weights = {"bad": 2.5, "badl*": 0.7, "evil": 1.5, "good": -1.0, "fin*": 0.2}
+    vocabulary = ["bad", "badly", "badlands", "evil", "good", "fine", "final", "word", "x"]
+    for _ in range(200):
+        sentences = [[rng.choice(vocabulary) for _ in range(rng.randint(0, 5))] for _ in range(rng.randint(0, 6))]
+        text = "".join(" ".join(w.title() if rng.random() < 0.2 else w for w in s) + rng.choice(".!?\n") for s in sentences)
+        none = 1.0
+        for s in sentences:
+            if s:
+                z = -1.5 + sum(weights.get(f, 0) for w in set(s) for f in {w, w[:4] + "*" if len(w) > 3 else w, w[:5] + "*" if len(w) > 4 else w})
+                none *= 1 - 1 / (1 + math.exp(-z))
+        assert math.isclose(toxicity.score(text, toxicity.Known(weights), -1.5)[0], 1 - none, abs_tol=1e-12), text
+    raw = lambda xs: np.array(xs, np.int32).tobytes()
+    rows = [(rng.randint(0, 1), rng.random() + 0.1, raw(sizes := [rng.randint(1, 4) for _ in range(rng.randint(0, 4))]),
+             raw([rng.randrange(6) for _ in range(sum(sizes))]), rng.randint(0, 3)) for _ in range(40)]
+    rows = [r if r[2] or r[4] else r[:4] + (1,) for r in rows]
+    bags, theta = toxicity.Bags(rows), np.array([rng.uniform(-1, 1) for _ in range(7)])
+    _, grad = toxicity.loss_and_gradient(theta, bags)
+    for i in range(7):
+        step = np.zeros(7)
+        step[i] = 1e-6
+        slope = (toxicity.loss_and_gradient(theta + step, bags)[0] - toxicity.loss_and_gradient(theta - step, bags)[0]) / 2e-6
+        assert math.isclose(grad[i], slope, rel_tol=1e-5, abs_tol=1e-8)
+
+
+def test_toxicity_sample_is_bounded_by_words(spark):
+    rows = [(i, ("vilegrunt " if i % 2 else "") + text_of(i, 20)) for i in range(200)] + [(1, "another text of id 1")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.train(docs, marks, words=4000)  # some twenty documents of each class
+    found = docs.select("doc_id", toxicity.judged(docs.text, model)["score"].alias("s")).where("doc_id > 1").collect()
+    assert sum((r.s >= 0.5) == (r.doc_id % 2 == 1) for r in found) >= 190
+
+
 def test_toxicity_awkward(spark, sf, docs, no_docs):
     some = spark.createDataFrame([(1, 1), (1, None), (None, 1), (2, 0), (2, 0), (99, 1)], "doc_id long, toxic int")
     none = some.where("false")

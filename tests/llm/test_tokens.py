@@ -47,6 +47,45 @@ def test_grammar_round_trip():
     assert len(row["symbols"]) < 40_000 // 4  # a repeated run shrinks
 
 
+def test_read_range_descends_its_own_rules():
+    rng = np.random.default_rng(3)
+    words = [rng.integers(0, 40, rng.integers(3, 30)) for _ in range(400)]
+    ids = np.concatenate([words[int(i)] for i in rng.integers(0, 400, 6000)]).astype(np.uint32)
+    row = token_files.block_row(0, 0, [1], [ids], 50, least=2)
+    _, rules, lengths = token_files.grammar(row, 50)
+    assert len(rules) > 300 and len(token_files.block_row(0, 0, [1], [ids], 50)["rules"]) < len(row["rules"])
+    for at, n in ((0, 1), (1000, 1), (len(ids) - 3, 3), (777, 50), (0, len(ids))):
+        used = set()
+        assert np.array_equal(token_files.read_range(row, at, n, 50, used), ids[at:at + n])
+        assert n > 50 or len(used) <= 4 * n + 2 * int(lengths.max()).bit_length() * 8 < len(rules)
+
+
+def test_rows_of_one_id_fill_several_files(spark, tokenizer, plain):
+    rows = [(None if i % 3 else i, f"text {i} of " + text_of(i, 2)) for i in range(900)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as if the files were large
+    try:
+        files = token_files.write_files(table, tokenizer, 50_257, least=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    found = token_files.read_files(files, 50_257).collect()
+    assert sorted(r.ids_crc32 for r in found) == sorted(crc(plain(t)) for _, t in rows)
+    found.sort(key=lambda r: r.start)
+    assert [r.doc_id for r in found] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d))
+    shards = [r for r in files.collect() if (np.frombuffer(r.doc_ids, "<i8") == -1 << 63).any()]
+    assert len({r.shard for r in shards}) > 1
+
+
+def test_encoder_forgets(tokenizer, plain):
+    known = Encoder(tokenizer, most=100_000)
+    for i in range(12):
+        texts = [text_of(i * 10 + j, 30) for j in range(5)]
+        assert all(np.array_equal(a, plain(t)) for a, t in zip(known.encode(texts), texts))
+        assert known.held <= 100_000
+    assert Encoder(tokenizer).tokenizer is known.tokenizer and Encoder(tokenizer).held == 0
+
+
 @pytest.mark.parametrize("vocabulary", [50, 65_536 - token_files.ROOM, 50_257])
 def test_grammar_is_complete(vocabulary, monkeypatch):
     rng = np.random.default_rng(2)
@@ -111,6 +150,21 @@ def test_packing(docs, no_docs, tokenizer, plain, capacity):
     assert packing.pack_documents(no_docs, tokenizer, capacity).count() == 0
 
 
+def test_plan_of_many_lengths_beside_a_session(spark):
+    """As many lengths as there are, planned while a session lives, with default threads."""
+    import time
+
+    assert spark.range(10).count() == 10
+    rng = random.Random(7)
+    histogram = {n: rng.randint(1, 400) for n in range(1, 2049)}
+    began = time.time()
+    made = packing.plan(histogram)
+    assert time.time() - began < 30
+    assert made.sequences <= 1.02 * sum(n * c for n, c in histogram.items()) / 2048 + 5
+    matrix = np.array([[rng.randint(0, 3) + 5 * (i == j) for j in range(40)] for i in range(40)], float)
+    assert np.allclose(packing.inverted(matrix) @ matrix, np.eye(40))
+
+
 def test_plan_is_tight():
     rng = random.Random(3)
     for trial in range(12):
