@@ -214,13 +214,14 @@ def readable_level(name) -> Column:
 
 def parse_variant(name) -> tuple[Column, Column, Column]:
     """T15: 'A_to_B_kind' -> (A, B, kind); without '_to_' the new group is the
-    original one and the kind is empty."""
+    original one and the kind is empty ('race' for 'A_race', the unswapped
+    notes of the explicit kind)."""
     n = _c(name)
     has_to = F.instr(n, "_to_") > 0
-    orig = F.when(has_to, F.regexp_extract(n, r"^(.*?)_to_", 1)).otherwise(n)
+    orig = F.when(has_to, F.regexp_extract(n, r"^(.*?)_to_", 1)).otherwise(F.regexp_replace(n, "_race$", ""))
     rest = F.regexp_extract(n, r"_to_(.*)$", 1)
     kinds = r"(name_address|name|address|race)$"
-    kind = F.regexp_extract(rest, "_" + kinds, 1)
+    kind = F.when(has_to, F.regexp_extract(rest, "_" + kinds, 1)).otherwise(F.regexp_extract(n, "_(race)$", 1))
     new = F.when(has_to, F.regexp_replace(rest, "_" + kinds, "")).otherwise(orig)
     return orig, new, kind
 

@@ -28,4 +28,4 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from . import (q_events, q_cohort, q_text, q_splits, q_pairs,  # noqa: F401
-                   q_metrics, q_reports, q_models, q_files, q_freetext)
+                   q_metrics, q_reports, q_models, q_files, q_freetext, q_audit)

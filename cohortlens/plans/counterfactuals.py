@@ -1,10 +1,13 @@
 """Counterfactual note sets (C9-C13): the same test notes with personal
 details swapped between rank-matched partners.
 
-Each family is one pair join (J8 / J9 / W9) followed by ``explode`` of a
-fixed list of variants; a variant is one fill pass (T7 per tag) over the
-tagged head of the note, the untagged tail is appended unchanged (see
-:mod:`.variants`). Outputs are (variant, hadm_id, text, label) tables."""
+Pairing (J8 / J9 / W9) sees keys and attributes only: its result is a graph
+of partners, one row a note with what the variants take from each partner.
+The text comes last: each note meets its partners by stay id, once, and
+``explode`` of its variants follows in the same stage; a variant is one fill
+pass (T7 per tag) over the tagged head of the note, the untagged tail is
+appended unchanged (see :mod:`.variants`). Outputs are (variant, hadm_id,
+text, label) tables."""
 
 from __future__ import annotations
 
@@ -16,18 +19,42 @@ from pyspark.sql import functions as F
 from ..functions import tags as T
 from ..functions.codes import AGE_SHIFT_RANGE, AGE_SHIFTS, RACE_CODES
 from ..operators.pairing import groups_with_all, rank_match, rank_match_all, tail_pairs
-from .variants import render_template, slot_template, split_head_tail, spread
+from ..session import materialize
+from .variants import render_template, slot_template, split_head_tail
 
 LABEL = "thirty_day_readmission"
 ATTR_COLS = ["hadm_id", "gender", "race", "race_abbrev", "abbrev", "name", "address", "actual_age", "dob",
              "admittime_today", "dischtime_today", LABEL]
 
 
-def with_head_tail(notes: DataFrame) -> DataFrame:
+def people_of(test_notes: DataFrame) -> DataFrame:
+    """What pairing needs: the attributes without the text (staged, as ranks
+    and joins read them several times)."""
+    return materialize(test_notes.select(*ATTR_COLS))
+
+
+def both_sides(pairs: DataFrame, sides: tuple[str, str], cols: list[str]) -> DataFrame:
+    """Partner graph of pairs: (hadm_id, partners) with the side a note is on
+    and the partner's ``cols``; a note has at most one partner on each side."""
+    def one(own: str, other: str) -> Column:
+        return F.struct(F.col(f"hadm_id_{own}").alias("hadm_id"), F.struct(
+            F.lit(own).alias("side"), *[F.col(f"{c}_{other}").alias(c) for c in cols]).alias("partner"))
+    a, b = sides
+    return pairs.select(F.inline(F.array(one(a, b), one(b, a)))).groupBy("hadm_id").agg(
+        F.collect_list("partner").alias("partners"))
+
+
+def fan_out(partners: Column, variants: Column) -> Column:
+    """array<struct<v, o>>: each variant of the side that the note is on, with the partner."""
+    return F.flatten(F.transform(partners, lambda p: F.transform(
+        F.filter(variants, lambda v: v["side"] == p["side"]), lambda v: F.struct(v.alias("v"), p.alias("o")))))
+
+
+def with_head_tail(notes: DataFrame, *more: str) -> DataFrame:
     """Attributes, the tagged head, the untagged tail and the slot template
     of each note (computed once, before any fan-out)."""
     hd, tl = split_head_tail("text")
-    d = notes.select(*ATTR_COLS, hd.alias("head"), tl.alias("tail"))
+    d = notes.select(*ATTR_COLS, hd.alias("head"), tl.alias("tail"), *more)
     tmpl, safe = slot_template(F.col("head"))
     return d.withColumn("tmpl", tmpl).withColumn("safe", safe)
 
@@ -53,24 +80,23 @@ def gender_counterfactuals(test_notes: DataFrame) -> DataFrame:
     (races with both genders only, U2); 8 variants per direction: base,
     other's name / address / both, and each of these re-gendered. The
     outcome stays with the base note."""
-    tn = with_head_tail(groups_with_all(test_notes, "race", "gender"))
-    pairs = rank_match(tn.filter(F.col("gender") == "F"), tn.filter(F.col("gender") == "M"),
+    people = groups_with_all(people_of(test_notes), "race", "gender").select("hadm_id", "gender", "race", "name", "address", "actual_age")
+    pairs = rank_match(people.filter(F.col("gender") == "F"), people.filter(F.col("gender") == "M"),
                        ["race"], "actual_age", "hadm_id", suffixes=("_f", "_m"))
+    partners = materialize(both_sides(pairs, ("f", "m"), ["gender", "name", "address"]))
     arr = F.array(*[F.struct(F.lit(n).alias("variant"), F.lit(s).alias("side"), F.lit(g).alias("regender"),
                              F.lit(sn).alias("sname"), F.lit(sa).alias("saddr"))
                     for n, s, g, sn, sa in GENDER_VARIANTS])
-    p = spread(pairs, "hadm_id_f").withColumn("__v", F.explode(arr))
-    is_f = F.col("__v.side") == "f"
-    own = lambda c: F.when(is_f, F.col(c + "_f")).otherwise(F.col(c + "_m"))
-    oth = lambda c: F.when(is_f, F.col(c + "_m")).otherwise(F.col(c + "_f"))
-    kg = F.when(F.col("__v.regender"), oth("gender")).otherwise(own("gender"))
-    vals = T.all_on_values(own, kg)
-    vals["race"] = F.col("race")  # the stratum: same on both sides
-    vals["name"] = F.when(F.col("__v.sname"), oth("name")).otherwise(own("name"))
-    vals["address"] = F.when(F.col("__v.saddr"), oth("address")).otherwise(own("address"))
-    return p.select(F.col("__v.variant").alias("variant"), own("hadm_id").alias("hadm_id"),
-                    _text(own("head"), own("tail"), vals, own("tmpl"), own("safe")).alias("text"),
-                    own(LABEL).alias(LABEL))
+    p = with_head_tail(test_notes.join(partners, "hadm_id"), "partners").withColumn("__x", F.explode(fan_out(F.col("partners"), arr)))
+    v, other = F.col("__x.v"), F.col("__x.o")
+    vals = T.all_on_values(F.col, F.when(v["regender"], other["gender"]).otherwise(F.col("gender")))
+    vals["name"] = F.when(v["sname"], other["name"]).otherwise(F.col("name"))
+    vals["address"] = F.when(v["saddr"], other["address"]).otherwise(F.col("address"))
+    return p.select(v["variant"].alias("variant"), "hadm_id", _filled(vals).alias("text"), LABEL)
+
+
+def _filled(vals: dict) -> Column:
+    return _text(F.col("head"), F.col("tail"), vals, F.col("tmpl"), F.col("safe"))
 
 
 RACE_KINDS = ["name", "address", "name_address"]
@@ -81,45 +107,42 @@ def race_counterfactuals(test_notes: DataFrame) -> DataFrame:
     ordered pair of races, notes of the base race take the name, the
     address, or both from the same-gender note of equal age rank of the
     other race ('B_to_N_kind'); plus each race's own notes ('B')."""
-    tn = with_head_tail(test_notes)
-    pairs = rank_match_all(tn, "race_abbrev", ["gender"], "actual_age", "hadm_id")
-    p = spread(pairs, "hadm_id_a").withColumn("__k", F.explode(F.array(*[F.lit(k) for k in RACE_KINDS])))
-    own = lambda c: F.col(c + "_a")
-    vals = T.all_on_values(own, F.col("gender"), race_on=False)  # gender is the stratum
-    vals["name"] = F.when(F.col("__k").contains("name"), F.col("name_b")).otherwise(own("name"))
-    vals["address"] = F.when(F.col("__k").contains("address"), F.col("address_b")).otherwise(own("address"))
-    swapped = p.select(F.concat_ws("_", own("race_abbrev"), F.lit("to"), F.col("race_abbrev_b"), F.col("__k"))
-                       .alias("variant"), own("hadm_id").alias("hadm_id"),
-                       _text(own("head"), own("tail"), vals, own("tmpl"), own("safe")).alias("text"),
-                    own(LABEL).alias(LABEL))
-    base_vals = T.all_on_values(F.col, F.col("gender"), race_on=False)
-    base = tn.select(F.col("race_abbrev").alias("variant"), "hadm_id",
-                     _text(F.col("head"), F.col("tail"), base_vals, F.col("tmpl"), F.col("safe")).alias("text"), LABEL)
-    return base.unionByName(swapped)
-
-
-def race_codes_of(test_notes: DataFrame, limit: int = 10000) -> list[str]:
-    """Distinct race codes (a small dimension: checked before use)."""
-    codes = [r[0] for r in test_notes.select("race_abbrev").distinct().limit(limit + 1).collect()]
-    if len(codes) > limit:
-        raise ValueError("too many race codes for an explicit race swap")
-    return sorted(codes)
-
-
-def race_counterfactuals_explicit(test_notes: DataFrame, codes: list[str]) -> DataFrame:
+    people = people_of(test_notes).select("hadm_id", "gender", "race_abbrev", "name", "address", "actual_age")
+    pairs = rank_match_all(people, "race_abbrev", ["gender"], "actual_age", "hadm_id")
+    # at most one partner of each other race
+    partners = materialize(pairs.groupBy(F.col("hadm_id_a").alias("hadm_id")).agg(F.collect_list(F.struct(
+        F.col("race_abbrev_b").alias("race_abbrev"), F.col("name_b").alias("name"), F.col("address_b").alias("address"))).alias("partners")))
+    tn = with_head_tail(test_notes.join(partners, "hadm_id", "left"), "partners")
+    kinds = F.array(*[F.lit(k) for k in RACE_KINDS])
+    swaps = F.flatten(F.transform("partners", lambda p: F.transform(kinds, lambda k: F.struct(k.alias("kind"), p.alias("o")))))
+    swaps_type = "array<struct<kind:string,o:struct<race_abbrev:string,name:string,address:string>>>"
+    own = F.array(F.struct(F.lit(None).cast("string").alias("kind"),
+                           F.lit(None).cast("struct<race_abbrev:string,name:string,address:string>").alias("o")))
+    p = tn.withColumn("__x", F.explode(F.concat(own.cast(swaps_type), F.coalesce(swaps, F.array().cast(swaps_type)).cast(swaps_type))))
+    kind, other = F.col("__x.kind"), F.col("__x.o")
+    vals = T.all_on_values(F.col, F.col("gender"), race_on=False)  # gender is the stratum
+    vals["name"] = F.when(kind.contains("name"), other["name"]).otherwise(F.col("name"))
+    vals["address"] = F.when(kind.contains("address"), other["address"]).otherwise(F.col("address"))
+    variant = F.when(kind.isNull(), F.col("race_abbrev")).otherwise(
+        F.concat_ws("_", F.col("race_abbrev"), F.lit("to"), other["race_abbrev"], kind))
+    return p.select(variant.alias("variant"), "hadm_id", _filled(vals).alias("text"), LABEL)
+
+
+def race_counterfactuals_explicit(test_notes: DataFrame) -> DataFrame:
     """C11: race line inserted into the head (T6), all attributes on, then the
-    race label set to each race of ``codes`` ('B_race' for the own race,
-    'B_to_N_race' otherwise)."""
+    race label set to each race code of the notes ('B_race' for the own
+    race, 'B_to_N_race' otherwise). The codes are one row beside every note."""
+    codes = test_notes.select("race_abbrev").distinct().agg(F.collect_list("race_abbrev").alias("__codes"))
     ins = test_notes.withColumn("text", T.insert_attribute("text", "race", F.col("race")))
-    tn = with_head_tail(ins)
+    tn = with_head_tail(ins).join(F.broadcast(codes))  # one row: a code a race
     m = F.create_map(*[F.lit(x) for kv in RACE_CODES.items() for x in kv])
-    p = spread(tn, "hadm_id").withColumn("__n", F.explode(F.array(*[F.lit(c) for c in codes])))
+    p = tn.withColumn("__n", F.explode("__codes"))
     same = F.col("__n") == F.col("race_abbrev")
     vals = T.all_on_values(F.col, F.col("gender"))
     vals["race"] = F.when(same, F.col("race")).otherwise(F.coalesce(F.element_at(m, F.col("__n")), F.col("__n")))
     variant = F.when(same, F.concat(F.col("race_abbrev"), F.lit("_race"))) \
         .otherwise(F.concat_ws("_", F.col("race_abbrev"), F.lit("to"), F.col("__n"), F.lit("race")))
-    return p.select(variant.alias("variant"), "hadm_id", _text(F.col("head"), F.col("tail"), vals, F.col("tmpl"), F.col("safe")).alias("text"), LABEL)
+    return p.select(variant.alias("variant"), "hadm_id", _filled(vals).alias("text"), LABEL)
 
 
 AGE_VARIANTS = []
@@ -136,22 +159,19 @@ def age_counterfactuals(test_notes: DataFrame, k: int = 12) -> DataFrame:
     """In each subgroup the k youngest and the k oldest test notes,
     paired by order (W9); 8 variants per direction swapping age with birth
     year (no 'year-old' here), name and address."""
-    tn = with_head_tail(test_notes)
-    pairs = tail_pairs(tn, ["abbrev"], "actual_age", "hadm_id", k)
+    people = people_of(test_notes).select("hadm_id", "abbrev", "actual_age", "dob", "name", "address")
+    pairs = tail_pairs(people, ["abbrev"], "actual_age", "hadm_id", k)
+    partners = materialize(both_sides(pairs, ("o", "y"), ["actual_age", "dob", "name", "address"]))
     arr = F.array(*[F.struct(F.lit(n).alias("variant"), F.lit(s).alias("side"), F.lit(a).alias("sage"),
                              F.lit(sn).alias("sname"), F.lit(sa).alias("saddr")) for n, s, a, sn, sa in AGE_VARIANTS])
-    p = spread(pairs, "hadm_id_o").withColumn("__v", F.explode(arr))
-    is_o = F.col("__v.side") == "o"
-    own = lambda c: F.when(is_o, F.col(c + "_o")).otherwise(F.col(c + "_y"))
-    oth = lambda c: F.when(is_o, F.col(c + "_y")).otherwise(F.col(c + "_o"))
-    vals = T.all_on_values(own, own("gender"))
-    vals["age"] = F.when(F.col("__v.sage"), oth("actual_age").cast("string")).otherwise(vals["age"])
-    vals["dob"] = F.when(F.col("__v.sage"), oth("dob").cast("string")).otherwise(vals["dob"])
-    vals["name"] = F.when(F.col("__v.sname"), oth("name")).otherwise(own("name"))
-    vals["address"] = F.when(F.col("__v.saddr"), oth("address")).otherwise(own("address"))
-    return p.select(F.col("__v.variant").alias("variant"), own("hadm_id").alias("hadm_id"),
-                    _text(own("head"), own("tail"), vals, own("tmpl"), own("safe")).alias("text"),
-                    own(LABEL).alias(LABEL))
+    p = with_head_tail(test_notes.join(partners, "hadm_id"), "partners").withColumn("__x", F.explode(fan_out(F.col("partners"), arr)))
+    v, other = F.col("__x.v"), F.col("__x.o")
+    vals = T.all_on_values(F.col, F.col("gender"))
+    vals["age"] = F.when(v["sage"], other["actual_age"].cast("string")).otherwise(vals["age"])
+    vals["dob"] = F.when(v["sage"], other["dob"].cast("string")).otherwise(vals["dob"])
+    vals["name"] = F.when(v["sname"], other["name"]).otherwise(F.col("name"))
+    vals["address"] = F.when(v["saddr"], other["address"]).otherwise(F.col("address"))
+    return p.select(v["variant"].alias("variant"), "hadm_id", _filled(vals).alias("text"), LABEL)
 
 
 def age_shift(test_notes: DataFrame, deltas=AGE_SHIFTS, lo: int = AGE_SHIFT_RANGE[0],
@@ -161,7 +181,7 @@ def age_shift(test_notes: DataFrame, deltas=AGE_SHIFTS, lo: int = AGE_SHIFT_RANG
     ('age_plus_10', 'age_minus_20', ...)."""
     tn = with_head_tail(test_notes.filter(F.col("actual_age").between(lo, hi)))
     names = [("age", 0)] + [(f"age_{'plus' if x > 0 else 'minus'}_{abs(x)}", x) for x in deltas]
-    p = spread(tn, "hadm_id").withColumn("__d", F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), F.lit(x).alias("delta"))
+    p = tn.withColumn("__d", F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), F.lit(x).alias("delta"))
                                                  for n, x in names])))
     vals = T.all_on_values(F.col, F.col("gender"))
     shifted = F.col("__d.delta") != 0

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import gram as G
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators.sampling import stratified_folds, stratified_split, three_way_split
@@ -97,6 +98,21 @@ def q_m7(spark, d):
     return spark.createDataFrame(rows, "C double, class_weight string, cv_mean double, cv_std double, n_folds int")
 
 
+@register("m7_ridge_folds")
+def q_m7r(spark, d):
+    """Ridge by folds on the embeddings: every penalty's fold scores, mean and
+    std, and the fit on all training rows scored on the test rows."""
+    e = read_embeddings(table(spark, d, "embeddings"), "embedding", 64).withColumn("target", F.col("label").cast("double"))
+    sp = stratified_split(e, [], "label", 0.3, "vec_id", 42)
+    train = stratified_folds(sp.filter("split = 'train'"), "label", 5, "vec_id", seed=0)
+    scores, model = G.ridge_folds(train, "target")
+    test = sp.filter("split = 'test'").select("target", model.predict("embedding").alias("f"))
+    refit = M.r2(test, "target", "f", out="test_r2").withColumn("alpha", F.lit(model.alpha))
+    return G.cv_summary(scores).join(refit, "alpha", "left").select(
+        "alpha", F.transform("folds", lambda x: F.round(x, R)).alias("folds"), F.round("mean", R).alias("cv_mean"),
+        F.round("std", R).alias("cv_std"), "n_folds", F.round("test_r2", R).alias("test_r2"))
+
+
 @register("m14_save_load_score")
 def q_m14(spark, d):
     sp = emb_split(spark, d)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ..functions.codes import AGE_SHIFT_RANGE, AGE_SHIFTS, GENDER_TERMS, RACE_CODES
 from ..functions.tags import FILL_ORDER
 from ..operators.pairing import groups_with_all, rank_first, rank_match, rank_match_all, tail_pairs
-from ..session import materialize
 from . import cohort as C
 from . import counterfactuals as CF
 from . import sqltext as S
@@ -20,7 +19,7 @@ from .q_text import TN_WITH
 
 def test_notes(spark, d) -> DataFrame:
     notes, splits = V.cohort_notes(spark, d)
-    return materialize(notes.join(splits.filter(F.col("split") == "test"), "hadm_id").drop("split"))
+    return notes.join(splits.filter(F.col("split") == "test"), "hadm_id").drop("split")
 
 
 def test_people(spark, d) -> DataFrame:
@@ -144,8 +143,7 @@ ex AS (SELECT CASE WHEN nc = race_abbrev THEN race_abbrev || '_race' ELSE race_a
 
 @register("c11_race_counterfactuals_explicit", _c11_sql())
 def q_c11(spark, d):
-    tn = test_notes(spark, d)
-    return CF.counterfactual_digest(CF.race_counterfactuals_explicit(tn, CF.race_codes_of(tn)))
+    return CF.counterfactual_digest(CF.race_counterfactuals_explicit(test_notes(spark, d)))
 
 
 def _c12_sql(k: int = 12) -> str:

@@ -3,14 +3,17 @@ T15, T16, F7, F8, O1-O4, U1."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tags import parse_variant, race_code, sql_race_code, test_size_of
+from ..functions.tags import race_code, sql_race_code, test_size_of
 from ..operators import metrics as M
 from ..operators.aggregates import (coarsen, delta_to_baseline, explode_per_class, extremes, influence,
                                     minus_diagonal, to_matrix, unpivot, with_group_stats)
 from ..operators.sampling import select_task, stratified_split
+from ..session import materialize
 from ..sources.tables import table
 from . import cohort as C
 from . import counterfactuals as CF
@@ -19,7 +22,7 @@ from .catalog import register
 from .q_metrics import sql_auroc
 from ..functions.hashing import sql_uniform, uniform
 from .q_cohort import POOL_WITH, SQL_SURR
-from .q_pairs import TT_WITH, _c10_sql, _c13_sql, _c9_sql, cte_body, test_notes
+from .q_pairs import TT_WITH, _c10_sql, _c11_sql, _c12_sql, _c13_sql, _c9_sql, cte_body, test_notes
 from .q_splits import LAB_WITH
 from .q_text import TN_WITH
 
@@ -27,14 +30,24 @@ R = 9
 
 
 def runs(spark, d) -> DataFrame:
-    """Run metrics of the gender and age-shift families."""
+    """Run metrics of the gender, age-shift and age-swap families."""
     return RP.cf_runs(test_notes(spark, d))
 
 
-RUNS_WITH = cte_body(_c9_sql()) + cte_body(_c13_sql())[len(TT_WITH):] + """,
+def _renamed(sql: str, **names: str) -> str:
+    """SQL with table names of its own, to stand beside another chain."""
+    for old, new in names.items():
+        sql = re.sub(rf"\b{old}\b", new, sql)
+    return sql
+
+
+RUNS_WITH = (cte_body(_c9_sql()) + cte_body(_c13_sql())[len(TT_WITH):]
+             + _renamed(cte_body(_c12_sql())[len(TT_WITH):], pr="apr", vv="avv")) + """,
 cfv AS (SELECT 'gender' AS family, variant, hadm_id AS id, CAST(thirty_day_readmission AS INTEGER) AS y, text FROM gv
         UNION ALL
-        SELECT 'age_shift', variant, hadm_id, CAST(thirty_day_readmission AS INTEGER), text FROM sh),
+        SELECT 'age_shift', variant, hadm_id, CAST(thirty_day_readmission AS INTEGER), text FROM sh
+        UNION ALL
+        SELECT 'age_swap', variant, hadm_id, CAST(thirty_day_readmission AS INTEGER), text FROM av),
 sc AS (SELECT family, variant, 'anon' AS model, id, y, (length(text) % 100) / 100.0 AS p FROM cfv
        UNION ALL
        SELECT family, variant, 'full', id, y, (('0x' || substr(md5(text), 1, 4))::BIGINT % 1000) / 1000.0 FROM cfv),
@@ -111,15 +124,16 @@ def q_a12(spark, d):
 
 
 @register("a9_extremes", RUNS_WITH + f""",
+rv AS (SELECT family, variant, model, round(value, 9) AS value FROM runs WHERE metric = 'mean_proba'),
 rk AS (SELECT *, row_number() OVER (PARTITION BY family, model ORDER BY value, variant) AS lo,
               row_number() OVER (PARTITION BY family, model ORDER BY value DESC, variant DESC) AS hi
-       FROM runs WHERE metric = 'mean_proba')
+       FROM rv)
 SELECT family, model, max(CASE WHEN lo = 1 THEN variant END) AS min_variant,
        round(max(CASE WHEN lo = 1 THEN value END), {R}) AS min_value,
        max(CASE WHEN hi = 1 THEN variant END) AS max_variant, round(max(CASE WHEN hi = 1 THEN value END), {R}) AS max_value
 FROM rk GROUP BY family, model""")
 def q_a9(spark, d):
-    r = runs(spark, d).filter(F.col("metric") == "mean_proba")
+    r = runs(spark, d).filter(F.col("metric") == "mean_proba").withColumn("value", F.round("value", R))
     e = extremes(r, ["family", "model"], ["value", "variant"], ["variant", "value"])
     return e.select("family", "model", F.col("min_row.variant").alias("min_variant"),
                     F.round("min_row.value", R).alias("min_value"), F.col("max_row.variant").alias("max_variant"),
@@ -156,37 +170,36 @@ def q_c19(spark, d):
 
 # ---------------------------------------------------------------- race effects
 
-C10_BODY = cte_body(_c10_sql())
-RACE_WITH = C10_BODY + """,
-rsc AS (SELECT variant, 'anon' AS model, hadm_id AS id, CAST(thirty_day_readmission AS INTEGER) AS y,
-               (length(text) % 100) / 100.0 AS p FROM allv),
+RACE_WITH = cte_body(_c10_sql()) + _renamed(cte_body(_c11_sql())[len(TN_WITH):], test0="test0r", tt="ttr") + """,
+rall AS (SELECT variant, text FROM allv UNION ALL SELECT variant, text FROM ex),
+rsc AS (SELECT variant, 'anon' AS model, (length(text) % 100) / 100.0 AS p FROM rall
+        UNION ALL SELECT variant, 'full', (('0x' || substr(md5(text), 1, 4))::BIGINT % 1000) / 1000.0 FROM rall),
 rmp AS (SELECT variant, model, avg(p) AS mean_proba FROM rsc GROUP BY variant, model),
-rp AS (SELECT *, CASE WHEN instr(variant, '_to_') > 0 THEN regexp_extract(variant, '^(.*?)_to_', 1) ELSE variant END AS orig,
+rp AS (SELECT *, CASE WHEN instr(variant, '_to_') > 0 THEN regexp_extract(variant, '^(.*?)_to_', 1)
+                      ELSE regexp_replace(variant, '_race$', '') END AS orig,
               regexp_extract(variant, '_to_(.*)$', 1) AS rest FROM rmp),
-rp2 AS (SELECT *, regexp_extract(rest, '_(name_address|name|address|race)$', 1) AS kind,
+rp2 AS (SELECT *, CASE WHEN instr(variant, '_to_') > 0 THEN regexp_extract(rest, '_(name_address|name|address|race)$', 1)
+                       ELSE regexp_extract(variant, '_(race)$', 1) END AS kind,
                CASE WHEN instr(variant, '_to_') > 0 THEN regexp_replace(rest, '_(name_address|name|address|race)$', '')
                     ELSE orig END AS new FROM rp),
-rbase AS (SELECT orig, model, mean_proba AS base FROM rp2 WHERE new = orig),
+rbase AS (SELECT orig, model, kind = 'race' AS explicit, mean_proba AS base FROM rp2 WHERE new = orig),
 fine AS (SELECT r.orig, r.new, r.kind, r.model, r.mean_proba - b.base AS delta
-         FROM rp2 r LEFT JOIN rbase b ON r.orig = b.orig AND r.model = b.model),
+         FROM rp2 r LEFT JOIN rbase b ON r.orig = b.orig AND r.model = b.model AND (r.kind = 'race') = b.explicit),
 region AS (SELECT """ + sql_race_code("n_name") + """ AS code, r_name AS grp
            FROM nation JOIN region ON n_regionkey = r_regionkey)
 """
 
 
 def race_runs(spark, d) -> DataFrame:
-    v = CF.race_counterfactuals(test_notes(spark, d))
-    sc = v.select("variant", F.lit("anon").alias("model"), F.col("hadm_id").alias("id"),
-                  F.col("thirty_day_readmission").cast("int").alias("y"), RP.text_scores(F.col("text"))["anon"].alias("p"))
-    mp = sc.groupBy("variant", "model").agg(F.avg("p").alias("mean_proba"))
-    orig, new, kind = parse_variant("variant")
-    return mp.select("variant", "model", "mean_proba", orig.alias("orig"), new.alias("new"), kind.alias("kind"))
+    """All four kinds (name, address, both, explicit race) by both models."""
+    tn = test_notes(spark, d)
+    v = CF.race_counterfactuals(tn).unionByName(CF.race_counterfactuals_explicit(tn))
+    mp = RP.score_variants(v, "race").groupBy("variant", "model").agg(F.avg("p").alias("mean_proba"))
+    return RP.race_parts(materialize(mp))
 
 
 def race_fine(spark, d) -> DataFrame:
-    rr = race_runs(spark, d)
-    return minus_diagonal(rr, ["model"], "orig", "new", ["mean_proba"]).select(
-        "orig", "new", "kind", "model", F.col("mean_proba_delta").alias("delta"))
+    return RP.race_effects(race_runs(spark, d))
 
 
 def region_map(spark, d) -> DataFrame:

@@ -36,9 +36,11 @@ def split_head_tail(text: str | Column) -> tuple[Column, Column]:
 
 
 def tagged_notes(spark: SparkSession, d: str, demo: DataFrame | None = None) -> DataFrame:
-    """Demographics joined with the note text after the clean-up chain."""
+    """Demographics joined with the note text after the clean-up chain.
+    The text is partitioned by stay id here, once: later joins by stay id
+    bring their keys to it, and a fan-out behind them finds it spread."""
     demo = C.demographics(spark, d) if demo is None else demo
-    nt = ad.notes(spark, d).select("hadm_id", "text")
+    nt = spread(ad.notes(spark, d).select("hadm_id", "text"), "hadm_id")
     return demo.join(nt, "hadm_id").withColumn("text", T.normalise_tags("text", "gender"))
 
 
@@ -179,18 +181,18 @@ def _switch(text: Column, flags: dict) -> Column:
                          D.ts_text("admittime_today"), D.ts_text("dischtime_today"), "dob", "race", flags)
 
 
-def anonymisation_levels(notes: DataFrame) -> DataFrame:
-    """Every note at all 64 levels: (level, hadm_id, ..., text) with the
-    labels stripped (T11). The head is cut into pieces once per note; each
-    level joins them with its switches."""
-    rows = level_flags()
+def anonymisation_levels(notes: DataFrame, rows: list[dict] | None = None) -> DataFrame:
+    """Every note at all 64 levels (or those of ``rows``): (level,
+    hadm_id, ..., text) with the labels stripped (T11). The head is cut into
+    pieces once per note; each level joins them with its switches. ``notes``
+    are spread by stay id (``tagged_notes``)."""
+    rows = rows or level_flags()
     lv = F.array(*[F.struct(F.lit(r["level"]).alias("level"), *[F.lit(r[a]).alias(f"f_{a}")
                                                               for a in LEVEL_ATTRIBUTES]) for r in rows])
     head, tail = split_head_tail("text")
     on, off = switch_values()
-    d = spread(notes, "hadm_id")
     tmpl, safe = slot_template(F.col("__head"))
-    d = (d.withColumn("__head", head).withColumn("__tail", tail).drop("text")
+    d = (notes.withColumn("__head", head).withColumn("__tail", tail).drop("text")
          .withColumn("__tmpl", tmpl).withColumn("__safe", safe)
          .withColumn("__pieces", F.when(~F.col("__safe"), tag_pieces(F.col("__head"), on, off)))
          .drop("__head"))
@@ -225,7 +227,7 @@ def attribute_sets(notes: DataFrame) -> DataFrame:
                             F.lit(i or "").alias("insert"), *[F.lit(f[a]).alias(f"f_{a}") for a in LEVEL_ATTRIBUTES])
                    for n, t, i, f in ATTRIBUTE_SETS])
     on, off = switch_values()
-    d = spread(notes, "hadm_id")
+    d = notes
     for name, text in [("none", F.col("text")), ("race", T.insert_attribute("text", "race", F.col("race"))),
                        ("age", T.insert_attribute("text", "age", F.col("actual_age")))]:
         head, tail = split_head_tail(text)
@@ -260,8 +262,8 @@ def variant_digest(df: DataFrame, keys: list[str], text: str = "text") -> DataFr
 
 
 def cohort_notes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Tagged, cleaned notes of the whole pool (materialized: every variant
-    family reads them) and the split table."""
-    demo = C.demographics(spark, d)
-    notes = materialize(tagged_notes(spark, d, demo))
-    return notes, materialize(split_table(demo))
+    """Tagged, cleaned notes of the whole pool and the split table. What is
+    staged is keys and attributes; the text is read where it is rewritten
+    and never written."""
+    demo = materialize(C.demographics(spark, d))
+    return tagged_notes(spark, d, demo), materialize(split_table(demo))
