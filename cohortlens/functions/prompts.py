@@ -111,9 +111,12 @@ def annotation_prompt(file_name: Column, content: Column, example_name: str = DE
     return F.concat(head, mid, files)
 
 
-def generation_prompt(file_name: Column, table_csv: Column) -> Column:
-    """The name/address generation prompt for one table (CSV text)."""
+def generation_prompt(file_name: Column, table_csv: Column, example: str | None = None) -> Column:
+    """The name/address generation prompt for one table (CSV text), an
+    optional example between header and table."""
     header = "\n".join(GENERATION_PROMPT_LINES)
+    if example:
+        header += "\n\n" + example
     return F.concat(F.lit(header + "\n\n"), _render(FILES_WRAPPER, {"file_name": file_name, "file_content": table_csv}))
 
 

@@ -95,9 +95,11 @@ def fold_products(rows: DataFrame, width: int, folds: int, task_bytes: int = TAS
     return materialize(out)
 
 
-def solved(products: DataFrame, width: int, alphas: Sequence[float]) -> DataFrame:
+def solved(products: DataFrame, width: int, alphas: Sequence[float], nested: bool = False) -> DataFrame:
     """``(fold, alpha, weights, intercept)`` of the rows outside each fold, and
-    of all rows (fold ``WHOLE``)."""
+    of all rows (fold ``WHOLE``); ``nested``: of the rows of each fold and of
+    those with smaller numbers, so that each training set holds the smaller
+    ones."""
     alphas, full = list(alphas), width + 2
 
     def left_out(key, pdf):
@@ -110,6 +112,14 @@ def solved(products: DataFrame, width: int, alphas: Sequence[float]) -> DataFram
             rest = {f: whole - v for f, v in by.items()} | {WHOLE: whole}
         return pd.DataFrame([(f, key[0], key[1], v) for f, v in rest.items()], columns=["fold", "i", "j", "values"])
 
+    def prefixes(key, pdf):
+        out, have = [], None
+        for f, v in sorted(zip(pdf["fold"], pdf["values"]), key=lambda x: x[0]):
+            v = np.array(v)
+            have = v if have is None else np.maximum(have, v) if key[0] < 0 else have + v
+            out.append((f, key[0], key[1], have))
+        return pd.DataFrame(out, columns=["fold", "i", "j", "values"])
+
     def solve(key, pdf):
         g, scale = np.zeros((full, full)), np.ones(width)
         for i, j, v in zip(pdf["i"], pdf["j"], pdf["values"]):
@@ -132,7 +142,7 @@ def solved(products: DataFrame, width: int, alphas: Sequence[float]) -> DataFram
             out.append((key[0], alpha, w, float(mean[width + 1] - w @ mean[:width])))
         return pd.DataFrame(out, columns=["fold", "alpha", "weights", "intercept"])
 
-    training = products.groupBy("i", "j").applyInPandas(left_out, PARTS)
+    training = products.groupBy("i", "j").applyInPandas(prefixes if nested else left_out, PARTS)
     return training.groupBy("fold").applyInPandas(solve, "fold int, alpha double, weights array<double>, intercept double")
 
 
@@ -161,6 +171,36 @@ def ridge_folds(train: DataFrame, label: str, fold_col: str = "fold", col: str =
     return scores, RidgeModel(list(row["weights"]), row["intercept"], alpha)
 
 
+def nested_curve(df: DataFrame, label: str, order: Column, sizes: Sequence[float], col: str = "embedding", alpha: float = 1.0,
+                 task_bytes: int = TASK_BYTES) -> DataFrame:
+    """C20: AUROC by training share from nested training sets. ``order`` gives
+    each row a uniform number in [0, 1); the training set of share s has the
+    rows below s, the test set the others, so each set is a prefix of the
+    next and all fits come from one pass of products, added up share by
+    share: ``(train_share, n_train, n_test, auroc)``."""
+    from . import metrics as M
+
+    cuts = sorted(sizes)
+    step = F.lit(len(cuts))
+    for i in reversed(range(len(cuts))):
+        step = F.when(order < cuts[i], i).otherwise(step)
+    rows = materialize(df.select(step.cast("int").alias("fold"), F.col(label).cast("double").alias("y"), F.col(col).alias("x")))
+    width = rows.agg(F.max(F.size("x"))).first()[0]
+    if not width:
+        return df.sparkSession.createDataFrame([], "train_share double, n_train long, n_test long, auroc double")
+    models = materialize(solved(fold_products(rows, width, len(cuts) + 1, task_bytes), width, [alpha], nested=True))
+    shares = F.array(*[F.lit(float(c)) for c in cuts])
+    # a row a share, a parameter
+    tested = rows.join(F.broadcast(models.filter(F.col("fold") < len(cuts)).withColumnRenamed("fold", "step")), F.col("fold") > F.col("step"))
+    scored = tested.select("step", "y", (dot(F.col("x"), F.col("weights")) + F.col("intercept")).alias("p"))
+    sizes_of = rows.groupBy("fold").agg(F.count("*").alias("n"))
+    below = [F.sum(F.when(F.col("fold") <= i, F.col("n")).otherwise(F.lit(0))).cast("long") for i in range(len(cuts))]
+    total = sizes_of.agg(F.array(*below).alias("train"), F.sum("n").alias("all"))
+    n = total.select(F.posexplode("train").alias("step", "n_train"), "all")
+    return (M.auroc(scored, "y", "p", by=["step"]).join(n, "step")
+            .select(F.get(shares, F.col("step")).alias("train_share"), "n_train", (F.col("all") - F.col("n_train")).alias("n_test"), "auroc"))
+
+
 def cv_summary(scores: DataFrame, value: str = "r2") -> DataFrame:
     """``(alpha, folds, mean, std, n_folds)``, std with ddof 1 and 0 for one fold."""
     return scores.groupBy("alpha").agg(

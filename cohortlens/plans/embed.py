@@ -77,6 +77,8 @@ def embedding_metadata(spark, info: dict) -> DataFrame:
     fields = ["csv_path", "text_column", "label_column", "model_alias", "encoder_class", "instruction",
               "embedding_path", "labels_path"]
     row = {k: str(info.get(k, "")) for k in fields}
+    if info.get("label_map"):  # classes of the label: an object in the JSON
+        row["label_map"] = {str(k): int(v) for k, v in info["label_map"].items()}
     row.update({k: int(info.get(k, 0)) for k in ("max_input_length", "num_rows", "embedding_dim", "read_batch_size")})
     return spark.createDataFrame([row])
 

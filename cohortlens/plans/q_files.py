@@ -13,7 +13,8 @@ from ..operators import metrics as M
 from ..operators.filters import checked_join, exclude_values, map_conflicts
 from ..operators.sampling import random_parts, stratified_split
 from ..sources import adapters as ad
-from ..sources.files import metrics_long, read_label_maps, read_metrics, read_notes, staging_dir, write_variants
+from ..sources.files import (metrics_long, read_label_maps, read_listed, read_metrics, read_notes, staging_dir,
+                             write_variants)
 from ..sources.tables import head_rows, pick_label_column, read_embeddings, read_table, table
 from ..streaming.textstream import stream_tag_personal
 from . import cohort as C
@@ -221,6 +222,37 @@ def q_s3(spark, d):
         .agg(F.count(F.lit(1)).alias("n_files"))
 
 
+@register("s3_file_manifest", """
+SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS note_key, 'read' AS status, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS digest
+FROM documents WHERE text IS NOT NULL
+UNION ALL
+SELECT 'item_' || CAST(item_id AS VARCHAR), 'missing', NULL, NULL FROM benchmark""")
+def q_s3m(spark, d):
+    """One note per file with its key; the list of wanted files also names
+    some that are not there."""
+    base = staging_dir(spark, "docs_by_key")
+    docs = table(spark, d, "documents").filter("text IS NOT NULL").select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("note_key"), "text")
+    docs.repartition("note_key").write.partitionBy("note_key").text(base)
+    gone = table(spark, d, "benchmark").select(F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("note_key"))
+    got = read_listed(spark, base, docs.select("note_key").unionByName(gone), glob="part-*.txt", key_of=r"note_key=([^/]+)/")
+    # the text sink ends a file with a line end
+    return got.select("note_key", "status", (F.col("n_bytes") - 1).alias("n_bytes"),
+                      F.md5(F.expr("left(text, length(text) - 1)")).alias("digest"))
+
+
+@register("s14_label_map", """
+SELECT n_name AS key, CAST(row_number() OVER (ORDER BY n_name) - 1 AS INTEGER) AS value FROM nation""")
+def q_s14m(spark, d):
+    """The label map in the sidecar, read back as rows."""
+    from .embed import embedding_metadata
+    names = sorted(r[0] for r in table(spark, d, "nation").select("n_name").distinct().collect())  # the classes of a label
+    path = staging_dir(spark, "label_map")
+    meta = embedding_metadata(spark, {"label_column": "race", "label_map": {n: i for i, n in enumerate(names)}})
+    meta.write.json(os.path.join(path, "metadata.json"))
+    return read_label_maps(spark, path, "*.json").select("key", "value")
+
+
 @register("s14_embedding_metadata", "SELECT count(*) AS num_rows, 64 AS embedding_dim FROM documents")
 def q_s14(spark, d):
     from .embed import embedding_metadata

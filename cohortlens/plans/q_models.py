@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import uniform
 from ..operators import gram as G
 from ..operators import metrics as M
 from ..operators import models as ML
@@ -113,6 +114,14 @@ def q_m7r(spark, d):
         F.round("std", R).alias("cv_std"), "n_folds", F.round("test_r2", R).alias("test_r2"))
 
 
+@register("c20_fitted_split_curve")
+def q_c20f(spark, d):
+    """AUROC of a fitted model by training share: 19 nested training sets."""
+    e = read_embeddings(table(spark, d, "embeddings"), "embedding", 64).withColumn("y", (F.col("label") >= 5).cast("int"))
+    sizes = [round(0.05 * k, 2) for k in range(1, 20)]
+    return G.nested_curve(e, "y", uniform(F.col("vec_id"), 42), sizes).withColumn("auroc", F.round("auroc", R))
+
+
 @register("m14_save_load_score")
 def q_m14(spark, d):
     sp = emb_split(spark, d)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import tags as T
-from ..functions.codes import LEVEL_ATTRIBUTES
+from ..functions.codes import LEVEL_ATTRIBUTES, TEMPLATE_F, TEMPLATE_M
 from ..sources import adapters as ad
 from . import cohort as C
 from . import sqltext as S
@@ -90,6 +90,16 @@ def q_t6(spark, d):
     return rowdigest(notes, T.insert_attribute("text", "race", F.col("race")))
 
 
+@register("t6_insert_after_own_head", TN_WITH + sql_rowdigest(
+    f"substr(text, 1, CASE WHEN gender = 'F' THEN {len(TEMPLATE_F)} ELSE {len(TEMPLATE_M)} END) || 'age: <age>' || "
+    f"CAST(actual_age AS VARCHAR) || '</age>' || substr(text, CASE WHEN gender = 'F' THEN {len(TEMPLATE_F)} "
+    f"ELSE {len(TEMPLATE_M)} END + 1)") + " FROM tn")
+def q_t6own(spark, d):
+    """T6 right after the head of the note's own gender."""
+    notes = V.tagged_notes(spark, d)
+    return rowdigest(notes, T.insert_attribute("text", "age", F.col("actual_age"), gender="gender", compat=False))
+
+
 @register("t7_set_tag", TN_WITH + sql_rowdigest(S.set_tag("text", "name", "name")) + " FROM tn")
 def q_t7(spark, d):
     return rowdigest(V.tagged_notes(spark, d), T.set_tag("text", "name", F.col("name")))

@@ -9,7 +9,7 @@ import os
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType, IntegerType
 
@@ -37,6 +37,33 @@ def read_notes(spark: SparkSession, path: str | Sequence[str], suffix: str = ".a
                      F.col("value").alias("text"))
 
 
+def read_listed(spark: SparkSession, path: str, wanted: DataFrame, suffix: str = ".annotated.txt",
+                glob: str | None = None, key_of: str | None = None) -> DataFrame:
+    """S2 / S3 with a list of files: (note_key, status, n_bytes, text) for
+    every key of ``wanted(note_key)``. Status 'read'; 'missing': no such file
+    below ``path``, or an empty one (Spark's scans leave empty files out);
+    'unreadable': listed, but the read skipped it; 'twice':
+    several files have the key (a row each). The keys are the file names
+    without ``suffix``, or the first group of the pattern ``key_of`` on the
+    path. The listing reads no content; files that are not wanted are not
+    read on to a result."""
+    pattern = key_of or r"([^/]*)" + _re_escape(suffix) + "$"
+    key = lambda p: F.regexp_extract(p, pattern, 1)
+    r = spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    listed = r.format("binaryFile").load(path).select(F.col("path").alias("file_path"), F.col("length").alias("n_bytes"))
+    listed = listed.select(key(F.col("file_path")).alias("note_key"), F.lit(True).alias("there"), "file_path", "n_bytes")
+    got = r.format("text").option("wholetext", True).load(path)
+    got = got.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
+    count = F.count("there").over(Window.partitionBy("note_key"))
+    found = (wanted.select("note_key").distinct().join(listed, "note_key", "left")
+             .withColumn("n_files", count).join(got, "file_path", "left"))
+    status = (F.when(F.col("there").isNull(), "missing").when(F.col("text").isNull(), "unreadable")
+              .when(F.col("n_files") > 1, "twice").otherwise("read"))
+    return found.select("note_key", status.alias("status"), "n_bytes", "text")
+
+
 def _re_escape(s: str) -> str:
     import re
     return re.escape(s)

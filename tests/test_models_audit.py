@@ -53,6 +53,43 @@ def test_ridge_folds_equal_the_closed_form(spark, monkeypatch, block, task_bytes
     assert G.ridge_folds(train.where("false"), "target")[1] is None
 
 
+def test_nested_curve(spark):
+    """Every share's model is the closed form on its prefix, scored on the rest."""
+    rng = np.random.default_rng(3)
+    x, u = rng.normal(size=(400, 5)), rng.uniform(size=400)
+    y = (x[:, 0] + rng.normal(size=400) > 0).astype(int)
+    df = spark.createDataFrame([(float(a), int(t), v.tolist()) for a, t, v in zip(u, y, x)], "u double, y int, embedding array<double>").repartition(4)
+    found = {r.train_share: r for r in G.nested_curve(df, "y", F.col("u"), [0.2, 0.5, 0.9]).collect()}
+    assert set(found) == {0.2, 0.5, 0.9}
+    for share, r in found.items():
+        w, b = closed_form(x[u < share], y[u < share].astype(float), 1.0)
+        p, t = x[u >= share] @ w + b, y[u >= share]
+        wins = (p[t == 1][:, None] > p[t == 0][None, :]).mean()
+        assert abs(r.auroc - wins) < 1e-9 and (r.n_train, r.n_test) == ((u < share).sum(), (u >= share).sum())
+    assert G.nested_curve(df.where("false"), "y", F.col("u"), [0.5]).count() == 0
+
+
+def test_listed_files(spark, tmp_path):
+    from cohortlens.sources.files import read_listed
+
+    for name, text in (("a/1.annotated.txt", "one\ntwo"), ("b/c/2.annotated.txt", ""), ("3.txt", "other"), ("x/4.annotated.txt", "p"), ("y/4.annotated.txt", "q")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    wanted = spark.createDataFrame([("1",), ("2",), ("4",), ("9",), ("1",)], "note_key string")
+    got = sorted((r.note_key, r.status, r.n_bytes, r.text) for r in read_listed(spark, str(tmp_path), wanted, glob="*.annotated.txt").collect())
+    assert got[:2] == [("1", "read", 7, "one\ntwo"), ("2", "missing", None, None)]  # empty files are not listed
+    assert got[2:] == [("4", "twice", 1, "p"), ("4", "twice", 1, "q"), ("9", "missing", None, None)]
+
+
+def test_generation_prompt_example(spark):
+    from cohortlens.functions import prompts as PR
+
+    row = spark.range(1).select(PR.generation_prompt(F.lit("t.csv"), F.lit("a,b")).alias("plain"),
+                                PR.generation_prompt(F.lit("t.csv"), F.lit("a,b"), "Example: x,y").alias("shown")).first()
+    head = "\n".join(PR.GENERATION_PROMPT_LINES)
+    assert row.shown == row.plain.replace(head, head + "\n\nExample: x,y")
+
+
 def test_multinomial_tuning_refits(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(3, 4)) * 4
