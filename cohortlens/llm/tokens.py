@@ -36,9 +36,8 @@ class Numbers(dict):
 
 
 def tokenizer_of(path: str):
-    """The tokenizer of a file and the number of bytes of each token. A Python worker serves many
-    tasks; this, and only this, is kept for them, at the library's module, as functions that are
-    sent by value have no module of their own."""
+    """The tokenizer of a file and the number of bytes of each token, kept for a Python worker's
+    later tasks at the library's module, as functions that are sent by value have none of their own."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -56,9 +55,9 @@ def tokenizer_of(path: str):
 
 class Encoder:
     """Encodes texts; keeps the ids of distinct pieces in up to about ``most`` bytes, then starts
-    afresh. It is a task's own and goes with it."""
+    afresh."""
 
-    def __init__(self, path: str, most: int = 32 << 20):
+    def __init__(self, path: str, most: int = 160 << 20):
         self.tokenizer, self.bytes = tokenizer_of(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most = most
@@ -132,7 +131,18 @@ class Encoder:
         return out
 
 
-def in_parts(texts: list[str | None], chars: int = 1 << 19) -> Iterator[list[str | None]]:
+def encoder(path: str) -> Encoder:
+    """The worker's encoder of this file, kept for its later tasks: a task alone would learn the same
+    pieces anew. What it holds is bounded in bytes."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
+def in_parts(texts: list[str | None], chars: int = 1 << 21) -> Iterator[list[str | None]]:
     """The texts in parts of about so many characters, at least one text each."""
     part, n = [], 0
     for t in texts:
