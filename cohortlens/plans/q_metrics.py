@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import sql_uniform, uniform_parts
 from ..operators import metrics as M
 from ..operators.bootstrap import bootstrap
+from ..operators.drawvectors import POISSON_CDF, bootstrap_metrics
 from ..sources.tables import table
 from .catalog import register
 
@@ -232,3 +233,34 @@ def q_m8(spark, d):
 @register("p11_bootstrap_poisson", _boot_sql("toxic", 1000, 0, "poisson"))
 def q_p11(spark, d):
     return _boot_spark(spark, d, "toxic", 1000, 0, "poisson")
+
+
+def _vector_sql(draws: int, seed: int) -> str:
+    cdf = [float(c) for c in POISSON_CDF]
+    u = sql_uniform("id || '|' || CAST(d.range AS VARCHAR)", f"'p{seed}'")
+    case = "CASE " + " ".join(f"WHEN uu <= {repr(c)} THEN {k}" for k, c in enumerate(cdf)) + " ELSE 13 END"
+    return SCORES_SQL + f""",
+pu AS (SELECT d.range AS draw, s.variant, s.y, s.p, {u} AS uu FROM scores s CROSS JOIN range({draws}) d),
+wd AS (SELECT variant, draw, y, p, CAST({case} AS DOUBLE) AS w FROM pu
+       UNION ALL SELECT variant, -1, y, p, 1.0 FROM scores),
+""" + sql_auroc("wd", "variant, draw", w="w").strip() + f""",
+li AS (SELECT variant, draw, sum(w) AS sw, sum(w * (y - p) * (y - p)) AS sse, sum(w * y) AS sy, sum(w * y * y) AS syy
+       FROM wd GROUP BY variant, draw),
+ms AS (SELECT variant, draw, 'auroc' AS metric, auroc AS v FROM au
+       UNION ALL SELECT variant, draw, 'brier', CASE WHEN sw > 0 THEN sse / sw END FROM li
+       UNION ALL SELECT variant, draw, 'r2', CASE WHEN sw > 0 AND syy - sy * sy / sw > 0
+                                             THEN 1 - sse / (syy - sy * sy / sw) END FROM li)
+SELECT variant, metric, round(max(v) FILTER (WHERE draw < 0), {R}) AS score,
+       round(stddev_samp(v) FILTER (WHERE draw >= 0), {R}) AS std,
+       round(quantile_cont(v, 0.025) FILTER (WHERE draw >= 0), {R}) AS lower,
+       round(avg(v) FILTER (WHERE draw >= 0), {R}) AS mean,
+       round(quantile_cont(v, 0.975) FILTER (WHERE draw >= 0), {R}) AS upper,
+       count(v) FILTER (WHERE draw >= 0) AS n_draws
+FROM ms GROUP BY variant, metric"""
+
+
+@register("p11_bootstrap_draw_vectors", _vector_sql(100, 0))
+def q_p11_vectors(spark, d):
+    r = bootstrap_metrics(scores(spark, d), "id", "y", "p", draws=100, by=["variant"])
+    return r.select("variant", "metric", *[F.round(c, R).alias(c) for c in ["score", "std", "lower", "mean", "upper"]],
+                    "n_draws")
