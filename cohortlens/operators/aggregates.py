@@ -66,27 +66,15 @@ def prevalence(df: DataFrame, label: str, split: str, categories: dict[str, Colu
     """Share of positive ``label`` per category and split, as
     (category_type, category, <split>_prevalence ...). ``categories`` maps a
     type name to a column (e.g. gender, race code); ``bands`` adds age bands
-    '(lo, hi)' through the band join. Empty cells are null, groups without
-    a positive give 0.0."""
-    spark = df.sparkSession
-    y = F.col(label).cast("int")
-    parts = [F.struct(F.lit(t).alias("category_type"), c.cast("string").alias("category"))
-             for t, c in categories.items()]
-    base = df.select(y.alias("__y"), F.col(split).alias("__s"),
-                     *([F.col(age).alias("__age")] if age else []),
-                     F.explode(F.array(*parts)).alias("__cat")) if parts else None
-    frames = []
-    if base is not None:
-        frames.append(base.select("__y", "__s", "__cat.category_type", "__cat.category"))
-    if age and bands:
-        bt = spark.createDataFrame([(lo, hi, f"({lo}, {hi})") for lo, hi in bands],
-                                   "lo int, hi int, category string")
-        rows = df.select(y.alias("__y"), F.col(split).alias("__s"), F.col(age).alias("__age"))
-        frames.append(band_join(rows, bt, "__age").select("__y", "__s", F.lit("age_band").alias("category_type"),
-                                                          "category"))
-    allc = frames[0]
-    for f in frames[1:]:
-        allc = allc.unionByName(f)
+    '(lo, hi)' with both ends inside. Empty cells are null, groups without
+    a positive give 0.0. The rows are read once: all categories and bands of a
+    row come out of one ``explode``."""
+    part = lambda kind, value: F.struct(F.lit(kind).alias("category_type"), value.alias("category"))
+    parts = [part(t, c.cast("string")) for t, c in categories.items()]
+    if age:
+        parts += [F.when(F.col(age).between(lo, hi), part("age_band", F.lit(f"({lo}, {hi})"))) for lo, hi in bands]
+    allc = df.select(F.col(label).cast("int").alias("__y"), F.col(split).alias("__s"),
+                     F.explode(F.array_compact(F.array(*parts))).alias("__cat")).select("__y", "__s", "__cat.*")
     return allc.groupBy("category_type", "category").agg(
         *[F.avg(F.when(F.col("__s") == s, F.col("__y"))).alias(f"{s}_prevalence") for s in splits])
 

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.functions import dates as D
@@ -32,16 +33,29 @@ def test_next_event_label_fixture(spark):
         assert got == expected, split
 
 
-def test_split_window_equals_plain_window_on_hot_entity(spark):
-    # one entity holds a third of the rows
-    rows = [(0 if i % 3 == 0 else i % 50, i, T(2020, 1, 1) + dt.timedelta(hours=7 * i)) for i in range(3000)]
+@pytest.mark.parametrize("hot_rows", [0, 500, 10**6])
+def test_split_window_equals_plain_window_on_hot_entity(spark, hot_rows):
+    # two entities (one of them null) hold a third of the rows each: in ranges all, these two, or none
+    rows = [((0, None, i % 50)[i % 3], i, T(2020, 1, 1) + dt.timedelta(hours=7 * i)) for i in range(3000)]
     df = spark.createDataFrame(rows, "e long, id long, ts timestamp")
-    a = label_next_event(df, "e", "ts", "ts", "id", "1 days", split_seconds=3 * 86400)
+    a = label_next_event(df, "e", "ts", "ts", "id", "1 days", split_seconds=3 * 86400, hot_rows=hot_rows)
     b = label_next_event(df, "e", "ts", "ts", "id", "1 days", split_seconds=None)
     cols = ["id", "visit_no", "label"]
     assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
 
 
+@pytest.mark.parametrize("hot_rows", [100, 10**6])
+def test_order_violations_equal_a_plain_loop(spark, hot_rows):
+    rows = [((0, None, i % 50)[i % 3], i, (i * 7919) % 1009 if i % 11 else None) for i in range(1500)]
+    df = spark.createDataFrame(rows, "e long, id long, ts long")
+    expected, last = set(), {}
+    for e, i, ts in rows:
+        if e in last and None not in (ts, last[e]) and ts < last[e]:
+            expected.add(i)
+        last[e] = ts
+    assert {r.id for r in order_violations(df, "e", ["id"], "ts", hot_rows).collect()} == expected
+
+
 def test_order_violations(spark):
     df = stays(spark)
     assert order_violations(df, "subject_id", ["hadm_id"], "dischtime").count() == 0

@@ -43,6 +43,17 @@ def test_prevalence_fixture(spark):
     assert p["g1"] == (0.25, None) and p["g2"] == (0.0, 0.0)
 
 
+def test_prevalence_bands_overlap_and_scan_once(spark):
+    rows = [("g", "train", 1, 30), ("g", "train", 0, 40), (None, "test", 1, 50), ("g", "test", 0, None)]
+    df = spark.createDataFrame(rows, "g string, split string, y int, age int")
+    p = prevalence(df, "y", "split", {"grp": F.col("g")}, age="age", bands=[(30, 40), (40, 50), (60, 70)])
+    got = {(r.category_type, r.category): (r.train_prevalence, r.test_prevalence) for r in p.collect()}
+    assert got == {("grp", "g"): (0.5, 0.0), ("grp", None): (None, 1.0), ("age_band", "(30, 40)"): (0.5, None),
+                   ("age_band", "(40, 50)"): (0.0, 1.0)}
+    plan = p._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan
+
+
 def test_ordered_position_equals_row_number_on_skew(spark):
     rows = [(0 if i % 3 == 0 else i % 40, i, float((i * 7919) % 1000)) for i in range(4000)]
     df = spark.createDataFrame(rows, "g long, id long, v double")
