@@ -85,18 +85,18 @@ def q_m11(spark, d):
 
 
 EMB_PROBS_SQL = """WITH ep AS (
-  SELECT vec_id, label, list_transform(embedding[1:10], lambda x: abs(CAST(x AS DOUBLE))) AS sc FROM embeddings),
+  SELECT vec_id, label, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS sc FROM embeddings),
 en AS (SELECT vec_id, label, sc, list_reduce(sc, lambda a, b: a + b) AS tot FROM ep)"""
 
 
 def emb_scores(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings")
-    sc = F.transform(F.slice("embedding", 1, 10), lambda x: F.abs(x.cast("double")))
+    sc = F.transform("embedding", lambda x: F.abs(x.cast("double")))
     return e.select("vec_id", "label", sc.alias("sc"))
 
 
 @register("m11_brier_multiclass", EMB_PROBS_SQL + f""",
-rows AS (SELECT vec_id, label, unnest(sc) / tot AS pr, unnest(generate_series(0, 9)) AS c FROM en)
+rows AS (SELECT vec_id, label, unnest(sc) / tot AS pr, unnest(generate_series(0, len(sc) - 1)) AS c FROM en)
 SELECT round(avg(s), {R}) AS brier FROM (
   SELECT vec_id, sum((pr - CASE WHEN label = c THEN 1.0 ELSE 0.0 END) ^ 2) AS s FROM rows GROUP BY vec_id)""")
 def q_m11m(spark, d):
@@ -108,7 +108,7 @@ def q_m11m(spark, d):
 
 OVR_SQL = EMB_PROBS_SQL + """,
 ov AS (SELECT vec_id, c AS class_index, s AS score, CASE WHEN label = c THEN 1 ELSE 0 END AS y_c FROM (
-  SELECT vec_id, label, unnest(sc) AS s, unnest(generate_series(0, 9)) AS c FROM ep))"""
+  SELECT vec_id, label, unnest(sc) AS s, unnest(generate_series(0, len(sc) - 1)) AS c FROM ep))"""
 
 
 @register("m12_auroc_ovr", OVR_SQL + "," + sql_auroc("ov", "class_index", y="y_c", p="score") + "," +
@@ -156,27 +156,28 @@ def q_m18(spark, d):
 
 
 @register("n4_two_way", f"""
-SELECT vec_id, round(abs(CAST(embedding[1] AS DOUBLE)) / greatest(abs(CAST(embedding[1] AS DOUBLE))
-       + abs(CAST(embedding[2] AS DOUBLE)), 1e-12), {R}) AS p_yes FROM embeddings""")
+SELECT vec_id, CAST(k AS INTEGER) AS pair,
+       round(abs(CAST(embedding[2 * k + 1] AS DOUBLE)) / greatest(abs(CAST(embedding[2 * k + 1] AS DOUBLE))
+             + abs(CAST(embedding[2 * k + 2] AS DOUBLE)), 1e-12), {R}) AS p_yes
+FROM (SELECT vec_id, embedding, unnest(generate_series(0, len(embedding) // 2 - 1)) AS k FROM embeddings)""")
 def q_n4(spark, d):
-    e = table(spark, d, "embeddings")
-    a = F.abs(F.element_at("embedding", 1).cast("double"))
-    b = F.abs(F.element_at("embedding", 2).cast("double"))
-    return e.select("vec_id", F.round(M.two_way(a, b), R).alias("p_yes"))
+    e = table(spark, d, "embeddings").where(F.size("embedding") >= 2)
+    k = F.explode(F.sequence(F.lit(0), (F.size("embedding") / 2).cast("int") - 1)).alias("pair")
+    at = lambda n: F.abs(F.get("embedding", F.col("pair") * 2 + n).cast("double"))
+    return e.select("vec_id", "embedding", k).select("vec_id", "pair", F.round(M.two_way(at(0), at(1)), R).alias("p_yes"))
 
 
 @register("n5_l2_normalize", """
-SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / nrm, 6) AS n1, round(CAST(embedding[64] AS DOUBLE) / nrm, 6) AS n64,
-       round(nrm, 6) AS norm
+SELECT vec_id, CAST(unnest(generate_series(0, len(embedding) - 1)) AS INTEGER) AS position,
+       round(CAST(unnest(embedding) AS DOUBLE) / nrm, 6) AS value, round(nrm, 6) AS norm
 FROM (SELECT *, sqrt(list_reduce(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)),
                                  lambda a, b: a + b)) AS nrm FROM embeddings)""")
 def q_n5(spark, d):
     e = table(spark, d, "embeddings")
-    v = M.l2_normalize("embedding")
     norm = F.sqrt(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")),
                               F.lit(0.0), lambda a, x: a + x))
-    return e.select("vec_id", F.round(F.element_at(v, 1), 6).alias("n1"), F.round(F.element_at(v, 64), 6).alias("n64"),
-                    F.round(norm, 6).alias("norm"))
+    return e.select("vec_id", norm.alias("n"), F.posexplode(M.l2_normalize("embedding")).alias("position", "v")) \
+        .select("vec_id", "position", F.round("v", 6).alias("value"), F.round("n", 6).alias("norm"))
 
 
 @register("a8_mean_sum_absmean", SCORES_SQL + f"""

@@ -367,9 +367,9 @@ def q_a5(spark, d):
 
 @register("a14_explode_per_class", """
 SELECT vec_id, CAST(c AS INTEGER) AS class_index, round(CAST(v AS DOUBLE), 6) AS value
-FROM (SELECT vec_id, unnest(embedding[1:10]) AS v, unnest(generate_series(0, 9)) AS c FROM embeddings)""")
+FROM (SELECT vec_id, unnest(embedding) AS v, unnest(generate_series(0, len(embedding) - 1)) AS c FROM embeddings)""")
 def q_a14(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 10).alias("probs"))
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("probs"))
     x = explode_per_class(e, ["vec_id"], "probs")
     return x.select("vec_id", "class_index", F.round(F.col("value").cast("double"), 6).alias("value"))
 
