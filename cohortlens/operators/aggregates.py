@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import null_safe_join
+from .ranking import null_safe_join, ordered_position
 
 
 def value_counts(df: DataFrame, col: str, by: Sequence[str] = (), normalize: bool = True,
@@ -32,13 +32,15 @@ def quantiles(df: DataFrame, col: str, by: Sequence[str], probs: Sequence[float]
 
     Works on the frequency table ``(by, value) -> count`` instead of the raw
     rows, so a hot group costs one row per distinct value: cumulative counts
-    locate the order statistics at floor and ceil of ``(n-1) p``."""
+    locate the order statistics at floor and ceil of ``(n-1) p``. The counts
+    are summed up by ranges of values, so a continuous column without ``by``
+    uses all tasks."""
     by = list(by)
     freq = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("__c"))
-    g = Window.partitionBy(*by) if by else Window.partitionBy()
-    freq = (freq.withColumn("__hi", F.sum("__c").over(g.orderBy(col).rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("__n", F.sum("__c").over(g))
-            .withColumn("__lo", F.col("__hi") - F.col("__c")))
+    sizes = freq.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    freq = ordered_position(freq, by, [F.col(col)], out="__k", running={"__hi": F.col("__c")}, key=F.col(col))
+    freq = (null_safe_join(freq, sizes, by) if by else freq.join(F.broadcast(sizes))) \
+        .withColumn("__lo", F.col("__hi") - F.col("__c"))
     freq = freq.withColumn(out_prob, F.explode(F.array(*[F.lit(float(p)) for p in probs])))
     h = (F.col("__n") - 1) * F.col(out_prob)
     freq = freq.withColumn("__h", h)

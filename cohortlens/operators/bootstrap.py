@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform_parts
+from . import metrics as M
 from .ranking import ordered_position
 
 MetricFn = Callable[..., DataFrame]
@@ -44,8 +45,7 @@ def bootstrap_weights(units: DataFrame, unit: str, draws: int, seed: int = 0, me
         e = u.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
         w = _poisson1(uniform_parts(F.col(unit), F.col("draw"), F.lit(f"p{seed}")))
         return e.withColumn("w", w.cast("double")).filter(F.col("w") > 0)
-    pos = ordered_position(u, [], [F.col(unit)], F.floor(F.col(unit).cast("double") / 1e6), out="__j",
-                           total="__n")
+    pos = ordered_position(u, [], [F.col(unit)], key=F.col(unit), out="__j", total="__n")
     picks = pos.select(F.col("__j"), F.col("__n"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     k = F.col("draw").cast("long") * F.col("__n") + F.col("__j") - 1
     picked = F.floor(uniform_parts(k, F.lit(str(seed))) * F.col("__n")).cast("long") + 1
@@ -57,7 +57,11 @@ def bootstrap(df: DataFrame, unit: str, metric: MetricFn, metric_col: str, draws
               method: str = "exact", **metric_args) -> DataFrame:
     """M8: one row (score, std, lower, mean, upper, n_draws) for ``metric``
     (a function of this module's metric signature returning
-    ``metric_col``)."""
+    ``metric_col``). Rank metrics get score ranges of the rows themselves,
+    found before the draws multiply them."""
+    if metric in (M.auroc, M.average_precision):
+        df = M.score_ranges(df, metric_args["p"])
+        metric_args = {**metric_args, "ranges": "__range"}
     w = bootstrap_weights(df, unit, draws, seed, method)
     weighted = df.join(w, unit)
     per_draw = metric(weighted, w="w", by=["draw"], **metric_args).filter(F.col(metric_col).isNotNull())

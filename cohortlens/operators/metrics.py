@@ -3,8 +3,8 @@
 Rank metrics first collapse rows to one row per (group, score) with the
 positive and negative weight at that score (partial aggregation), then take
 cumulative sums over scores with the skew-safe running sums of
-:mod:`.ranking` (buckets = score ranges), so neither a hot group nor a hot
-score value lands in one task. Every metric takes ``by`` columns, so one
+:mod:`.ranking` (score ranges by quantiles), so neither a hot group nor a
+narrow band of scores lands in one task. Every metric takes ``by`` columns, so one
 job scores all variants / draws / classes at once."""
 
 from __future__ import annotations
@@ -14,32 +14,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import ordered_position
-
-SCORE_BUCKETS = 64
+from .ranking import ordered_position, with_ranges
 
 
 def _w(w) -> Column:
     return F.lit(1.0) if w is None else (F.col(w) if isinstance(w, str) else w).cast("double")
 
 
-def _score_table(df: DataFrame, y: str, p: str, w, by: Sequence[str]) -> DataFrame:
-    pos = F.when(F.col(y).cast("double") > 0, _w(w)).otherwise(F.lit(0.0))
-    neg = F.when(F.col(y).cast("double") > 0, F.lit(0.0)).otherwise(_w(w))
-    return (df.select(*by, F.col(p).cast("double").alias("__p"), pos.alias("__pos"), neg.alias("__neg"))
-            .groupBy(*by, "__p").agg(F.sum("__pos").alias("__pos"), F.sum("__neg").alias("__neg")))
+def score_ranges(df: DataFrame, p: str, out: str = "__range") -> DataFrame:
+    """Add the range number of the score (missing scores: -1), by quantiles
+    over the rows. Compute it once before rows are multiplied (draws,
+    variants) and name it in ``ranges`` of a rank metric."""
+    score = F.col(p).cast("double")
+    return with_ranges(df, score, out).withColumn(out, F.when(score.isNull(), -1).otherwise(F.col(out)["range"]))
 
 
-def _bucket(p: Column) -> Column:
-    return F.floor(p * F.lit(SCORE_BUCKETS)).cast("long")
+def _score_table(df: DataFrame, y: str, p: str, w, by: Sequence[str], ranges: str | None) -> DataFrame:
+    """One row per (group, score) with its range."""
+    pos = F.when(F.col(y).cast("double") > 0, _w(w)).otherwise(F.lit(0.0))
+    neg = F.when(F.col(y).cast("double") > 0, F.lit(0.0)).otherwise(_w(w))
+    rows = df.select(*by, F.col(p).cast("double").alias("__p"), pos.alias("__pos"), neg.alias("__neg"),
+                     *([F.col(ranges).alias("__range")] if ranges else []))
+    s = rows.groupBy(*by, *(["__range"] if ranges else []), "__p").agg(
+        F.sum("__pos").alias("__pos"), F.sum("__neg").alias("__neg"))
+    return s if ranges else score_ranges(s, "__p")
 
 
-def auroc(df: DataFrame, y: str, p: str, w=None, by: Sequence[str] = (), out: str = "auroc") -> DataFrame:
+def auroc(df: DataFrame, y: str, p: str, w=None, by: Sequence[str] = (), out: str = "auroc",
+          ranges: str | None = None) -> DataFrame:
     """M9: area under the ROC curve with weights; tied scores count half.
     Groups without both classes give null."""
     by = list(by)
-    s = _score_table(df, y, p, w, by)
-    s = ordered_position(s, by, [F.col("__p")], _bucket(F.col("__p")), out="__k",
+    s = _score_table(df, y, p, w, by, ranges)
+    s = ordered_position(s, by, [F.col("__p")], F.col("__range"), out="__k",
                          running={"__cneg": F.col("__neg")})
     below = F.col("__cneg") - F.col("__neg")
     contrib = F.col("__pos") * (below + F.col("__neg") / 2.0)
@@ -50,13 +57,14 @@ def auroc(df: DataFrame, y: str, p: str, w=None, by: Sequence[str] = (), out: st
 
 
 def average_precision(df: DataFrame, y: str, p: str, w=None, by: Sequence[str] = (),
-                      out: str = "auprc") -> DataFrame:
+                      out: str = "auprc", ranges: str | None = None) -> DataFrame:
     """Step-wise average precision, sum over distinct thresholds
     (descending) of recall increase times precision."""
     by = list(by)
-    s = _score_table(df, y, p, w, by)
+    s = _score_table(df, y, p, w, by, ranges)
     s = s.withColumn("__np", -F.col("__p"))
-    s = ordered_position(s, by, [F.col("__np")], _bucket(F.col("__np")), out="__k",
+    falling = F.when(F.col("__range") < 0, F.lit(None)).otherwise(-F.col("__range"))
+    s = ordered_position(s, by, [F.col("__np")], falling, out="__k",
                          running={"__ctp": F.col("__pos"), "__ctot": F.col("__pos") + F.col("__neg")})
     agg = s.groupBy(*by).agg(F.sum(F.col("__pos") * F.col("__ctp") / F.col("__ctot")).alias("__num"),
                              F.sum("__pos").alias("__P"))

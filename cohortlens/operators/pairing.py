@@ -13,16 +13,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import ordered_position
+from .ranking import is_number, ordered_position
 
 
 def rank_first(df: DataFrame, by: Sequence[str], order: str, id_col: str, out: str = "rank",
                ascending: bool = True, total: str | None = None) -> DataFrame:
     """Rank 'first' (ties by id) inside ``by``, ascending or
-    descending; 1-based."""
+    descending; 1-based. An ``order`` value that many rows share is divided
+    by ranges of the id, if ids are numbers."""
     o = F.col(order) if ascending else -F.col(order)
-    return ordered_position(df.withColumn("__o", o), list(by), [F.col("__o"), F.col(id_col)],
-                            F.col("__o"), out=out, total=total).drop("__o")
+    tie = F.col(id_col) if is_number(df, id_col) else None
+    return ordered_position(df.withColumn("__o", o), list(by), [F.col("__o"), F.col(id_col)], out=out,
+                            total=total, key=F.col("__o"), tie=tie).drop("__o")
 
 
 def rank_match(a: DataFrame, b: DataFrame, strata: Sequence[str], order: str, id_col: str,

@@ -10,9 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
-from .ranking import bucket_of_unit, null_safe_join, ordered_position
-
-DEFAULT_BUCKETS = 64
+from .ranking import null_safe_join, ordered_position, unit_ranges
 
 
 def weighted_sample(df: DataFrame, strata: Sequence[str], n: int, weight: str, id_col: str,
@@ -31,14 +29,12 @@ def weighted_sample(df: DataFrame, strata: Sequence[str], n: int, weight: str, i
 
 
 def hash_order_position(df: DataFrame, by: Sequence[str], id_col: str, seed: int = 0,
-                        out: str = "pos", buckets: int = DEFAULT_BUCKETS,
-                        total: str | None = None) -> DataFrame:
+                        out: str = "pos", total: str | None = None) -> DataFrame:
     """1-based position in a seeded random order (by ``u(id, seed)``)
     inside ``by``; skew-safe (see :mod:`.ranking`)."""
     u = uniform(F.col(id_col), seed)
     d = df.withColumn("__u", u)
-    res = ordered_position(d, by, [F.col("__u"), F.col(id_col)], bucket_of_unit("__u", buckets), out=out,
-                           total=total)
+    res = ordered_position(d, by, [F.col("__u"), F.col(id_col)], unit_ranges(d, "__u"), out=out, total=total)
     return res.drop("__u")
 
 
@@ -72,7 +68,7 @@ def _train_quotas(counts: DataFrame, by: Sequence[str], label: str, test_size: f
 
 
 def stratified_split(df: DataFrame, by: Sequence[str], label: str, test_size: float | str, id_col: str,
-                     seed: int = 42, out: str = "split", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                     seed: int = 42, out: str = "split") -> DataFrame:
     """Inside each group of ``by``, split rows into 'train'/'test' with
     class shares of ``label`` kept (largest-remainder quotas), the rows of
     each class taken in seeded random order. A class with one row goes to
@@ -81,7 +77,7 @@ def stratified_split(df: DataFrame, by: Sequence[str], label: str, test_size: fl
     by = list(by)
     counts = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("__nc"))
     quotas = _train_quotas(counts, by, label, test_size)
-    ranked = hash_order_position(df, [*by, label], id_col, seed, out="__pos", buckets=buckets)
+    ranked = hash_order_position(df, [*by, label], id_col, seed, out="__pos")
     res = null_safe_join(ranked, quotas, [*by, label])
     return (res.withColumn(out, F.when(F.col("__pos") <= F.col("__quota"), F.lit("train")).otherwise(F.lit("test")))
             .drop("__pos", "__quota"))
@@ -102,13 +98,13 @@ def three_way_split(df: DataFrame, by: Sequence[str], label: str, test_size: flo
 
 
 def stratified_folds(df: DataFrame, label: str, k: int, id_col: str, seed: int = 0,
-                     by: Sequence[str] = (), out: str = "fold", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                     by: Sequence[str] = (), out: str = "fold") -> DataFrame:
     """Stratified k-fold. Rows are laid out class by class, each class in
     seeded random order; fold = position mod k (fold numbers from 0). The
     position is the class offset plus the position inside the class, so no
     window spans all rows."""
     by = list(by)
-    ranked = hash_order_position(df, [*by, label], id_col, seed, out="__pos", buckets=buckets)
+    ranked = hash_order_position(df, [*by, label], id_col, seed, out="__pos")
     counts = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("__nc"))
     g = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(label) \
         .rowsBetween(Window.unboundedPreceding, -1)

@@ -19,7 +19,7 @@ from ..functions.codes import EXCLUDED_RACES
 from ..functions.hashing import hash52, uniform
 from ..functions.tags import find_sex, race_of_abbrev, with_abbrev
 from ..operators.filters import balance_weights, exclude_values, keep_groups, unambiguous
-from ..operators.ranking import bucket_of_unit, null_safe_join, ordered_position
+from ..operators.ranking import null_safe_join, ordered_position, unit_ranges
 from ..operators.sampling import weighted_sample
 from ..session import materialize
 from ..sources import adapters as ad
@@ -75,13 +75,13 @@ def replace_mismatched(sample: DataFrame, pool: DataFrame, notes: DataFrame, see
             .withColumn("mismatched", F.lit(False)))
     strata = ["gender", "race", "actual_age"]
     flagged = ordered_position(s.filter(~agrees).drop("sex"), strata, [F.col("hadm_id")],
-                               F.floor(F.col("hadm_id") / 4096), out="__k")
+                               key=F.col("hadm_id"), out="__k")
     cand = (pool.join(flagged.select(*strata).distinct(), strata, "left_semi")
             .join(sample.select("hadm_id"), "hadm_id", "left_anti")
             .join(text, "hadm_id", "inner")
             .filter(F.col("sex") == F.col("gender")).drop("sex"))
     cand = cand.withColumn("__u", uniform(F.col("hadm_id"), seed))
-    cand = ordered_position(cand, strata, [F.col("__u"), F.col("hadm_id")], bucket_of_unit("__u", 16),
+    cand = ordered_position(cand, strata, [F.col("__u"), F.col("hadm_id")], unit_ranges(cand, "__u"),
                             out="__k").drop("__u")
     own = [c for c in sample.columns if c not in strata]
     cand = cand.select(*strata, "__k", *[F.col(c).alias(f"__new_{c}") for c in own])
@@ -129,8 +129,7 @@ def assign_surrogates(df: DataFrame, pool: DataFrame, keys: Sequence[str] = ("ra
     of its stratum. Pool entries are numbered per stratum by ``pool_id``
     (skew-safe positions); rows of strata without a pool get nulls."""
     keys = list(keys)
-    ranked = ordered_position(pool, keys, [F.col("pool_id")], F.floor(F.col("pool_id") / 4096),
-                              out="__idx", total="__size")
+    ranked = ordered_position(pool, keys, [F.col("pool_id")], key=F.col("pool_id"), out="__idx", total="__size")
     sizes = ranked.select(*keys, "__size").distinct()
     rows = null_safe_join(df, sizes, keys, how="left")
     rows = rows.withColumn("__idx", F.pmod(hash52(F.col(id_col), F.lit(str(seed))), F.col("__size")) + 1)

@@ -483,7 +483,7 @@ def q_o1(spark, d):
 def q_o2(spark, d):
     from ..operators.ranking import ordered_position
     doc = table(spark, d, "documents").select("doc_id")
-    return ordered_position(doc, [], [F.col("doc_id")], F.floor(F.col("doc_id") / 4096), out="note_seq")
+    return ordered_position(doc, [], [F.col("doc_id")], key=F.col("doc_id"), out="note_seq")
 
 
 @register("o3_first_per_group", """
