@@ -1,0 +1,25 @@
+"""Seeded permutations as a function of the position.
+
+A shuffle by sorting needs one sort for every repeat. Here the new place of
+position x among n is computed from x alone by swap-or-not rounds: a round
+pairs x with ``(k - x) mod n`` and a hash bit of the larger of the two says
+whether they trade places. Every round undoes itself when repeated, so the
+whole is one-to-one on 0..n-1 for any n, without sorting and without walks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+ROUNDS = 48
+
+
+def permuted(x: Column, n: Column, *key: Column, rounds: int = ROUNDS) -> Column:
+    """Place of ``x`` (0..n-1) in the permutation of 0..n-1 named by ``key``."""
+    name = F.xxhash64(*key)
+
+    def trade(at, i):
+        other = F.pmod(F.pmod(F.xxhash64(name, i), n) + n - at, n)
+        swap = F.xxhash64(name, i, F.greatest(at, other)).bitwiseAND(1) == 1
+        return F.when(swap, other).otherwise(at)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x.cast("long"), trade)

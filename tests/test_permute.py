@@ -1,0 +1,49 @@
+"""Permutations by position, and permutation importance against its law."""
+
+from pyspark.sql import functions as F
+
+from cohortlens.operators import models as ML
+from cohortlens.operators.permute import permuted
+
+
+def test_one_to_one_for_any_length(spark):
+    lengths = [1, 2, 3, 7, 64, 1000]
+    df = (spark.createDataFrame([(n,) for n in lengths], "n long").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+          .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(4)))))
+    df = df.withColumn("y", permuted(F.col("x"), F.col("n"), F.col("rep")))
+    got = df.groupBy("n", "rep").agg(F.count_distinct("y").alias("d"), F.min("y").alias("lo"), F.max("y").alias("hi")).collect()
+    assert len(got) == 5 * len(lengths) and all((r.d, r.lo, r.hi) == (r.n, 0, r.n - 1) for r in got)
+
+
+def test_every_place_is_as_likely(spark):
+    df = spark.range(4000).select(permuted(F.lit(3), F.lit(20), F.col("id")).alias("y"))
+    counts = [r["count"] for r in df.groupBy("y").count().collect()]
+    assert len(counts) == 20 and sum((c - 200) ** 2 / 200 for c in counts) < 50
+
+
+def test_importance_follows_the_hypergeometric_law(spark):
+    """One column equals the outcome, the other says nothing. A permuted
+    copy of the first has AUROC K/m with K hypergeometric (m of n = 2m)."""
+    m, n, repeats = 100, 200, 200
+    df = spark.range(n).select("id", (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 2).alias("a"),
+                               F.floor(F.col("id") / 2 % 2).alias("b"))
+
+    def assemble(d):
+        return d.withColumn("features", ML.array_to_vector(F.array(F.col("a").cast("double"), F.col("b").cast("double") * 1e-9)))
+    model = ML.logistic(assemble(df), "y", C=1.0)
+    imp = ML.permutation_importance(model, df, ["a"], "y", "id", assemble, repeats=repeats).first()
+    sd = (m * 0.25 * (n - m) / (n - 1)) ** 0.5 / m
+    assert abs(imp.importance_mean - 0.5) < 5 * sd / repeats ** 0.5
+    assert abs(imp.importance_std / sd - 1) < 0.25
+
+
+def test_no_copy_is_sorted(spark):
+    df = spark.range(50).select("id", (F.col("id") % 2).cast("int").alias("y"), F.col("id").alias("a"))
+
+    def assemble(d):
+        return d.withColumn("features", ML.array_to_vector(F.array(F.col("a").cast("double"))))
+    model = ML.logistic(assemble(df), "y", C=1.0)
+    plan = ML.permutation_importance(model, df, ["a"], "y", "id", assemble, repeats=3)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [__pos" in plan
+    below = plan[plan.index("ShuffledHashJoin [__pos"):]
+    assert "Window" not in below[:below.index("Scan ExistingRDD")]
