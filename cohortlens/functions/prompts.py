@@ -67,7 +67,6 @@ GENERATION_PROMPT_LINES = [
     "",
 ]
 FILES_WRAPPER = "<FILES>\n<FILE_NAME>\n{file_name}\n</FILE_NAME>\n<FILE_CONTENT>\n\n{file_content}\n\n</FILE_CONTENT>\n</FILES>\n"
-DEFAULT_EXAMPLE = "single_notes_hand_labelled/24420677_l.txt"
 
 # Personal-data rules of the built-in tagger (ours): tag -> pattern, applied
 # in this order; the age rule keeps the words after the number outside.
@@ -100,7 +99,7 @@ def _render(template: str, values: dict[str, Column]) -> Column:
     return F.concat(*parts)
 
 
-def annotation_prompt(file_name: Column, content: Column, example_name: str = DEFAULT_EXAMPLE,
+def annotation_prompt(file_name: Column, content: Column, example_name: str,
                       example_annotated: str | None = None) -> Column:
     """The annotation prompt of one file: header, optional example,
     then the file block."""

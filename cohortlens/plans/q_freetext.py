@@ -62,7 +62,8 @@ def q_t19c(spark, d):
     return rowdigest(table(spark, d, "documents"), with_instruction("text", INSTR, colon=True), "doc_id")
 
 
-_HEADER = "\n".join(PR.ANNOTATION_PROMPT_LINES).replace("{example_name}", PR.DEFAULT_EXAMPLE)
+EXAMPLE = "labelled/example.txt"
+_HEADER = "\n".join(PR.ANNOTATION_PROMPT_LINES).replace("{example_name}", EXAMPLE)
 _FN = "'doc_' || CAST(doc_id AS VARCHAR) || '.txt'"
 
 
@@ -72,7 +73,7 @@ _FN = "'doc_' || CAST(doc_id AS VARCHAR) || '.txt'"
 def q_t20(spark, d):
     docs = table(spark, d, "documents")
     fn = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return rowdigest(docs, PR.annotation_prompt(fn, F.col("text")), "doc_id")
+    return rowdigest(docs, PR.annotation_prompt(fn, F.col("text"), EXAMPLE), "doc_id")
 
 
 @register("t20_generation_prompt", POOL_WITH + """,
