@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform_parts
+from ..session import materialize
 from . import metrics as M
 from .ranking import ordered_position
 
@@ -45,7 +46,8 @@ def bootstrap_weights(units: DataFrame, unit: str, draws: int, seed: int = 0, me
         e = u.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
         w = _poisson1(uniform_parts(F.col(unit), F.col("draw"), F.lit(f"p{seed}")))
         return e.withColumn("w", w.cast("double")).filter(F.col("w") > 0)
-    pos = ordered_position(u, [], [F.col(unit)], key=F.col(unit), out="__j", total="__n")
+    # staged: counted from and joined back to, with the quantiles of its ranges in the plan each time
+    pos = materialize(ordered_position(u, [], [F.col(unit)], key=F.col(unit), out="__j", total="__n"))
     picks = pos.select(F.col("__j"), F.col("__n"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     k = F.col("draw").cast("long") * F.col("__n") + F.col("__j") - 1
     picked = F.floor(uniform_parts(k, F.lit(str(seed))) * F.col("__n")).cast("long") + 1
@@ -58,12 +60,19 @@ def bootstrap(df: DataFrame, unit: str, metric: MetricFn, metric_col: str, draws
     """M8: one row (score, std, lower, mean, upper, n_draws) for ``metric``
     (a function of this module's metric signature returning
     ``metric_col``). Rank metrics get score ranges of the rows themselves,
-    found before the draws multiply them."""
-    if metric in (M.auroc, M.average_precision):
-        df = M.score_ranges(df, metric_args["p"])
+    found before the draws multiply them, and read staged sums of weights per
+    (draw, score, outcome)."""
+    rank_metric = metric in (M.auroc, M.average_precision)
+    if rank_metric:
+        df = materialize(M.score_ranges(df, metric_args["p"]))
         metric_args = {**metric_args, "ranges": "__range"}
     w = bootstrap_weights(df, unit, draws, seed, method)
     weighted = df.join(w, unit)
+    if rank_metric:
+        # Rank metrics read one row per (draw, score, outcome) several times: staged, so that the plan
+        # of the weights, which the driver keeps as text with every re-planning, is run and held once.
+        kept = list(dict.fromkeys(["draw", metric_args["y"], metric_args["p"], "__range"]))
+        weighted = materialize(weighted.groupBy(*kept).agg(F.sum("w").alias("w")))
     per_draw = metric(weighted, w="w", by=["draw"], **metric_args).filter(F.col(metric_col).isNotNull())
     point = metric(df, **metric_args).select(F.col(metric_col).alias("score"))
     summ = per_draw.agg(F.stddev_samp(metric_col).alias("std"),
