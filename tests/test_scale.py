@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohortlens.functions import tags as T
 from cohortlens.operators import metrics as M
 from cohortlens.operators.bootstrap import bootstrap
+from cohortlens.plans import counterfactuals as CF
+from cohortlens.plans import q_files, q_text
+from cohortlens.plans import reports as RP
+from cohortlens.plans.q_pairs import test_notes as notes_of_test
+from cohortlens.session import ensure_checkpoint_dir
+
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("method", ["exact", "poisson"])
@@ -19,3 +30,39 @@ def test_bootstrap_keeps_a_short_plan(spark, method):
     # the driver keeps the plan as text with every re-planning: no quantile lists in it
     assert len(r._jdf.queryExecution().toString()) < 200_000
     assert r.first()["n_draws"] == 20
+
+
+def shuffled_inputs(df) -> list[str]:
+    """Columns that enter the exchanges of a plan."""
+    text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return [line for part in re.split(r"\n\(\d+\) ", text) if part.startswith("Exchange") for line in part.splitlines()
+            if line.startswith("Input")]
+
+
+@pytest.mark.parametrize("query", [q_text.q_t1, q_text.q_t8, lambda s, d: CF.age_shift(notes_of_test(s, d))])
+def test_note_text_crosses_no_shuffle(spark, query):
+    inputs = shuffled_inputs(query(spark, SF))
+    assert inputs and not [x for x in inputs if re.search(r"\btext#", x)]
+
+
+def test_run_metrics_score_each_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def score(x):
+        seen.add(1)
+        return float(x % 3) / 2
+
+    rows = spark.range(30).selectExpr("'f' family", "'v' variant", "'m' model", "id", "cast(id % 2 as int) y")
+    rows = rows.withColumn("p", F.udf(score, "double")("id"))
+    got = {r["metric"]: r["value"] for r in RP.run_metrics(rows).collect()}
+    assert seen.value == 30
+    assert got["mean_proba"] == 0.5 and got["auroc"] == 0.5
+
+
+def test_clean_up_reads_past_the_last_label(spark):
+    tails = ["", " year old", " years old woman", " y/o", "  yo", " YO and on", " year-ol", "\nyo"]
+    heads = ["no label", "a <sex>F</sex> <name>Dr Lee</name> is <age>7</age>", "<PRONOUN_x>It</PRONOUN_x> <age>7</age>", "x <3"]
+    df = spark.createDataFrame([(h + t + " and untagged", "F") for h in heads for t in tails], "text string, gender string")
+    whole = T.drop_year_old(T.check_pronouns(T.check_names(T.apply_head_template("text", "gender"))))
+    for r in df.select(whole.alias("a"), T.normalise_tags("text", "gender").alias("b")).collect():
+        assert r["a"] == r["b"]
