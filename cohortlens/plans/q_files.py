@@ -206,7 +206,9 @@ def q_st1(spark, d):
     """Structured Streaming over the documents file: tag personal data as
     files arrive (availableNow), parquet sink, read back."""
     base = staging_dir(spark, "stream")
-    out = stream_tag_personal(spark, d, "documents.parquet", os.path.join(base, "sink"), os.path.join(base, "ckpt"))
+    # a file or a folder of part files: a pattern, as a stream takes no plain file
+    docs = os.path.join(d, "{documents}.parquet")
+    out = stream_tag_personal(spark, docs, "*", os.path.join(base, "sink"), os.path.join(base, "ckpt"))
     return rowdigest(out, F.col("tagged"), "doc_id")
 
 

@@ -15,7 +15,7 @@ from ..functions.prompts import tag_personal
 def stream_tag_personal(spark: SparkSession, src: str, glob: str, sink: str, checkpoint: str,
                         text_col: str = "text", keys: tuple = ("doc_id",), max_files: int = 1) -> DataFrame:
     """Tag personal data (C5) in every file that lands in ``src`` and write
-    (keys, tagged) to ``sink``; returns the sink read back as a batch
+    (keys, tagged) to ``sink`` (``src``: the folder that holds the files, or a pattern); returns the sink read back as a batch
     table once the available files are processed."""
     schema = spark.read.option("pathGlobFilter", glob).parquet(src).schema
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", glob)
