@@ -14,13 +14,15 @@ from ..operators.filters import checked_join, exclude_values, map_conflicts
 from ..operators.sampling import random_parts, stratified_split
 from ..sources import adapters as ad
 from ..sources.files import (metrics_long, read_label_maps, read_listed, read_metrics, read_notes, staging_dir,
-                             write_variants)
+                             write_many, write_variants)
+from ..session import materialize
 from ..sources.tables import head_rows, pick_label_column, read_embeddings, read_table, table
 from ..streaming.textstream import stream_tag_personal
 from . import cohort as C
 from . import counterfactuals as CF
 from . import reports as RP
 from . import sqltext as S
+from . import variants as V
 from .catalog import register
 from .q_cohort import POOL_WITH, SQL_SURR
 from .q_events import READM_WITH, readmission_labels
@@ -44,13 +46,16 @@ def q_s1(spark, d):
 SELECT dm.abbrev, CAST(sum(length(n.text)) + count(*) AS BIGINT) AS n_chars, count(*) AS n_notes
 FROM demographics dm JOIN notes n ON dm.hadm_id = n.hadm_id GROUP BY dm.abbrev""")
 def q_s2(spark, d):
-    """Notes written as text files, one folder per subgroup; read back
-    recursively (S3) with the key from the path."""
+    """Notes written as compressed text files, one folder per subgroup; read
+    back recursively (S3) with the key from the path. The keys are joined
+    before the text, which goes from the documents' join to the files."""
     path = staging_dir(spark, "notes_txt")
-    demo = C.demographics(spark, d).select("hadm_id", "abbrev")
-    notes = demo.join(ad.notes(spark, d), "hadm_id")
-    notes.select("abbrev", "text").repartition("abbrev").write.partitionBy("abbrev").text(path)
-    rd = read_notes(spark, path, suffix=".txt", glob="*.txt")
+    rows = materialize(V.note_rows(spark, d, C.demographics(spark, d).select("hadm_id", "abbrev")))
+    notes = ad.with_text(rows, spark, d, V.fan_out_partitions(spark))
+    # a file is read back as one row: each task writes its own, of so many notes at most
+    notes.select("abbrev", "text").write.partitionBy("abbrev").option("compression", "gzip") \
+        .option("maxRecordsPerFile", 10_000).text(path)
+    rd = read_notes(spark, path, suffix=".txt.gz", glob="*.txt.gz")
     rd = rd.withColumn("abbrev", F.regexp_extract("file_path", "abbrev=([^/]+)/", 1))
     counts = notes.groupBy("abbrev").agg(F.count(F.lit(1)).alias("n_notes"))
     got = rd.groupBy("abbrev").agg(F.sum(F.length("text")).cast("long").alias("n_chars"))
@@ -185,7 +190,6 @@ SELECT level, round(auroc, 9) AS auroc FROM (
 def q_s16(spark, d):
     """All 64 levels scored and evaluated in one job keyed by the level
     (a ``variant`` column instead of a loop over data sets)."""
-    from . import variants as V
     notes, splits = V.cohort_notes(spark, d)
     lv = V.anonymisation_levels(notes)
     sc = lv.select("level", F.col("thirty_day_readmission").cast("int").alias("y"),
