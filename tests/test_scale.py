@@ -66,3 +66,35 @@ def test_clean_up_reads_past_the_last_label(spark):
     whole = T.drop_year_old(T.check_pronouns(T.check_names(T.apply_head_template("text", "gender"))))
     for r in df.select(whole.alias("a"), T.normalise_tags("text", "gender").alias("b")).collect():
         assert r["a"] == r["b"]
+
+
+def staged(spark, name: str) -> list[Path]:
+    found = sorted(Path(ensure_checkpoint_dir(spark), "staging").glob(f"{name}-*"), key=lambda p: p.stat().st_mtime)
+    return [p for p in found[-1].rglob("part-*") if p.is_file()]
+
+
+def documents(spark, path) -> list[tuple]:
+    rows = [(1, "en", "mail a@b5.com"), (2, "en", None), (3, None, ""), (4, "de", "two\nlines"), (5, "de", "x"), (6, "de", "y")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(2).write.parquet(str(path / "documents.parquet"))
+    return rows
+
+
+def test_stream_reads_a_table_of_part_files(spark, tmp_path):
+    rows = documents(spark, tmp_path)
+    got = {r["doc_id"]: r["n_chars"] for r in q_files.q_st1(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [r[0] for r in rows] and got[5] == 1 and got[2] is None and got[1] > len(rows[0][2])
+
+
+def test_a_file_per_document_without_a_folder_each(spark, tmp_path):
+    documents(spark, tmp_path)
+    assert {r["lang"]: r["n_files"] for r in q_files.q_s3(spark, str(tmp_path)).collect()} == {
+        "en": 2, "de": 3, "__HIVE_DEFAULT_PARTITION__": 1}
+    files = staged(spark, "docs_txt")
+    assert len(files) == 6 and not [f for f in files if "doc_id=" in str(f)]
+    assert "two\nlines\n" in [f.read_text() for f in files]
+
+
+def test_notes_are_staged_compressed(spark):
+    got = q_files.q_s2(spark, "/root/testdata/sf0.01").collect()
+    files = staged(spark, "notes_txt")
+    assert got and files and all(f.name.endswith(".txt.gz") for f in files)
