@@ -61,7 +61,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
         for batch in batches:
             ids = batch.column(0).to_pylist()
             at = 0
-            for part in in_parts(batch.column(1).to_pylist()):
+            # texts leave the batch a part at a time: no second copy of all of it beside the encoder
+            for part in in_parts(t.as_py() for t in batch.column(1)):
                 rows = [(d, p, s, n, crc(x[s:s + n])) for d, x in zip(ids[at:at + len(part)], known.encode(part))
                         for p, (s, n) in enumerate(cuts(len(x), capacity))]
                 at += len(part)

@@ -9,7 +9,7 @@ where a piece's ids end.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import sys
 
@@ -142,7 +142,7 @@ def encoder(path: str) -> Encoder:
     return kept[path]
 
 
-def in_parts(texts: list[str | None], chars: int = 1 << 21) -> Iterator[list[str | None]]:
+def in_parts(texts: Iterable[str | None], chars: int = 1 << 21) -> Iterator[list[str | None]]:
     """The texts in parts of about so many characters, at least one text each."""
     part, n = [], 0
     for t in texts:
