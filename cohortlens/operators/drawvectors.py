@@ -39,14 +39,85 @@ POISSON_CDF = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(13)])
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+# MD5 (RFC 1321): rotations, constants and the word of the message that each step takes
+TURNS = [t for ts in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in ts * 4]
+ADDED = [np.uint32(int(abs(math.sin(i + 1)) * 2 ** 32)) for i in range(64)]
+TAKEN = [(i, 5 * i + 1, 3 * i + 5, 7 * i)[i // 16] % 16 for i in range(64)]
+CELLS = 1 << 14  # hashes of one step: its arrays stay in the cache
+
+
+def _md5_parts(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """First eight bytes, as one number, of the MD5 of every start with every end: blocks of one
+    message of 64 bytes, as 16 words a row, that have no bit in common."""
+    words = []
+    for k in range(16):
+        w, v = starts[:, k, None], ends[None, :, k]
+        words.append(w | v if w.any() and v.any() else w if w.any() else v)
+    first = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    shape = (len(starts), len(ends))
+    a, b, c, d = (np.full(shape, x) for x in first)
+    f, g = np.empty(shape, np.uint32), np.empty(shape, np.uint32)
+    for i in range(64):
+        if i < 16:  # d ^ (b & (c ^ d))
+            np.bitwise_xor(c, d, out=f)
+            np.bitwise_and(f, b, out=f)
+            np.bitwise_xor(f, d, out=f)
+        elif i < 32:  # c ^ (d & (b ^ c))
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_and(f, d, out=f)
+            np.bitwise_xor(f, c, out=f)
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_xor(f, d, out=f)
+        else:  # c ^ (b | ~d)
+            np.invert(d, out=f)
+            np.bitwise_or(f, b, out=f)
+            np.bitwise_xor(f, c, out=f)
+        np.add(f, a, out=f)
+        np.add(f, words[TAKEN[i]] + ADDED[i], out=f)
+        np.left_shift(f, TURNS[i], out=g)
+        np.right_shift(f, 32 - TURNS[i], out=f)
+        np.bitwise_or(f, g, out=f)
+        np.add(f, b, out=f)
+        a, b, c, d, f = d, f, b, c, a
+    high, low = ((x + y).byteswap().astype(np.uint64) for x, y in zip((a, b), first))
+    return high << np.uint64(32) | low
+
+
+def md5_parts(units: Sequence[bytes], ends: Sequence[bytes]) -> np.ndarray:
+    """First eight bytes of the MD5 of each unit with each end behind it, big-endian."""
+    out = np.empty((len(units), len(ends)), np.uint64)
+    places: dict[int, list[int]] = {}
+    for i, unit in enumerate(units):
+        places.setdefault(len(unit), []).append(i)
+    for n, at in places.items():
+        if n + max(map(len, ends), default=0) > 55:  # more than one block
+            digests = b"".join(hashlib.md5(units[i] + end).digest()[:8] for i in at for end in ends)
+            out[at] = np.frombuffer(digests, ">u8").reshape(len(at), len(ends))
+            continue
+        starts = np.zeros((len(at), 64), np.uint8)
+        starts[:, :n] = np.frombuffer(b"".join(units[i] for i in at), np.uint8).reshape(len(at), n)
+        tails = b"".join(((bytes(n) + end + b"\x80").ljust(56, b"\0") + (8 * (n + len(end))).to_bytes(8, "little"))
+                         for end in ends)
+        starts, tails = starts.view("<u4"), np.frombuffer(tails, "<u4").reshape(len(ends), 16)
+        step = max(1, CELLS // max(1, len(ends)))
+        for k in range(0, len(at), step):
+            out[at[k:k + step]] = _md5_parts(starts[k:k + step], tails)
+    return out
+
+
 def draw_weights(units: Sequence[str], draws: int, seed: int) -> np.ndarray:
     """Weights (units x draws + 1): ones for the point value, then Poisson(1) of each draw, from the
     same hash as :func:`cohortlens.functions.hashing.uniform_parts`."""
     ends = [f"|{d}|p{seed}".encode() for d in range(draws)]
-    digests = b"".join(hashlib.md5(unit + end).digest() for unit in map(str.encode, units) for end in ends)
-    bits = np.frombuffer(digests, ">u8").reshape(len(units), draws, 2)[:, :, 0] >> np.uint64(12)
-    weights = np.searchsorted(POISSON_CDF, (bits + 0.5) / 2.0 ** 52, side="left")
-    return np.concatenate([np.ones((len(units), 1)), weights], axis=1)
+    u = ((md5_parts([unit.encode() for unit in units], ends) >> np.uint64(12)) + 0.5) / 2.0 ** 52
+    weights = np.zeros((len(units), draws + 1))
+    weights[:, 0] = 1
+    counted = np.zeros(u.shape, np.uint8)
+    for at in POISSON_CDF:
+        counted += u > at
+    weights[:, 1:] = counted
+    return weights
 
 
 class _Run:
@@ -85,7 +156,7 @@ class _Run:
 
 
 def _fold(draws: int, seed: int):
-    """Sorted rows ``(g, p, y, unit)`` of a task to its runs."""
+    """Rows ``(g, p, y, unit)`` of a task, sorted by the first three, to its runs."""
 
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
@@ -97,17 +168,18 @@ def _fold(draws: int, seed: int):
                 part = frame.iloc[at:at + BLOCK_ROWS]
                 g, p, y = part["g"].to_numpy(), part["p"].to_numpy(float) + 0.0, part["y"].to_numpy(float)
                 w = draw_weights(part["unit"].tolist(), draws, seed)
-                starts = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (p[1:] != p[:-1])]))
-                pos = np.add.reduceat(w * (y > 0)[:, None], starts)
-                neg = np.add.reduceat(w * (y <= 0)[:, None], starts)
-                sums = [np.add.reduceat(w * x[:, None], starts) for x in (np.ones(len(y)), (y - p) ** 2, y, y * y)]
+                # rows alike in group, score and outcome differ by their weights only
+                starts = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (p[1:] != p[:-1]) | (y[1:] != y[:-1])]))
+                sums = np.add.reduceat(w, starts)
+                factors = np.stack([np.ones(len(y)), (y - p) ** 2, y, y * y], axis=1)[:, :, None]
+                none = np.zeros(draws + 1)
                 for i, s in enumerate(starts):
                     if now is None or now.group != g[s]:
                         if now is not None:
                             yield pd.DataFrame(now.rows(), columns=names)
                         now = _Run(g[s], draws + 1)
-                    now.add(p[s], pos[i], neg[i])
-                    now.totals += [x[i] for x in sums]
+                    now.add(p[s], *((sums[i], none) if y[s] > 0 else (none, sums[i])))
+                    now.totals += factors[s] * sums[i]
         if now is not None:
             # the run ends with the partition: its last score may go on in the next one
             yield pd.DataFrame(now.rows(), columns=names)
@@ -129,7 +201,7 @@ def draw_metrics(df: DataFrame, unit: str, y: str, p: str, draws: int = 1000, se
             .select(group.alias("g"), num[p].alias("p"), num[y].alias("y"), F.col(unit).cast("string").alias("unit")))
     ranges = ["g", "p", F.pmod(F.xxhash64("unit"), F.lit(SALTS))]
     rows = rows.repartitionByRange(partitions, *ranges) if partitions else rows.repartitionByRange(*ranges)
-    runs = (rows.sortWithinPartitions("g", "p")
+    runs = (rows.sortWithinPartitions("g", "p", "y")
             .mapInPandas(_fold(draws, seed), "g string, lo double, hi double, "
                          + ", ".join(f"{c} array<double>" for c in SUMS)))
     flat = (runs.select("g", "lo", "hi", F.posexplode(F.arrays_zip(*SUMS)).alias("draw", "v"))
