@@ -35,6 +35,7 @@ from .registry import register
 from .tokens import crc, encoder, in_parts
 
 CAPACITY = 2048
+HELD = 160 << 20
 GROUPS = 256
 SMALL = 3  # lengths up to capacity / SMALL are small
 BUCKET_ROWS = 50_000
@@ -52,12 +53,13 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
-           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, piece, start, length, ids_crc32)`` of every piece of every document."""
+           id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
+    """``(doc_id, piece, start, length, ids_crc32)`` of every piece of every document; ``held``: bytes
+    of known words that a worker's encoder keeps."""
     def run(batches):
         import pyarrow as pa
 
-        known = encoder(tokenizer)
+        known = encoder(tokenizer, held)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             at = 0
@@ -299,8 +301,8 @@ def packed(found: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) ->
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return packed(stage(pieces(docs, tokenizer, capacity, id_col, text_col), "packing-pieces"), capacity)
+                   id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
+    return packed(stage(pieces(docs, tokenizer, capacity, id_col, text_col, held), "packing-pieces"), capacity)
 
 
 @register("op6_best_fit_packing")

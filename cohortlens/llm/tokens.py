@@ -131,14 +131,15 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = 160 << 20) -> Encoder:
     """The worker's encoder of this file, kept for its later tasks: a task alone would learn the same
-    pieces anew. What it holds is bounded in bytes."""
+    pieces anew. What it holds is bounded in bytes, by what the last task asked for."""
     import tokenizers
 
     kept = tokenizers.__dict__.setdefault("_encoders", {})
     if path not in kept:
-        kept[path] = Encoder(path)
+        kept[path] = Encoder(path, most)
+    kept[path].most = most
     return kept[path]
 
 

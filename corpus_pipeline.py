@@ -15,6 +15,7 @@ from cohortlens.llm.common import stage
 from cohortlens.sources.tables import table
 
 TOKENIZER = "byte_bpe_50k.json"
+HELD = 48 << 20  # workers outlive the packing, and with them what their encoders hold
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), held=HELD)
 
 
 STAGES = [("toxicity", toxic), ("quality_rules", rules), ("simhash_near_dedup", near_copies),

@@ -190,3 +190,16 @@ def test_plan_is_tight():
             assert sum(n for _, n in places) <= capacity
         bound = max(-(-sum(n * c for n, c in histogram.items()) // capacity), sum(c for n, c in histogram.items() if 2 * n > capacity))
         assert len(room) <= 1.12 * bound + 34
+
+
+def test_a_kept_encoder_takes_the_bound_of_its_task():
+    """The pipeline's packing leaves less in the workers than op6 does alone."""
+    import public_tokenizers
+
+    from cohortlens.llm.tokens import encoder
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["some words and some more", "words again"]
+    want = [x.tolist() for x in encoder(path).encode(texts)]
+    small = encoder(path, 10)
+    assert small.most == 10 and [x.tolist() for x in small.encode(texts)] == want
+    assert small.held == 0 and encoder(path).most == 160 << 20
