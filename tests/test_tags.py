@@ -116,3 +116,33 @@ def test_variants_come_with_their_lengths(spark):
     df = note_df(spark).withColumn("text", F.concat("text", F.lit(" tail of \u00e9\U0001F600")))
     for variants in (V.attribute_sets(df), V.anonymisation_levels(df)):
         assert variants.where(~F.col("n_chars").eqNullSafe(F.length("text"))).count() == 0
+
+
+def test_cut_with_long_rest_equals_plain_cut(spark):
+    """A last '>' before, at and behind the first HEAD_BYTES, between characters of several bytes, or none."""
+    h = T.HEAD_BYTES
+    texts = [None, "", ">", "no bracket", "a>b", "é" * h, "é" * h + ">é", "x" * (h - 1) + ">" + "é" * h,
+             "x" * h + ">" + "y" * 9, "é" * (h // 2 - 1) + "x€>" + "€" * h, "a>" + "<é" * h, "€" * h + "<b>" + "z" * 40 + ">"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    for more in (0, 3):
+        head, tail = T.cut_tagged("t", more)
+        got = {r["id"]: (r["h"], r["r"]) for r in rows.select("id", head.alias("h"), tail.alias("r")).collect()}
+        for i, t in enumerate(texts):
+            at = None if t is None else min(len(t), t.rfind(">") + 1 + more)
+            assert got[i] == ((None, None) if t is None else (t[:at], t[at:])), (i, more)
+
+
+def test_parts_are_normalised_once_and_rewritten_like_the_whole(spark):
+    """T10 rewrites the first part of C6 and leaves the rest, without a second cut: equal to the rewrite of the whole text."""
+    body = "Sex: <sex>F</sex> <age>50</age> year old, <dob>___</dob> <race>X</race> <7 and K >5 <race>Y</race>"
+    rows = spark.createDataFrame([(i, b + " yo <age" + "ü" * 1500) for i, b in enumerate([body, body + " <age>7</age>", "", "plain"])],
+                                 "id int, t string")
+    head, tail = T.normalised_parts("t", "g")
+    rows = rows.withColumn("g", F.lit("F")).withColumn("head", head).withColumn("rest", tail).withColumn("text", T.normalise_tags("t", "g"))
+
+    def swapped(t):
+        return T.swap_race(T.swap_age(t, F.lit(60), F.lit(1965)), F.lit("BL_A"))
+    for r in rows.select("text", "head", "rest", swapped(F.col("text")).alias("whole"),
+                         F.concat(swapped(F.col("head")), "rest").alias("parts")).collect():
+        assert r["head"] + r["rest"] == r["text"] and ">" not in r["rest"]
+        assert r["whole"] == r["parts"]
