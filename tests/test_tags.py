@@ -125,7 +125,7 @@ def test_cut_with_long_rest_equals_plain_cut(spark):
              "x" * h + ">" + "y" * 9, "é" * (h // 2 - 1) + "x€>" + "€" * h, "a>" + "<é" * h, "€" * h + "<b>" + "z" * 40 + ">"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
     for more in (0, 3):
-        head, tail = T.cut_tagged("t", more)
+        head, tail = T.cut_tagged("t", more, stored=True)
         got = {r["id"]: (r["h"], r["r"]) for r in rows.select("id", head.alias("h"), tail.alias("r")).collect()}
         for i, t in enumerate(texts):
             at = None if t is None else min(len(t), t.rfind(">") + 1 + more)
